@@ -1 +1,8 @@
 """Spark-native evaluation of detections and groupings over image collections."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Kernels travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

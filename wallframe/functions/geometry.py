@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .raster import RUNS, polygon_runs  # noqa: F401
+
 POINT = "struct<x:int,y:int>"
 POLYGON = f"array<{POINT}>"
-RUNS = "array<struct<y0:int,y1:int,x0:int,x1:int>>"
 
 
 def xs(polygon: Column) -> Column:
@@ -119,14 +120,6 @@ def boxes_overlap(a: Column, b: Column) -> Column:
     )
 
 
-def _is_box(polygon: Column) -> Column:
-    """Four axis-parallel edges around the bounding box."""
-    four = F.size(polygon) == 4
-    parallel = F.forall(edges(polygon), lambda e: (e["ax"] == e["bx"]) != (e["ay"] == e["by"]))
-    corners = F.size(F.array_distinct(polygon)) == 4
-    return four & parallel & corners
-
-
 def _append(acc: Column, piece: Column) -> Column:
     """Add a run to a sorted list, growing the last one if they touch."""
     last = F.element_at(acc, -1)
@@ -137,71 +130,6 @@ def _append(acc: Column, piece: Column) -> Column:
     ).otherwise(F.concat(acc, F.array(piece)))
 
 
-def _scanline(ring: Column, y: Column, bottom: Column) -> Column:
-    """Disjoint inclusive runs of one pixel row, boundary pixels included."""
-    sloped = F.filter(
-        ring,
-        lambda e: (e["ay"] != e["by"])
-        & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])),
-    )
-
-    def crossing(e: Column) -> Column:
-        x = e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])
-        # An edge that ends here is counted twice, so that a ring passing through keeps its parity.
-        ends = (y == F.greatest(e["ay"], e["by"])) & (y < bottom)
-        return F.array_repeat(x, F.when(ends, 2).otherwise(1))
-
-    def between(hits: Column) -> Column:
-        return F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(hits)), lambda k: (k % 2 == 1) & (k < F.size(hits))),
-            lambda k: F.struct(
-                F.floor(F.get(hits, k - 1) + 0.5).cast("int").alias("x0"),
-                F.ceil(F.get(hits, k) - 0.5).cast("int").alias("x1"),
-            ),
-        )
-
-    inner = let(F.array_sort(F.flatten(F.transform(sloped, crossing))), between)
-    level = F.transform(
-        F.filter(ring, lambda e: (e["ay"] == y) & (e["by"] == y)),
-        lambda e: F.struct(
-            F.least(e["ax"], e["bx"]).alias("x0"), F.greatest(e["ax"], e["bx"]).alias("x1")
-        ),
-    )
-    pieces = F.array_sort(F.filter(F.concat(inner, level), lambda s: s["x0"] <= s["x1"]))
-    return F.aggregate(pieces, F.array().cast("array<struct<x0:int,x1:int>>"), _append)
-
-
-def _all_rows(polygon: Column, ring: Column) -> Column:
-    def fill(bottom: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.sequence(F.array_min(ys(polygon)), bottom),
-                lambda y: F.transform(
-                    _scanline(ring, y, bottom),
-                    lambda s: F.struct(
-                        y.alias("y0"), y.alias("y1"), s["x0"].alias("x0"), s["x1"].alias("x1")
-                    ),
-                ),
-            )
-        )
-
-    return let(F.array_max(ys(polygon)), fill).cast(RUNS)
-
-
-def polygon_runs(polygon: Column) -> Column:
-    """Filled polygon as disjoint runs; an axis-parallel box is a single run of many rows."""
-    box = F.array(
-        F.struct(
-            F.array_min(ys(polygon)).alias("y0"),
-            F.array_max(ys(polygon)).alias("y1"),
-            F.array_min(xs(polygon)).alias("x0"),
-            F.array_max(xs(polygon)).alias("x1"),
-        )
-    ).cast(RUNS)
-    rows = let(edges(polygon), lambda ring: _all_rows(polygon, ring))
-    return F.when(_is_box(polygon), box).otherwise(rows)
-
-
 def clip_runs(runs: Column, width: Column, height: Column) -> Column:
     """Cut runs to the image; parts outside vanish."""
     cut = F.transform(
