@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .numeric import ColumnMath, delta_e
+from .numeric import delta_e
 
 # sRGB (D65) to XYZ rows already divided by the white point, and the CIE constants.
 XYZ_ROWS = (
@@ -84,13 +87,23 @@ def hls_to_rgb(h: Column, l: Column, s: Column) -> tuple[Column, Column, Column]
     return channel(2.0), channel(0.0), channel(-2.0)
 
 
-def ciede2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
-    return delta_e(ColumnMath, l1, a1, b1, l2, a2, b2)
+def _lab_rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 3)
+
+
+def _delta(first: pa.Array, second: pa.Array) -> pa.Array:
+    return pa.array(delta_e(_lab_rows(first), _lab_rows(second)))
 
 
 def ciede2000_lab(first: Column, second: Column) -> Column:
-    """Distance of two ``array<double>`` LAB columns."""
-    return ciede2000(*[first[i] for i in range(3)], *[second[i] for i in range(3)])
+    """CIEDE2000 distance in [0, 1] of two LAB array columns without nulls.
+
+    As a plain expression the formula's shared terms multiply beyond what code generation takes; one
+    Arrow call per batch evaluates each term once.  Declared non-deterministic only to keep the
+    optimiser from evaluating it twice.
+    """
+    call = arrow_udf(_delta, "double").asNondeterministic()
+    return call(first.cast("array<double>"), second.cast("array<double>"))
 
 
 def hex_color(r: Column, g: Column, b: Column) -> Column:

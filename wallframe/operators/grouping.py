@@ -173,8 +173,9 @@ def average_linkage(
             close = (
                 close.join(side("a", "lab_a"), [KEY, "a"])
                 .join(side("b", "lab_b"), [KEY, "b"])
+                .withColumn("c", ciede2000_lab(F.col("lab_a"), F.col("lab_b")))
                 .groupBy(KEY, "a", "b")
-                .agg(F.first("dist").alias("dist"), F.avg(ciede2000_lab(F.col("lab_a"), F.col("lab_b"))).alias("c"))
+                .agg(F.first("dist").alias("dist"), F.avg("c").alias("c"))
                 .select(KEY, "a", "b", vectors.blend(F.col("dist"), F.col("c"), color_weight).alias("dist"))
                 .filter(F.col("dist") < threshold)
             )

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..functions.color import ciede2000_lab
-from ..functions.numeric import ArrayMath, delta_e
+from ..functions.numeric import delta_e
 
 BLOCK = 2048
 # Rows of the left block handled per matrix product: bounds the kernel's memory.
@@ -137,7 +137,7 @@ def similarity_join(
             columns += [first(name), second(name)]
         return pa.table(columns, names=names)
 
-    used = features.select(key, index, vector, *carry)
+    used = features.select(*dict.fromkeys([key, index, vector, *carry]))
     return (
         blocked(used, block, key, index)
         .groupBy(key, "_lo", "_hi")
@@ -194,7 +194,7 @@ def pair_features(pairs: DataFrame) -> DataFrame:
 
 
 def _feature_rows(a: np.ndarray, b: np.ndarray, lab_a: np.ndarray, lab_b: np.ndarray) -> np.ndarray:
-    distance = delta_e(ArrayMath, *lab_a.T, *lab_b.T)
+    distance = delta_e(lab_a, lab_b)
     return np.hstack(
         [np.abs(a - b), a * b, distance[:, None], np.abs(lab_a - lab_b), (lab_a + lab_b) / 2.0]
     )
@@ -251,7 +251,7 @@ def score_pairs(
             columns += [first(name), second(name)]
         return pa.table(columns, names=names)
 
-    used = features.select(key, index, "embedding", "lab", *carry)
+    used = features.select(*dict.fromkeys([key, index, "embedding", "lab", *carry]))
     return (
         blocked(used, block, key, index)
         .groupBy(key, "_lo", "_hi")
