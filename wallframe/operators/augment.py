@@ -65,14 +65,14 @@ def _overlay(pixels: DataFrame, updates: DataFrame, columns: Sequence[str]) -> D
     return merged.withColumns({c: F.coalesce(f"new_{c}", c) for c in columns}).drop(*[f"new_{c}" for c in columns])
 
 
-def recolor(pixels: DataFrame, targets: DataFrame) -> DataFrame:
-    """Hue and saturation of each target become its colour's; lightness keeps its shading.
+HLS = ["h", "l", "s"]
 
-    targets: image_id, hold_index, runs, area, tr, tg, tb.
-    """
-    hls = ["h", "l", "s"]
-    encoded = pixels.withColumns(dict(zip(hls, rgb_to_hls(*[F.col(c) for c in RGB]), strict=True)))
-    goal = targets.withColumns(dict(zip(("th", "tl", "ts"), rgb_to_hls(F.col("tr"), F.col("tg"), F.col("tb")), strict=True)))
+
+def recolor_hls(encoded: DataFrame, targets: DataFrame) -> DataFrame:
+    """Recolour pixels that carry h, l, s.  targets: image_id, hold_index, runs, area, tr, tg, tb."""
+    goal = targets.withColumns(
+        dict(zip(("th", "tl", "ts"), rgb_to_hls(F.col("tr"), F.col("tg"), F.col("tb")), strict=True))
+    )
 
     def apply(current: DataFrame, free: DataFrame) -> DataFrame:
         inside = masked_pixels(current.select("image_id", "y", "x", "l"), free)
@@ -86,10 +86,19 @@ def recolor(pixels: DataFrame, targets: DataFrame) -> DataFrame:
             _to_byte(F.col("l") - F.col("middle") + F.col("tl")).alias("new_l"),
             F.col("ts").alias("new_s"),
         )
-        return _overlay(current, updates, hls)
+        return _overlay(current, updates, HLS)
+
+    return _in_layers(encoded, goal, apply)
 
-    painted = _in_layers(encoded, goal, apply)
-    return painted.withColumns(dict(zip(RGB, hls_to_rgb(*[F.col(c) for c in hls]), strict=True))).drop(*hls)
+
+def recolor(pixels: DataFrame, targets: DataFrame) -> DataFrame:
+    """Hue and saturation of each target become its colour's; lightness keeps its shading.
+
+    The whole image passes through 8-bit HLS, as untouched pixels do in the original operator.
+    """
+    encoded = pixels.withColumns(dict(zip(HLS, rgb_to_hls(*[F.col(c) for c in RGB]), strict=True)))
+    painted = recolor_hls(encoded, targets)
+    return painted.withColumns(dict(zip(RGB, hls_to_rgb(*[F.col(c) for c in HLS]), strict=True))).drop(*HLS)
 
 
 def _noise(seed: int, gy: Column, gx: Column) -> Column:
