@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("geometry_queries", "evaluation_queries", "grouping_queries", "pixel_queries")
+MODULES = (
+    "geometry_queries",
+    "evaluation_queries",
+    "grouping_queries",
+    "pixel_queries",
+    "dataset_queries",
+)
 
 
 def collect() -> tuple[dict, dict[str, str]]:
