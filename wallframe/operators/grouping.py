@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.color import ciede2000_lab
 from ..functions.vectors import mean_vector
-from ..skew import ranked
+from ..skew import hot_keys, ranked, salted_join
 from ..store import materialize
 from .pairs import BLOCK, blended_join, similarity_join
 
@@ -33,19 +33,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edge ends and drops loops.  Hash order makes long sorted chains shrink by a constant share per
     round.  Nodes without edges never enter the rounds.
     """
-    links = edges.filter(F.col("i") != F.col("j")).select(KEY, F.col("i"), F.col("j"))
-    weight = lambda name: F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("n"))
-    ends = _both_ways(links).select(KEY, "node").distinct()
-    labels, touched = materialize(ends.withColumn("label", F.col("node")))
-    frontier, left = (links, 0) if not touched else materialize(links.distinct())
+    links = edges.filter(F.col("i") != F.col("j")).select(KEY, "i", "j").distinct()
+    hashed = lambda name: F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("n"))
+    rounds = []
+    frontier, left = materialize(links)
     while left:
-        best = _both_ways(frontier).groupBy(KEY, "node").agg(F.min(weight("other")).alias("w"))
-        hooks, _ = materialize(best.select(KEY, "node", F.least(F.col("w"), weight("node"))["n"].alias("root")))
-        labels, _ = materialize(
-            labels.join(hooks.withColumnRenamed("node", "label"), [KEY, "label"], "left").select(
-                KEY, "node", F.coalesce("root", "label").alias("label")
-            )
-        )
+        best = _both_ways(frontier).groupBy(KEY, "node").agg(F.min(hashed("other")).alias("near"))
+        hooks, _ = materialize(best.select(KEY, "node", F.least(F.col("near"), hashed("node"))["n"].alias("root")))
+        rounds.append(hooks)
         renamed = (
             frontier.join(hooks.withColumnsRenamed({"node": "i", "root": "a"}), [KEY, "i"])
             .join(hooks.withColumnsRenamed({"node": "j", "root": "b"}), [KEY, "j"])
@@ -54,9 +49,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .distinct()
         )
         frontier, left = materialize(renamed)
+    everyone = nodes.select(KEY, "hold_index")
+    if not rounds:
+        return everyone.withColumn("component", F.col("hold_index"))
+    labels = rounds[0].withColumnRenamed("root", "label")
+    for hooks in rounds[1:]:
+        labels = labels.join(hooks.withColumnRenamed("node", "label"), [KEY, "label"], "left").select(
+            KEY, "node", F.coalesce("root", "label").alias("label")
+        )
+    labels, _ = materialize(labels)
     smallest = labels.groupBy(KEY, "label").agg(F.min("node").alias("component"))
     named = labels.join(smallest, [KEY, "label"]).select(KEY, F.col("node").alias("hold_index"), "component")
-    return nodes.select(KEY, "hold_index").join(named, [KEY, "hold_index"], "left").select(
+    return everyone.join(named, [KEY, "hold_index"], "left").select(
         KEY, "hold_index", F.coalesce("component", "hold_index").alias("component")
     )
 
@@ -270,6 +274,7 @@ def kmeans(features: DataFrame, k: int = 6, seed: int = 0, max_iter: int = 100)
     ones up to 1e-8 + 1e-5 * |centre|; an empty cluster keeps its centre.
     """
     rows, _ = materialize(features.select(KEY, "hold_index", "features"))
+    hot, n_hot = materialize(hot_keys(rows, [KEY]))
     stacked = lambda t: t.groupBy(KEY).agg(  # noqa: E731  at most k rows per image
         F.array_sort(F.collect_list(F.struct("c", "center"))).alias("centers")
     )
@@ -287,7 +292,11 @@ def kmeans(features: DataFrame, k: int = 6, seed: int = 0, max_iter: int = 100)
                 c["c"].alias("c"),
             ),
         )
-        return rows.join(current, KEY).withColumn("label", F.array_min(scored)["c"])
+        if n_hot:
+            both = salted_join(rows, current, [KEY], ["hold_index"], hot=hot)
+        else:
+            both = rows.join(current, KEY)
+        return both.withColumn("label", F.array_min(scored)["c"])
 
     for _ in range(max_iter):
         moving = assigned(centers.filter(~F.col("done")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..skew import salted_join
 from .validate import _split, finite
 
 TILE = 64
@@ -109,7 +110,7 @@ def hit_test(clicks: DataFrame, holds: DataFrame, tile: int = TILE) -> DataFrame
         {"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")}
     )
     hits = (
-        placed.join(areas, ["image_id", "ty", "tx"])
+        salted_join(placed, areas, ["image_id", "ty", "tx"], ["click_id"])
         .filter(
             (F.col("x") >= F.col("bbox.left"))
             & (F.col("x") < F.col("bbox.right"))

@@ -39,18 +39,18 @@ def salted_join(
     spread: Sequence[str],
     how: str = "inner",
     *,
-    sized_by: DataFrame | None = None,
+    hot: DataFrame | None = None,
     rows_per_task: int = 200_000,
 ) -> DataFrame:
     """Equi-join whose hot keys are split: left rows get a salt from ``spread``, right rows a copy per salt.
 
-    ``sized_by`` is a cheap table with the same key distribution; it defaults to ``left``.
+    ``hot`` is a result of ``hot_keys`` to reuse; by default the keys of ``left`` are counted.
     Right-preserving joins are not supported, since right rows are copied.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"unsupported join type for a salted join: {how}")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left if sized_by is None else sized_by, keys, rows_per_task))
+    hot = F.broadcast(hot_keys(left, keys, rows_per_task) if hot is None else hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted = (
         left.join(hot, keys, "left")
@@ -121,12 +121,13 @@ def suffix_max(
     peaks = chunks.groupBy(*group, "_chunk").agg(F.max(value).alias("_peak"))
     later = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
     peaks = peaks.select(*group, "_chunk", F.max("_peak").over(later).alias("_later"))
-    inside = (
-        Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    )
-    local = chunks.withColumn("_local", F.max(value).over(inside))
+    inside = Window.partitionBy(*group, "_chunk")
+    # Walking backwards keeps a running maximum; a frame that starts at each row would rescan the rest.
+    backwards = inside.orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = chunks.withColumn("_place", F.row_number().over(inside.orderBy(*order)))
+    local = placed.withColumn("_local", F.max(value).over(backwards))
     return (
         local.join(peaks, [*group, "_chunk"])
         .withColumn(name, F.greatest("_local", "_later"))
-        .drop("_local", "_later")
+        .drop("_local", "_later", "_place")
     )

@@ -37,14 +37,10 @@ def select_split_files(files: DataFrame, split: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     candidates = files.filter(F.greatest(*[name.endswith(e).cast("int") for e in ANNOTATION_ENDINGS]) == 1)
     stem = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
-    chosen = F.array_contains(F.split("path", "/"), split.lower()) | stem.contains(split.lower())
-    marked = candidates.withColumn("chosen", chosen)
-    any_chosen = marked.agg(F.coalesce(F.bool_or("chosen"), F.lit(False)).alias("any_chosen"))
-    return (
-        marked.join(F.broadcast(any_chosen))  # a single row
-        .filter(F.col("chosen") | ~F.col("any_chosen"))
-        .select(*files.columns)
+    chosen = candidates.filter(
+        F.array_contains(F.split("path", "/"), split.lower()) | stem.contains(split.lower())
     )
+    return candidates if chosen.isEmpty() else chosen
 
 
 def resolve_image_paths(names: DataFrame, files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -54,23 +50,29 @@ def resolve_image_paths(names: DataFrame, files: DataFrame, root: str) -> tuple[
     """
     root = root.rstrip("/")
     base = F.element_at(F.split("file_name", "/"), -1)
-    wanted = names.withColumns(
-        {"_base": base, "_beside": F.concat(F.regexp_replace("annotation_path", "/[^/]*$", ""), F.lit("/"), "file_name")}
+    exact = F.array(
+        F.concat(F.regexp_replace("annotation_path", "/[^/]*$", ""), F.lit("/"), "file_name"),
+        F.concat(F.lit(root + "/"), "file_name"),
+        F.concat(F.lit(root + "/images/"), base),
+    )
+    listing = files.select(F.col("path").alias("image_path")).distinct()
+    # Full paths join one to one; per basename only its first path takes part, so a name that many
+    # folders share stays one row.
+    by_path = (
+        names.select(*names.columns, F.posexplode(exact).alias("priority", "image_path"))
+        .join(listing, "image_path", "left_semi")
     )
-    listing = files.select(F.col("path").alias("image_path")).withColumn(
-        "_base", F.element_at(F.split("image_path", "/"), -1)
+    firsts = listing.groupBy(F.element_at(F.split("image_path", "/"), -1).alias("_base")).agg(
+        F.min("image_path").alias("image_path")
     )
-    path = F.col("image_path")
-    priority = (
-        F.when(path == F.col("_beside"), 0)
-        .when(path == F.concat(F.lit(root + "/"), "file_name"), 1)
-        .when(path == F.concat(F.lit(root + "/images/"), "_base"), 2)
-        .otherwise(3)
+    by_name = names.withColumn("_base", base).join(firsts, "_base").select(
+        *names.columns, F.lit(3).alias("priority"), "image_path"
     )
     best = (
-        wanted.join(listing, "_base")
+        by_path.select(*names.columns, "priority", "image_path")
+        .unionByName(by_name)
         .groupBy(*names.columns)
-        .agg(F.min(F.struct(priority.alias("priority"), path)).alias("best"))
+        .agg(F.min(F.struct("priority", "image_path")).alias("best"))
         .select(*names.columns, "best.image_path", "best.priority")
     )
     return best, names.join(best, names.columns, "left_anti")
