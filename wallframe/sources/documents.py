@@ -6,6 +6,8 @@ Each reader has two halves: ``read_*`` loads files, ``parse_*`` works on a table
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,28 @@ def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_underscored_texts(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """Whole files whose names start with an underscore, as (path, value).
+
+    Spark's readers treat such files as hidden, but annotation exports use such names.  Only their
+    paths are listed on the driver; tasks read the contents.
+    """
+    system, root = fs.FileSystem.from_uri(path)
+    found = system.get_file_info(fs.FileSelector(root, recursive=True))
+    paths = [(f.path,) for f in found if f.is_file and f.base_name.startswith("_") and f.base_name.endswith(ending)]
+
+    def load(batches):
+        source, _ = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with source.open_input_stream(name) as stream:
+                    text = stream.read().decode("utf-8")
+                yield pa.RecordBatch.from_pydict({"path": [name], "value": [text]})
+
+    listed = spark.createDataFrame(paths, "path string")
+    return listed.repartition("path").mapInArrow(load, "path string, value string")
+
+
 def _ring(flat: Column) -> Column:
     """x, y, x, y, ... to a polygon."""
     index = F.sequence(F.lit(0), F.size(flat) - 2, F.lit(2))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.validate import route_id_of
-from .documents import parse_coco, read_texts
+from .documents import parse_coco, read_texts, read_underscored_texts
 
 ANNOTATION_ENDINGS = ("_annotations.coco.json", "_restructured.json")
 DERIVED_FOLDERS = ("distorted", "augmented")
@@ -81,6 +81,7 @@ def resolve_image_paths(names: DataFrame, files: DataFrame, root: str) -> tuple[
 def load_records(spark: SparkSession, root: str, *, split: str = "test") -> tuple[DataFrame, DataFrame]:
     """(images, holds) of a benchmark folder: COCO documents joined with their image files."""
     texts = read_texts(spark, root, "*.json").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    texts = texts.unionByName(read_underscored_texts(spark, root, ".json"))
     chosen = select_split_files(texts, split)
     return records_from(chosen, list_files(spark, root), root, split)
 
