@@ -49,6 +49,16 @@ def compare(df, con, sql: str) -> str:
     return f"{len(wrong)} of {len(left[1])} rows differ, e.g. {wrong[0]}" if wrong else ""
 
 
+_KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def types(df, con, sql: str) -> str:
+    """Columns whose Spark and SQL types are not the same kind."""
+    right = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
+    pairs = [(f.name, f.dataType.simpleString(), right.get(f.name)) for f in df.schema.fields]
+    return "; ".join(f"{n} {a}/{b}" for n, a, b in pairs if _KINDS.get(a) != b)
+
+
 def main() -> None:
     import __spark_entry__ as entry
 
@@ -67,7 +77,7 @@ def main() -> None:
         try:
             df = fn(spark, sf)
             if name in oracle:
-                outcome = compare(df, con, oracle[name]) or f"ok {df.count()} rows"
+                outcome = compare(df, con, oracle[name]) or f"ok {types(df, con, oracle[name])}"
             else:
                 outcome = f"rows only: {len(df.collect())}"
         except Exception as error:  # noqa: BLE001

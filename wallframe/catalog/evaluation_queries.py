@@ -341,9 +341,12 @@ def _(spark, sf):
     return rows.withColumn("value", F.round("value", 6))
 
 
-@query("snk_report_json")
+@query("snk_report_json", f"""WITH {HOLDS_SQL}, {GROUPS_SQL}, {STATUS_SQL} SELECT condition, count(*) AS case_count, round(avg(purity), 6) AS purity, round(avg(hold_count), 6) AS hold_count FROM cs GROUP BY 1""")
 def _(spark, sf):
-    return rep.report_json(route_report(spark, sf)[1])
+    # The report text is parsed again, so that its content is what gets compared.
+    schema = "condition string, case_count bigint, purity double, hold_count double"
+    texts = rep.report_json(route_report(spark, sf)[1])
+    return texts.select(F.from_json("json", schema).alias("j")).select("j.condition", "j.case_count", r6("j.purity").alias("purity"), r6("j.hold_count").alias("hold_count"))
 
 
 @query("join_clean_distorted", f"""WITH {HOLDS_SQL}, {GROUPS_SQL}, {STATUS_SQL} SELECT d.source_id, d.image_id, round(d.purity - c.purity, 6) AS delta

@@ -316,7 +316,7 @@ def _(spark, sf):
     return stored.groupBy("detector", "grouper").agg(F.count("hold_index").alias("cases"), F.lit("completed").alias("status"))
 
 
-@query("snk_features", "SELECT label % 2 AS source, count(*) AS n FROM embeddings WHERE label % 2 = 1 GROUP BY 1")
+@query("snk_features", "SELECT CAST(label % 2 AS BIGINT) AS source, count(*) AS n FROM embeddings WHERE label % 2 = 1 GROUP BY 1")
 def _(spark, sf):
     from ..sources.files import write_features
 

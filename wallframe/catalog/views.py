@@ -58,7 +58,7 @@ d AS (SELECT x.image_id, x.hold_index AS i, y.hold_index AS j, x.truth AS ti, y.
 
 PIXELS_SQL = """
 px AS (SELECT CAST(floor(o_orderkey / 1500) AS BIGINT) AS image_id,
-  CAST(floor((o_orderkey % 1500) / 50) AS BIGINT) AS y, o_orderkey % 50 AS x,
+  CAST(floor((o_orderkey % 1500) / 50) AS INTEGER) AS y, CAST(o_orderkey % 50 AS INTEGER) AS x,
   CAST(floor(o_totalprice) AS BIGINT) % 256 AS r, (o_custkey * 7) % 256 AS g, (o_orderkey * 73) % 256 AS b FROM orders),
 pm AS (SELECT image_id, g AS hold_index, (image_id * 7 + g * 11) % 40 AS l, (image_id * 5 + g * 3) % 24 AS t,
   least((image_id * 7 + g * 11) % 40 + 5 + g, 49) AS r, least((image_id * 5 + g * 3) % 24 + 4 + g % 3, 29) AS b
