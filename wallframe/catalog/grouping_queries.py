@@ -16,7 +16,7 @@ from ..operators.validate import with_confidence
 from ..plans import matrix as mx
 from ..plans import reports as rep
 from ..plans import routes as rt
-from ..registry import run_groupers
+from ..registry import run_groupers, slug
 from ..store import materialize, shared_dir
 from . import views as w
 from .evaluation_queries import DETECTORS, METRIC_SQL
@@ -269,7 +269,39 @@ MATRIX_SPECS = (
 )
 
 
-@query("run_matrix")
+SLUGS = tuple(slug(name, config) for name, config in MATRIX_SPECS)
+
+# Groups as components of close shapes; u: unit text, hold_index, truth, e.
+SHAPE_SQL = """
+sd AS (SELECT x.u, x.hold_index AS i, y.hold_index AS j, 1 - list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) AS dist
+  FROM u x JOIN u y ON x.u = y.u AND x.hold_index < y.hold_index),
+close AS (SELECT concat('dbscan|', u) AS u, i, j FROM sd WHERE dist <= 0.05 UNION ALL SELECT concat('single|', u), i, j FROM sd WHERE dist < 0.02),
+bw AS (SELECT u, i AS a, j AS b FROM close UNION ALL SELECT u, j, i FROM close),
+reach AS (SELECT u, a, b FROM bw UNION SELECT r.u, r.a, bw.b FROM reach r JOIN bw ON bw.u = r.u AND bw.a = r.b),
+low AS (SELECT u, a AS hold_index, min(b) AS b FROM reach GROUP BY 1, 2),
+gp AS (SELECT v.u, v.hold_index, v.truth, least(v.hold_index, coalesce(low.b, v.hold_index)) AS pred FROM
+  (SELECT concat('dbscan|', u) AS u, hold_index, truth FROM u UNION ALL SELECT concat('single|', u), hold_index, truth FROM u) v LEFT JOIN low ON low.u = v.u AND low.hold_index = v.hold_index)
+"""
+SHAPE_VECTOR = "CAST([p.l - 45, p.t - 45, p.r - p.l - 16, p.k - 50] AS DOUBLE[]) AS e"
+
+
+def _matrix_sql() -> str:
+    from .evaluation_queries import MATCH_SQL
+    from .geometry_queries import IOU_SQL
+
+    return f"""WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {MATCH_SQL},
+u AS (SELECT concat(p.event_type, '|', p.image_id) AS u, p.hold_index, coalesce(a.route_id, p.route_id) AS truth, {SHAPE_VECTOR}
+  FROM p LEFT JOIN m ON m.image_id = p.image_id AND m.pred_idx = p.hold_index LEFT JOIN a ON a.hold_index = m.ann_idx WHERE coalesce(a.route_id, p.route_id) IS NOT NULL),
+{SHAPE_SQL},
+cell AS (SELECT u AS image_id, pred, truth, count(*) AS n FROM (SELECT u, pred, truth FROM gp UNION ALL SELECT concat('same|', u), truth, truth FROM u) GROUP BY 1, 2, 3),
+{_metric_tail()},
+gr AS (SELECT * FROM (VALUES ('dbscan', '{SLUGS[0]}'), ('single', '{SLUGS[1]}'), ('same', '{SLUGS[2]}')) AS g(short, grouper)),
+cs AS (SELECT s.detector, gr.grouper, CASE WHEN im.condition = 'clean' THEN 'clean' ELSE 'distorted' END AS condition, cm.* FROM im CROSS JOIN (VALUES ('view'), ('click')) AS s(detector) CROSS JOIN gr
+  LEFT JOIN cm ON cm.image_id = concat(gr.short, '|', s.detector, '|', im.image_id))
+SELECT detector, grouper, condition, count(*) AS case_count, count(hold_count) AS evaluated_case_count, {', '.join(f'round(avg({m}), 6) AS {m}' for m in rt.METRICS)} FROM cs GROUP BY 1, 2, 3"""
+
+
+@query("run_matrix", _matrix_sql())
 def _(spark, sf):
     cases, aggregates, _ = mx.evaluation_matrix(
         w.images(spark, sf), w.predictions(spark, sf), w.annotations(spark, sf), iou_table(spark, sf, 0.5), matrix_features(spark, sf), DETECTORS, MATRIX_SPECS
@@ -277,7 +309,8 @@ def _(spark, sf):
     return aggregates.select("detector", "grouper", "condition", "case_count", "evaluated_case_count", *[r6(m) for m in rt.METRICS])
 
 
-@query("run_two_stage")
+@query("run_two_stage", f"""WITH RECURSIVE {HOLDS_SQL}, u AS (SELECT CAST(p.image_id AS VARCHAR) AS u, p.hold_index, 0 AS truth, {SHAPE_VECTOR} FROM p WHERE p.conf >= 0.1), {SHAPE_SQL}
+  SELECT CAST(split_part(u, '|', 2) AS BIGINT) AS image_id, count(*) AS hold_count, count(DISTINCT pred) AS route_count FROM gp WHERE u LIKE 'dbscan|%' GROUP BY 1""")
 def _(spark, sf):
     holds = with_confidence(w.predictions(spark, sf)).filter("confidence >= 0.1")
     groups = mx.two_stage(holds, matrix_features(spark, sf), "embedding_clustering", {"method": "dbscan", "eps": 0.05, "min_samples": 2, "color_weight": 0.0})

@@ -166,40 +166,47 @@ def average_linkage(
     unit = features.select(
         KEY, "hold_index", vectors.unit(F.col("embedding")).alias("embedding"), *(["lab"] if color_weight else [])
     )
-    members, _ = materialize(unit.withColumn("component", F.col("hold_index")))
+    members, _ = materialize(unit.withColumn("component", F.col("hold_index")).withColumn("fresh", F.lit(True)))
+    links = None
     while True:
-        centers = members.groupBy(KEY, "component").agg(mean_vector("embedding").alias("center"))
-        close = _mean_cosine_join(centers, bound, block)
-        if color_weight:
-            side = lambda name, lab: members.select(
-                KEY, F.col("component").alias(name), F.col("lab").alias(lab)
-            )
-            close = (
-                close.join(side("a", "lab_a"), [KEY, "a"])
-                .join(side("b", "lab_b"), [KEY, "b"])
-                .withColumn("c", ciede2000_lab(F.col("lab_a"), F.col("lab_b")))
-                .groupBy(KEY, "a", "b")
-                .agg(F.first("dist").alias("dist"), F.avg("c").alias("c"))
-                .select(KEY, "a", "b", vectors.blend(F.col("dist"), F.col("c"), color_weight).alias("dist"))
-                .filter(F.col("dist") < threshold)
-            )
-        merges, found = materialize(_mutual_nearest(close))
-        if not found:
+        measured = _cluster_links(members, threshold, bound, color_weight, block)
+        links, left = materialize(measured if links is None else links.unionByName(measured))
+        if not left:
             return members.select(KEY, "hold_index", "component")
-        members, _ = materialize(_relabel(members, merges, "component"))
+        merges, _ = materialize(_mutual_nearest(links))
+        ends = merges.select(KEY, F.explode(F.array("a", "b")).alias("end"))
+        for side in ("a", "b"):
+            links = links.join(ends.withColumnRenamed("end", side), [KEY, side], "left_anti")
+        grown = merges.select(KEY, F.col("a").alias("component"), F.lit(True).alias("_grown"))
+        members, _ = materialize(
+            _relabel(members.drop("fresh"), merges, "component")
+            .join(grown, [KEY, "component"], "left")
+            .withColumn("fresh", F.coalesce("_grown", F.lit(False)))
+            .drop("_grown")
+        )
 
 
-def _mean_cosine_join(centers: DataFrame, bound: float, block: int) -> DataFrame:
-    """Cluster pairs with 1 - <mean a, mean b> below ``bound``."""
-    joined = similarity_join(
-        centers.withColumnRenamed("component", "hold_index"),
-        bound,
-        metric="inner",
-        strict=True,
-        block=block,
-        vector="center",
+def _cluster_links(members: DataFrame, threshold: float, bound: float, color_weight: float, block: int) -> DataFrame:
+    """Cluster pairs below the threshold (image_id, a, b, dist) with at least one fresh cluster."""
+    centers = members.groupBy(KEY, "component").agg(
+        mean_vector("embedding").alias("center"), F.bool_or("fresh").alias("fresh")
+    )
+    # On unit vectors 1 - <mean a, mean b> is the mean cosine distance.
+    close = similarity_join(
+        centers, bound, metric="inner", strict=True, marked="fresh", block=block, index="component", vector="center"
+    ).select(KEY, F.col("i").alias("a"), F.col("j").alias("b"), "dist")
+    if not color_weight:
+        return close
+    side = lambda name, lab: members.select(KEY, F.col("component").alias(name), F.col("lab").alias(lab))
+    return (
+        close.join(side("a", "lab_a"), [KEY, "a"])
+        .join(side("b", "lab_b"), [KEY, "b"])
+        .withColumn("c", ciede2000_lab(F.col("lab_a"), F.col("lab_b")))
+        .groupBy(KEY, "a", "b")
+        .agg(F.first("dist").alias("dist"), F.avg("c").alias("c"))
+        .select(KEY, "a", "b", vectors.blend(F.col("dist"), F.col("c"), color_weight).alias("dist"))
+        .filter(F.col("dist") < threshold)
     )
-    return joined.withColumnsRenamed({"i": "a", "j": "b"})
 
 
 def agglomerative(

@@ -68,6 +68,13 @@ def block_sides(table: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
     return table.filter(mine), table.filter(pc.invert(mine)), False
 
 
+def _measured(left: np.ndarray | None, right: np.ndarray | None, n: int, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row and column sets to compare: all, or those where at least one side is marked."""
+    if left is None:
+        return [(np.arange(n), np.arange(m))]
+    return [(np.flatnonzero(left), np.arange(m)), (np.flatnonzero(~left), np.flatnonzero(right))]
+
+
 def strips(
     left: pa.Table, right: pa.Table, same: bool, index: str = "hold_index"
 ) -> Iterator[tuple[slice, np.ndarray]]:
@@ -95,6 +102,7 @@ def similarity_join(
     metric: str = "cosine",
     carry: Sequence[str] = (),
     strict: bool = False,
+    marked: str | None = None,
     block: int = BLOCK,
     key: str = "image_id",
     index: str = "hold_index",
@@ -102,7 +110,8 @@ def similarity_join(
 ) -> DataFrame:
     """Unordered pairs i < j of one image within ``max_distance``: key, i, j, dist, carried columns.
 
-    ``metric`` is ``cosine``, ``sq_l2`` or ``inner`` (1 - dot product, no scaling).  Carried columns come back as ``<name>_i`` and ``<name>_j``.
+    ``metric`` is ``cosine``, ``sq_l2`` or ``inner`` (1 - dot product, no scaling).  Carried columns come back as ``<name>_i`` and ``<name>_j``.  With a boolean column ``marked`` only pairs
+    with at least one marked row are measured.
     """
     if metric not in {"cosine", "sq_l2", "inner"}:
         raise ValueError(f"unknown metric {metric!r}")
@@ -117,13 +126,20 @@ def similarity_join(
         lv, rv = matrix(left[vector]), matrix(right[vector])
         if metric == "cosine":
             lv, rv = unit_rows(lv), unit_rows(rv)
+        ids, others = left[index].to_numpy(), right[index].to_numpy()
+        flags = [None if marked is None else t[marked].to_numpy() for t in (left, right)]
         rows, cols, found = [], [], []
-        for part, owned in strips(left, right, same, index) if len(right) else ():
-            d = _distances(metric, lv[part], rv)
-            r, c = np.nonzero(owned & ((d < max_distance) if strict else (d <= max_distance)))
-            rows.append(r + part.start)
-            cols.append(c)
-            found.append(d[r, c])
+        for some, against in _measured(*flags, len(ids), len(others)):
+            for start in range(0, len(some) if len(against) else 0, STRIP):
+                part = some[start : start + STRIP]
+                d = _distances(metric, lv[part], rv[against])
+                near = (d < max_distance) if strict else (d <= max_distance)
+                if same:
+                    near &= ids[part, None] < others[None, against]
+                r, c = np.nonzero(near)
+                rows.append(part[r])
+                cols.append(against[c])
+                found.append(d[r, c])
         r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         c = np.concatenate(cols) if cols else np.zeros(0, np.int64)
         d = np.concatenate(found) if found else np.zeros(0)
@@ -137,7 +153,7 @@ def similarity_join(
             columns += [first(name), second(name)]
         return pa.table(columns, names=names)
 
-    used = features.select(*dict.fromkeys([key, index, vector, *carry]))
+    used = features.select(*dict.fromkeys([key, index, vector, *([marked] if marked else []), *carry]))
     return (
         blocked(used, block, key, index)
         .groupBy(key, "_lo", "_hi")
