@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import color_features  # noqa: F401
 from ..operators.matching import match_greedy
 from ..operators.transfer import map_back, transfer_labels
-from ..operators.validate import with_confidence
+from ..operators.validate import validate_holds, with_confidence
 from ..plans import detection as d
 from ..plans import reports as rep
 from ..plans import routes as rt
@@ -318,6 +317,17 @@ def _(spark, sf):
     )
 
 
+@query("evl_error_cases", f"""WITH {HOLDS_SQL}, bad AS (SELECT DISTINCT event_type, image_id FROM p WHERE hold_index % 50 = 0)
+  SELECT s.implementation_id, CASE WHEN bad.image_id IS NOT NULL THEN 'error' WHEN im.image_id IN (SELECT image_id FROM a) THEN 'evaluated' ELSE 'unevaluable' END AS status,
+  CASE WHEN bad.image_id IS NOT NULL THEN 'polygon' END AS error, count(*) AS n FROM im CROSS JOIN (VALUES ('view'), ('click')) AS s(implementation_id)
+  LEFT JOIN bad ON bad.image_id = im.image_id AND bad.event_type = s.implementation_id GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    broken = F.slice("polygon", F.lit(1), F.when(F.col("hold_index") % 50 == 0, 2).otherwise(4))
+    ok, rejected = validate_holds(labelled_predictions(spark, sf).withColumn("polygon", broken))
+    cases = d.detection_cases(w.images(spark, sf), ok, truth_rows(spark, sf), DETECTORS, rejected)
+    return cases.groupBy("implementation_id", "status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("evl_summary", f"""WITH {HOLDS_SQL}, {GROUPS_SQL}, {STATUS_SQL}, u AS (UNPIVOT (SELECT {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in rt.METRICS)} FROM cs WHERE status = 'evaluated')
   ON {', '.join(rt.METRICS)} INTO NAME metric VALUE value)
   SELECT metric, round(avg(value), 6) AS value FROM u GROUP BY 1 UNION ALL SELECT 'case_count', count(*) FROM cs UNION ALL

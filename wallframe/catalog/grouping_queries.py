@@ -19,7 +19,7 @@ from ..plans import routes as rt
 from ..registry import run_groupers, slug
 from ..store import materialize, shared_dir
 from . import views as w
-from .evaluation_queries import DETECTORS, METRIC_SQL
+from .evaluation_queries import DETECTORS
 from .geometry_queries import iou_table
 from .views import HOLDS_SQL, VECS_SQL, r6
 

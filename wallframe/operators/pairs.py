@@ -8,7 +8,7 @@ below a distance, the nearest neighbours, the pairs a model accepts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa

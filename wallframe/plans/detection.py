@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.matching import assign_by_confidence
 from ..skew import chunked, ranked, row_numbers, suffix_max
 
-IOU_THRESHOLDS = tuple(round(0.50 + 0.05 * n, 2) for n in range(10))
+# The IoU levels of the AP sweep.
+IOU_THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 TARGET = ["implementation_id", "condition"]
 
 
@@ -139,9 +140,17 @@ def each(values: Sequence[str]) -> Column:
 
 
 def detection_cases(
-    images: DataFrame, predictions: DataFrame, annotations: DataFrame, detectors: Sequence[str]
+    images: DataFrame,
+    predictions: DataFrame,
+    annotations: DataFrame,
+    detectors: Sequence[str],
+    rejected: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per detector and image with counts, confidence origins and status."""
+    """One row per detector and image with counts, confidence origins, status and error.
+
+    ``rejected`` holds rows a validator refused (implementation_id, image_id, reason): their case is an
+    error, named after the first reason.
+    """
     per_image = predictions.groupBy("implementation_id", "image_id").agg(
         F.count(F.lit(1)).alias("prediction_count"),
         F.count_if(F.col("confidence_source") == "attribute").alias("confidence_attribute_count"),
@@ -154,6 +163,11 @@ def detection_cases(
         .join(per_image, ["implementation_id", "image_id"], "left")
         .join(truths, "image_id", "left")
     )
+    if rejected is None:
+        cases = cases.withColumn("error", F.lit(None).cast("string"))
+    else:
+        errors = rejected.groupBy("implementation_id", "image_id").agg(F.min("reason").alias("error"))
+        cases = cases.join(errors, ["implementation_id", "image_id"], "left")
     return cases.select(
         "implementation_id",
         reported_condition(F.col("condition")).alias("condition"),
@@ -162,7 +176,8 @@ def detection_cases(
         F.coalesce("source_id", "image_id").alias("source_id"),
         "split",
         "parent_image_id",
-        case_status(F.coalesce(F.col("ground_truth_count"), F.lit(0))).alias("status"),
+        case_status(F.coalesce(F.col("ground_truth_count"), F.lit(0)), F.col("error")).alias("status"),
+        "error",
         zero("prediction_count"),
         zero("ground_truth_count"),
         zero("confidence_attribute_count"),
