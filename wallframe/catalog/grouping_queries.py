@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
@@ -121,9 +122,25 @@ def _(spark, sf):
     )
 
 
-@query("pair_head")
+def formula_head() -> dict[str, np.ndarray]:
+    """A two-unit head whose weights follow from their index, so that SQL can state them."""
+    k = np.arange(135)
+    return {
+        "w1": np.stack([(k * 3 % 7 - 3) / 50, (k * 4 % 7 - 3) / 50], axis=1),
+        "b1": np.array([0.1, -0.1]),
+        "w2": np.array([0.7, -0.9]),
+        "b2": np.array(0.05),
+    }
+
+
+@query("pair_head", f"""WITH {BLEND_SQL},
+  f AS (SELECT de.image_id, de.i, de.j, list_concat(list_concat(list_transform(range(1, 65), lambda k: abs(x.e[k] - y.e[k])), list_transform(range(1, 65), lambda k: x.e[k] * y.e[k])),
+    [de.de, abs(l1 - l2), abs(a1 - a2), abs(b1 - b2), (l1 + l2) / 2, (a1 + a2) / 2, (b1 + b2) / 2]) AS f FROM de JOIN vecs x ON x.hold_index = de.i JOIN vecs y ON y.hold_index = de.j),
+  z AS (SELECT *, 0.7::DOUBLE * greatest(0, 0.1::DOUBLE + list_sum(list_transform(range(135), lambda k: f[k + 1] * (k * 3 % 7 - 3) / 50.0::DOUBLE)))
+    - 0.9::DOUBLE * greatest(0, -0.1::DOUBLE + list_sum(list_transform(range(135), lambda k: f[k + 1] * (k * 4 % 7 - 3) / 50.0::DOUBLE))) + 0.05::DOUBLE AS z FROM f)
+  SELECT image_id, i, j, round(1 / (1 + exp(-z)), 6) AS probability FROM z WHERE 1 / (1 + exp(-z)) >= 0.8""")
 def _(spark, sf):
-    scored = pr.score_pairs(w.vectors(spark, sf), mdl.random_head(135), threshold=0.6)
+    scored = pr.score_pairs(w.vectors(spark, sf), formula_head(), threshold=0.8)
     return scored.select("image_id", "i", "j", r6("probability"))
 
 
