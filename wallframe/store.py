@@ -34,7 +34,18 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     path = f"{shared_dir(spark)}/wallframe/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored, int(seen.get["rows"])
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more."""
+    path = getattr(stored, "stored_at", None)
+    if path:
+        jvm = stored.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def until_empty(
