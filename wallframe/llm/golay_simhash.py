@@ -229,8 +229,100 @@ def hex_print(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 3) -> DataFrame:
-    """Rows of ``docs``, all columns, of which one stays per component: the one with its smallest id."""
-    found = near_components(docs, doc_id, text, width=width)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(gone["gone_id"]), "left_anti")
+# Similar texts rather than near fingerprints: a longer SimHash over distinct words, in blocks of 23 bits.
+BLOCKS = 16
+LANES = 6
+EXACT_BITS = 16
+# Angle of two word sets, as a share of bits, up to which a candidate is worth an exact comparison.
+FARTHEST = 0.22
+
+
+def word_print(raw: bytes) -> bytes:
+    """A SimHash of ``LANES`` * 64 bits over the distinct lower-cased words."""
+    import xxhash
+
+    words = set(raw.lower().split())
+    ones = np.zeros(64 * LANES, dtype=np.int64)
+    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), words), dtype=np.uint64, count=len(words))
+    for start in range(0, len(hashes), CHUNK):
+        part = hashes[start : start + CHUNK]
+        lanes = np.stack([_mix(part + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(LANES)], axis=1)
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words), bitorder="little").tobytes()
+
+
+def word_shingles(raw: bytes, width: int) -> list[int]:
+    """Distinct hashes of the ``width``-word shingles; fewer words are one shingle, none no shingle."""
+    import xxhash
+
+    words = raw.lower().split()
+    shingles = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles)), dtype=np.uint64)).view(np.int64).tolist()
+
+
+def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block: its first bits exactly, with each Golay number of the next block."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        bits = np.unpackbits(np.frombuffer(b"".join(batch["print"]), dtype=np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+        blocks = bits[:, : BLOCKS * LENGTH].reshape(-1, BLOCKS, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
+        node = batch["node"].to_numpy()
+        for number in range(BLOCKS):
+            row, near = near_indices(blocks[:, (number + 1) % BLOCKS])
+            fixed = blocks[row, number] & ((1 << EXACT_BITS) - 1)
+            yield pd.DataFrame({"key": np.int64(number) << 40 | fixed << 12 | near, "node": node[row]})
+
+
+@F.pandas_udf("double")
+def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Share of differing bits."""
+    for a, b in batches:
+        x, y = (np.frombuffer(b"".join(side), dtype=np.uint64).reshape(len(side), LANES) for side in (a, b))
+        yield pd.Series(np.bitwise_count(x ^ y).sum(axis=1) / (64 * LANES))
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of the rows of ``docs`` that are linked to another row.
+
+    Candidates share a Golay key; in each bucket every member is paired with the smallest and the
+    largest member, which keeps pairs linear in the bucket's size.  A pair links if the Jaccard
+    similarity of its ``width``-word shingles is ``similarity`` or more, computed on whole texts.
+    Texts without a word link to none.  Recall against all pairs is measured in the tests.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("raw"))
+    nodes, _ = materialize(
+        rows.select("doc_id", per_text(lambda: word_print, "binary")(F.col("raw")).alias("print"), F.length("raw").alias("size"))
+        .groupBy("doc_id").agg(F.max("print").alias("print"), F.max("size").alias("size")).filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
+    )
+    nodes = nodes.withColumnRenamed("doc_id", "node")
+    keyed, _ = materialize(nodes.select("node", "print").mapInPandas(_block_keys, "key bigint, node bigint"))
+    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    met = keyed.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
+    pairs = met.filter("node != other").select(F.least("node", "other").alias("i"), F.greatest("node", "other").alias("j")).distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
+    close = pairs.join(side("i"), "i").join(side("j"), "j").filter(_distance("print_i", "print_j") <= FARTHEST).select("i", "j")
+    close, _ = materialize(close)
+    discard(keyed)
+    wanted = close.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct()
+    hashed = rows.join(wanted, "doc_id").select("doc_id", per_text(lambda: partial(word_shingles, width=width), "array<bigint>")(F.col("raw")).alias("set"))
+    sets, _ = materialize(hashed)
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("set").alias(f"set_{name}"))
+    both = F.size(F.array_intersect("set_i", "set_j"))
+    alike = both >= similarity * (F.size("set_i") + F.size("set_j") - both)
+    edges, _ = materialize(close.join(side("i"), "i").join(side("j"), "j").filter(alike).select("i", "j").distinct())
+    discard(sets)
+    image = F.lit(0).alias("image_id")
+    linked = edges.select(F.explode(F.array("i", "j")).alias("hold_index")).distinct()
+    found = connected_components(linked.select(image, "hold_index"), edges.select(image, "i", "j"))
+    return found.select(F.col("hold_index").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs``, all columns, of which one stays per group of similar texts: the one with the smallest id.
+
+    Ids are expected to differ; rows with a null id and texts without a word stay.
+    """
+    found = similar_components(docs, doc_id, text, width=width, similarity=similarity)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col(doc_id) == gone["gone_id"], "left_anti")
