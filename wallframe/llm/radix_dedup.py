@@ -42,7 +42,8 @@ def duplicate_members(
     current = rows.select("doc_id", F.sha2("rest", 256).alias("text_sha256"), "rest", F.length("rest").alias("n"), digit.alias("digit"))
     keys, width, end = ["n", "digit"], first, first
     while alive:
-        met = current.join(groups, keys)
+        # A merge join at every size: the first one moves each text once, later ones only what is left.
+        met = current.join(groups.hint("merge"), keys)
         stage, _ = materialize(
             met.select("doc_id", "text_sha256", "gid", "n", "keep_id", "size", F.expr(f"substring(rest, {width} + 1)").alias("rest"))
         )
