@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..operators.grouping import connected_components
 from ..store import discard, materialize, union_all
@@ -85,7 +86,7 @@ def narrower_keys(keys: np.ndarray, prints: np.ndarray, masks: np.ndarray) -> tu
         for part in range(RADIUS + 1):
             fixed = sum(1 << bit for bit in open_bits[part :: RADIUS + 1])
             value = prints[at] & np.uint64(fixed)
-            key = _mix(keys[at] ^ _mix(value + np.uint64(part + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            key = _mix(keys[at] ^ _mix(value + np.uint64((part + 1) * 0x9E3779B97F4A7C15 % 2**64)))
             out.append((key, prints[at], np.full(len(at), int(mask) & ~fixed, dtype=np.uint64)))
     return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
@@ -274,7 +275,7 @@ def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": np.int64(number) << 40 | fixed << 12 | near, "node": node[row]})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Share of differing bits."""
     for a, b in batches:

@@ -105,6 +105,7 @@ class SplitTree:
 
 def _closing(group: pd.DataFrame) -> pd.DataFrame:
     """Of a source's next few documents, those that together come nearest to the words still missing."""
+    group = group.sort_values("place")
     sizes, gap = group["size"].tolist(), int(group["gap"].iloc[0])
     best, chosen = abs(gap), ()
     for count in range(1, len(sizes) + 1):
