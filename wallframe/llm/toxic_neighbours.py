@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import discard, materialize
 from .common import per_text, text_bytes
 
 PREFIXES = range(3, 9)
@@ -38,13 +40,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class Limits:
     """Bounds of the fit; everything else covers all rows."""
 
-    examples: int = 20_000
+    examples: int = 10_000
     features: int = 4_096
     postings: int = 2_000_000
     neighbours: int = 25
+    least_toxic: int = 3
     least_g: float = 24.0
     least_lift: float = 2.0
-    block: int = 64
+    block: int = 512
     evidence: int = 3
 
 
@@ -74,12 +77,12 @@ def g_score(with_toxic: int, with_all: int, toxic: int, total: int) -> float:
 
 @dataclass
 class Index:
-    """Distinct example vectors in blocks, with postings and block maxima per feature."""
+    """Distinct example vectors in blocks: postings per feature, where each block's begin, and block maxima."""
 
-    starts: np.ndarray
-    entries: np.ndarray
-    weights: np.ndarray
-    block_max: list[tuple[np.ndarray, np.ndarray]]
+    entries: list[np.ndarray]
+    weights: list[np.ndarray]
+    begins: list[np.ndarray]
+    maxima: np.ndarray
     counts: np.ndarray
     toxic: np.ndarray
     ids: list[list]
@@ -93,46 +96,41 @@ class Index:
         order = np.lexsort((entry, terms))
         terms, entry, weight = terms[order], entry[order], weight[order]
         starts = np.searchsorted(terms, np.arange(features + 1))
-        maxima = []
-        for term in range(features):
-            part = slice(starts[term], starts[term + 1])
-            blocks, first = np.unique(entry[part] // block, return_index=True)
-            maxima.append((blocks, np.maximum.reduceat(weight[part], first) if len(first) else weight[part]))
-        return cls(starts, entry, weight, maxima, np.asarray(counts), np.asarray(toxic), ids, block)
+        blocks = -(-len(vectors) // block)
+        entries = [entry[starts[t] : starts[t + 1]] for t in range(features)]
+        weights = [weight[starts[t] : starts[t + 1]] for t in range(features)]
+        begins = [np.searchsorted(e, np.arange(blocks + 1) * block) for e in entries]
+        maxima = np.zeros((features, blocks))
+        np.maximum.at(maxima, (terms, entry // block), weight)
+        return cls(entries, weights, begins, maxima, np.asarray(counts, dtype=np.int64), np.asarray(toxic, dtype=np.int64), ids, block)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, wanted: int, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, entry) of the nearest entries that together hold ``wanted`` examples, ties included.
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, wanted: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the nearest entries that together hold ``wanted`` examples, ties included.
 
         ``skip`` leaves one example of that entry out.
         """
-        blocks = -(-len(self.counts) // self.block)
-        bound = np.zeros(blocks)
-        for term, weight in zip(terms, weights, strict=True):
-            at, most = self.block_max[term]
-            bound[at] += weight * most
-        found: list[tuple[float, int]] = []
-        worst = 0.0
-        for number in np.argsort(-bound, kind="stable"):
+        bound = weights @ self.maxima[terms]
+        values, found, worst = np.zeros(0), np.zeros(0, dtype=np.int64), 0.0
+        for number in np.argsort(-bound, kind="stable").tolist():
             if bound[number] <= 0 or bound[number] < worst - 1e-9:
                 break
-            low, score = number * self.block, np.zeros(self.block)
-            for term, weight in zip(terms, weights, strict=True):
-                part = slice(self.starts[term], self.starts[term + 1])
-                entries = self.entries[part]
-                a, b = np.searchsorted(entries, (low, low + self.block))
-                score[entries[a:b] - low] += weight * self.weights[part][a:b]
-            hit = np.nonzero(score > 0)[0]
-            found += [(round(float(score[k]), 9), int(low + k)) for k in hit]
-            found.sort(key=lambda pair: (-pair[0], pair[1]))
-            held, last = 0, None
-            for place, (value, entry) in enumerate(found):
-                if last is not None and value < last:
-                    del found[place:]
-                    break
-                held += int(self.counts[entry]) - (entry == skip)
-                if last is None and held >= wanted:
-                    last = worst = value
-        return found
+            score = np.zeros(self.block)
+            low = number * self.block
+            for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
+                begin, end = self.begins[term][number], self.begins[term][number + 1]
+                if begin < end:
+                    score[self.entries[term][begin:end] - low] += weight * self.weights[term][begin:end]
+            hit = np.nonzero(score > max(0.0, worst - 1e-8))[0]
+            values = np.concatenate([values, np.round(score[hit], 9)])
+            found = np.concatenate([found, hit + low])
+            order = np.lexsort((found, -values))
+            values, found = values[order], found[order]
+            held = np.cumsum(self.counts[found] - (found == skip))
+            if len(held) and held[-1] >= wanted:
+                worst = float(values[int(np.searchsorted(held, wanted))])
+                end = int(np.searchsorted(-values, -worst, side="right"))
+                values, found = values[:end], found[:end]
+        return values, found
 
 
 @dataclass
@@ -154,19 +152,18 @@ class Model:
         length = math.sqrt(float(weights @ weights))
         return terms, weights / length if length else weights
 
-    def votes(self, terms: np.ndarray, weights: np.ndarray, own: tuple[int, int] | None = None) -> tuple[float, list[tuple[float, int]]]:
+    def votes(self, terms: np.ndarray, weights: np.ndarray, own: tuple[int, int] | None = None) -> tuple[float, tuple[np.ndarray, np.ndarray] | None]:
         """Distance-weighted share of toxic votes and the neighbours; ``own`` = (entry, label) is left out."""
         if not len(terms):
-            return self.zero_rate, []
+            return self.zero_rate, None
         near = self.index.nearest(terms, weights, self.limits.neighbours, own[0] if own else -1)
-        votes, whole = self.rate, 1.0
-        for cosine, entry in near:
-            weight = 1 / (0.1 + 1 - min(cosine, 1.0)) / 10
-            toxic, count = self.index.toxic[entry], self.index.counts[entry]
-            if own and entry == own[0]:
-                toxic, count = toxic - own[1], count - 1
-            votes += weight * toxic
-            whole += weight * count
+        cosine, entry = near
+        weight = 0.1 / (1.1 - np.minimum(cosine, 1.0))
+        toxic, count = self.index.toxic[entry], self.index.counts[entry]
+        if own:
+            mine = entry == own[0]
+            toxic, count = toxic - own[1] * mine, count - mine
+        votes, whole = self.rate + float(weight @ toxic), 1.0 + float(weight @ count)
         return votes / whole, near
 
     def score(self, vote: float) -> float:
@@ -196,7 +193,7 @@ def reader(features: dict[str, int]):
         for word, count in Counter(words_of(raw)).items():
             hits = known.get(word)
             if hits is None:
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 hits = known[word] = tuple(features[f] for f in word_features(word) if f in features)
             for hit in hits:
@@ -206,20 +203,39 @@ def reader(features: dict[str, int]):
     return read
 
 
-def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Feature counts of the examples of one partition, all and toxic; bounded by the sample."""
-    every: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
-    for batch in batches:
-        for raw, label in zip(batch["raw"], batch["toxic"], strict=True):
-            found = text_features(raw)
-            every.update(found)
-            if label:
-                toxic.update(found)
-    names = list(every)
-    for at in range(0, len(names), 50_000):
-        some = names[at : at + 50_000]
-        yield pd.DataFrame({"feature": some, "n": [every[f] for f in some], "k": [toxic[f] for f in some]})
+def _tally(chosen: set[str] | None):
+    """Feature counts of one partition of examples: of all features, or of ``chosen`` ones; bounded by the sample."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every: Counter[str] = Counter()
+        for batch in batches:
+            for raw in batch["raw"]:
+                found = text_features(raw)
+                every.update(found if chosen is None else found & chosen)
+        names = list(every)
+        for at in range(0, len(names), 50_000):
+            some = names[at : at + 50_000]
+            yield pd.DataFrame({"feature": some, "n": [every[f] for f in some]})
+
+    return tally
+
+
+def _count_features(examples: DataFrame, chosen: set[str] | None = None) -> DataFrame:
+    """feature, n: in how many examples a feature occurs."""
+    partial = examples.select("raw").mapInPandas(_tally(chosen), "feature string, n bigint")
+    return partial.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def choose_features(examples: DataFrame, total: int, toxic: int, limits: Limits) -> list[str]:
+    """Features that go with label 1, by falling statistic: first counted in toxic examples, then the frequent ones in all."""
+    hits = _count_features(examples.filter("toxic = 1")).filter(F.col("n") >= limits.least_toxic)
+    hits = hits.orderBy(F.desc("n"), "feature").limit(16 * limits.features)
+    toxic_counts = {r["feature"]: r["n"] for r in hits.collect()}
+    counts = {r["feature"]: r["n"] for r in _count_features(examples, set(toxic_counts)).collect()}
+    scored = sorted(
+        (-g_score(k, counts[name], toxic, total), name) for name, k in toxic_counts.items() if k * total >= limits.least_lift * toxic * counts[name]
+    )
+    return [name for g, name in scored if -g >= limits.least_g][: limits.features]
 
 
 def sample_examples(docs: DataFrame, labels: DataFrame, limits: Limits, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,19 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), doc_id: s
     ``labels`` holds only the rows that may be learnt from.
     """
     examples = sample_examples(docs, labels, limits, doc_id, text)
-    seen = examples.select("raw", "toxic")
-    total, toxic = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    examples, _ = materialize(examples)
+    total, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total:
         return Model({}, np.zeros(0), Index.build([], [], [], [], 0, limits.block), 0.0, 0.0, limits)
-    tallied = seen.mapInPandas(_tally, "feature string, n bigint, k bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     rate = toxic / total
-    likely = tallied.filter(F.col("k") > F.lit(limits.least_lift * rate) * F.col("n")).filter(F.col("k") >= 3)
-    expected = F.col("n") * F.lit(rate)
-    gain = 2 * (F.col("k") * F.log(F.col("k") / expected) - (F.col("k") - expected))
-    best = likely.withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(4 * limits.features).collect()
-    scored = sorted(((-g_score(r["k"], r["n"], toxic, total), r["feature"]) for r in best))
-    chosen = [name for g, name in scored if -g >= limits.least_g][: limits.features]
-    features = {name: number for number, name in enumerate(sorted(chosen))}
+    features = {name: number for number, name in enumerate(sorted(choose_features(examples, total, toxic, limits)))}
 
     counted = per_text(lambda: (lambda read: lambda raw: sorted(read(raw)))(reader(features)), "array<int>")
     every = docs.select(counted(text_bytes(text)).alias("f"))
@@ -263,20 +272,17 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), doc_id: s
 
     pairs = per_text(lambda: (lambda read: lambda raw: [x for p in sorted(read(raw).items()) for x in p])(reader(features)), "array<int>")
     kept: dict[tuple[int, ...], list] = {}
-    postings = 0
-    rows = examples.select("_id", "toxic", pairs(F.col("raw")).alias("v")).orderBy(F.xxhash64("_id"), "_id")
-    for row in rows.toLocalIterator():
-        key = tuple(row["v"])
-        if key not in kept:
-            postings += len(key) // 2
-            if postings > limits.postings:
-                break
-            kept[key] = [0, 0, [], []]
-        entry = kept[key]
+    vectors = examples.select("_id", "toxic", pairs(F.col("raw")).alias("v"))
+    # At most ``limits.examples`` rows, so one window; those beyond the postings' bound are left out.
+    upto = F.sum(F.size("v")).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = vectors.withColumn("upto", upto).filter(F.col("upto") <= 2 * limits.postings).orderBy(F.xxhash64("_id"), "_id").drop("upto")
+    for row in rows.collect():
+        entry = kept.setdefault(tuple(row["v"]), [0, 0, [], []])
         entry[0] += 1
         entry[1] += row["toxic"]
         if len(entry[2 + row["toxic"]]) < limits.evidence:
             entry[2 + row["toxic"]].append(row["_id"])
+    discard(examples)
     zero = kept.pop((), [0, 0, [], []])
     zero_rate = (zero[1] + rate) / (zero[0] + 1)
     model = Model(features, idf, Index.build([], [], [], [], 0, limits.block), rate, zero_rate, limits)
@@ -304,12 +310,14 @@ def scored_struct(model: Model, text: str = "text") -> Column:
 
         def score(raw: bytes) -> tuple[float, str]:
             counts = read(raw)
-            key = tuple(sorted(counts.items()))
+            # Packed, as many texts are remembered.
+            key = array("i", [x for pair in sorted(counts.items()) for x in pair]).tobytes()
             if key not in remembered:
-                if len(remembered) > 50_000:
+                if len(remembered) > 20_000:
                     remembered.clear()
-                vote, near = shared.votes(*shared.vector(counts)) if counts else (shared.zero_rate, [])
-                shown = [f"{i}:{cosine:.4f}" for cosine, entry in near[: shared.limits.evidence] for i in shared.index.ids[entry]]
+                vote, near = shared.votes(*shared.vector(counts)) if counts else (shared.zero_rate, None)
+                first = zip(*(side[: shared.limits.evidence].tolist() for side in near), strict=True) if near else ()
+                shown = [f"{i}:{cosine:.4f}" for cosine, entry in first for i in shared.index.ids[entry]]
                 remembered[key] = (shared.score(vote), ",".join(shown[: shared.limits.evidence]))
             return remembered[key]
 
