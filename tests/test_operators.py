@@ -243,3 +243,43 @@ def test_salted_join(spark, several_partitions, how):
     plain = sorted(map(str, left.join(right, "k", how).collect()))
     salted = skew.salted_join(left, right, ["k"], ["v"], how, rows_per_task=50)
     assert sorted(map(str, salted.select(left.join(right, "k", how).columns).collect())) == plain
+
+
+def test_tree_order_does_not_depend_on_size(spark):
+    """Tied integer vectors: the tree of the in-block kernel is that of the rounds for large images."""
+    from wallframe.operators.hierarchy import reachability_tree
+
+    rng = np.random.default_rng(12)
+    rows = [(image, k, [float(x) for x in rng.integers(-1, 2, 2) + 0.0]) for image in range(6) for k in range(14)]
+    rows = [(i, k, v if any(v) else [1.0, 0.0]) for i, k, v in rows]
+    features = spark.createDataFrame(rows, "image_id bigint, hold_index bigint, embedding array<double>")
+    edges = lambda block: {(r.image_id, r.lo, r.hi) for r in reachability_tree(features, 2, block=block).collect()}
+    assert edges(5) == edges(2048)
+
+
+def test_null_groups_keep_their_ranks(spark):
+    from wallframe.skew import ranked
+
+    rows = spark.createDataFrame([(None, 3), (None, 1), (1, 2)], "g bigint, x bigint")
+    got = {(r.g, r.x, r["rank"]) for r in ranked(rows, ["g"], [F.col("x")]).collect()}
+    assert got == {(None, 1, 1), (None, 3, 2), (1, 2, 1)}
+
+
+def test_failing_groupers_are_error_rows(spark):
+    from wallframe.registry import register_grouper, run_groupers
+
+    register_grouper("late", lambda features, config: features.select("image_id", "hold_index", F.raise_error(F.lit("late")).cast("bigint").alias("route_id")))
+    features = spark.createDataFrame([(1, 1), (1, 2)], "image_id bigint, hold_index bigint")
+    groups, errors = run_groupers(features, [("late", {}), ("no_such", {})])
+    assert groups.count() == 0 and {r["name"] for r in errors.collect()} == {"late", "no_such"}
+
+
+def test_broken_coco_rows_are_rejected(spark):
+    from wallframe.sources.documents import coco_rejects, parse_coco
+
+    good = '{"images":[{"id":1,"file_name":"a"}],"annotations":[{"image_id":1,"segmentation":[[1,1,5,1,1,5]]},{"image_id":1,"segmentation":[]},{"image_id":1,"segmentation":[[]]},{"image_id":1,"segmentation":[[1,2,3]]}]}'
+    docs = spark.createDataFrame([("p", good), ("q", "{broken")], "path string, value string")
+    images, holds = parse_coco(docs)
+    assert images.count() == 1 and [r.hold_index for r in holds.collect()] == [0]
+    got = {(r.path, r.hold_index, r.reason) for r in coco_rejects(docs).collect()}
+    assert got == {("p", 1, "no ring"), ("p", 2, "no ring"), ("p", 3, "odd ring"), ("q", None, "document")}

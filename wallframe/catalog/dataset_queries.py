@@ -142,7 +142,7 @@ def _(spark, sf):
 
 
 @query("src_records", f"""WITH {HOLDS_SQL} SELECT concat(image_id, '_', hold_index, '.png') AS image_id, CASE WHEN image_id % 4 = 0 THEN 'augmented' ELSE 'clean' END AS condition,
-  CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS BIGINT) AS holds, CASE WHEN event_type <> 'error' THEN route_id END AS route_id FROM h WHERE hold_index % 3 > 0""")
+  CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS BIGINT) AS holds, CAST(NULL AS BIGINT) AS route_id FROM h WHERE hold_index % 3 > 0""")
 def _(spark, sf):
     files = w.holds(spark, sf).filter("hold_index % 3 > 0").select(F.concat(F.lit("/pics/"), "image_id", F.lit("_"), "hold_index", F.lit(".png")).alias("path"))
     images, holds = fs.records_from(coco_documents(spark, sf), files, "/data", "test")

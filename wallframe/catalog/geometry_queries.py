@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -346,3 +347,24 @@ def _(spark, sf):
     p = w.predictions(spark, sf)
     merged = ov.merge_runs(p.filter("event_type = 'view'"), p.filter("event_type = 'click'"))
     return merged.groupBy("image_id", "exemplar_run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("iou_nms_runs", f"""WITH RECURSIVE {HOLDS_SQL},
+  runs AS (SELECT *, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS exemplar_run, row_number() OVER (PARTITION BY image_id, event_type ORDER BY hold_index) - 1 AS run_index FROM p),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, exemplar_run, run_index) AS n FROM runs),
+  q AS (SELECT x.image_id, x.n AS strong, y.n AS weak, x.area + y.area AS s,
+    (least(x.r, y.r) - greatest(x.l, y.l) + 1) * (least(x.b, y.b) - greatest(x.t, y.t) + 1) AS i FROM ranked x JOIN ranked y
+    ON x.image_id = y.image_id AND x.n < y.n AND x.l <= y.r AND y.l <= x.r AND x.t <= y.b AND y.t <= x.b),
+  near AS (SELECT image_id, strong, list(weak) AS weak FROM q WHERE i / CAST(s - i AS DOUBLE) >= 0.6 GROUP BY 1, 2),
+  walk AS (SELECT image_id, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS gone, false AS kept FROM (SELECT DISTINCT image_id FROM ranked)
+    UNION ALL SELECT w.image_id, w.n + 1, CASE WHEN list_contains(w.gone, w.n + 1) THEN w.gone ELSE list_concat(w.gone, coalesce(near.weak, [])) END,
+      NOT list_contains(w.gone, w.n + 1) FROM walk w JOIN ranked r ON r.image_id = w.image_id AND r.n = w.n + 1
+      LEFT JOIN near ON near.image_id = w.image_id AND near.strong = w.n + 1)
+  SELECT r.image_id, r.exemplar_run, r.run_index FROM walk JOIN ranked r ON r.image_id = walk.image_id AND r.n = walk.n WHERE walk.kept""")
+def _(spark, sf):
+    """Two runs that number their masks from 0 in every image, merged and suppressed together."""
+    place = Window.partitionBy("image_id", "event_type").orderBy("hold_index")
+    masks = v.with_confidence(prediction_masks(spark, sf)).withColumn("place", (F.row_number().over(place) - 1).cast("bigint"))
+    masks = masks.drop("hold_index").withColumnRenamed("place", "hold_index")
+    merged = ov.merge_runs(masks.filter("event_type = 'view'"), masks.filter("event_type = 'click'"))
+    return ov.nms(merged, 0.6).select("image_id", "exemplar_run", "run_index")

@@ -399,5 +399,5 @@ def _(spark, sf):
     joined = chosen.join(side("i", "i"), ["image_id", "i"]).join(side("j", "j"), ["image_id", "j"])
     rows, _ = materialize(pr.pair_features(joined).select("image_id", "features", "label"))
     train, held_out = rows.filter("image_id > 0"), rows.filter("image_id = 0")
-    _, fits = mdl.fit_pair_model(train, held_out, inputs=135, hidden=16, epochs=(5, 15))
+    _, fits = mdl.fit_pair_model(train, held_out, inputs=135)
     return mdl.training_summary(train, held_out, fits)

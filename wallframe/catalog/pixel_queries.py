@@ -143,8 +143,8 @@ cell AS (SELECT bx.*, q AS patch_id, q % 2 AS qx, CAST(floor(q / 2) AS BIGINT) A
 gx AS (SELECT *, CAST(ceil(l * 32 / 50.0::DOUBLE - 0.5) AS BIGINT) AS x0, CAST(ceil((r + 1) * 32 / 50.0::DOUBLE - 0.5) AS BIGINT) - 1 AS x1,
   CAST(ceil(t * 32 / 30.0::DOUBLE - 0.5) AS BIGINT) AS y0, CAST(ceil((b + 1) * 32 / 30.0::DOUBLE - 0.5) AS BIGINT) - 1 AS y1 FROM cell),
 wt AS (SELECT image_id, hold_index, patch_id, greatest(0, least(x1, qx * 16 + 15) - greatest(x0, qx * 16) + 1) * greatest(0, least(y1, qy * 16 + 15) - greatest(y0, qy * 16) + 1) / 256.0::DOUBLE AS wt FROM gx),
-tk AS (SELECT image_id, p AS patch_id, CAST(embedding AS DOUBLE[])[1:8] AS e FROM im, range(4) AS s(p), embeddings WHERE vec_id = (image_id * 4 + p) % 400),
-el AS (SELECT wt.image_id, wt.hold_index, wt.wt, k, tk.e[k] AS v FROM wt JOIN tk ON tk.image_id = wt.image_id AND tk.patch_id = wt.patch_id, range(1, 9) AS z(k) WHERE wt.wt > 0)"""
+tk AS (SELECT image_id, p AS patch_id, CAST(embedding AS DOUBLE[]) AS e FROM im, range(4) AS s(p), embeddings WHERE vec_id = (image_id * 4 + p) % (SELECT count(*) FROM embeddings)),
+el AS (SELECT wt.image_id, wt.hold_index, wt.wt, k, tk.e[k] AS v FROM wt JOIN tk ON tk.image_id = wt.image_id AND tk.patch_id = wt.patch_id, range(1, 65) AS z(k) WHERE wt.wt > 0)"""
 
 
 def _pool_sql(weight: str) -> str:
@@ -154,11 +154,12 @@ def _pool_sql(weight: str) -> str:
 
 
 def pooled(spark, sf, pooling):
+    vectors = w.table(spark, sf, "embeddings")
     tokens = (
         w.pixel_images(spark, sf)
         .withColumn("patch_id", F.explode(F.sequence(F.lit(0), F.lit(3))))
-        .withColumn("vec_id", (F.col("image_id") * 4 + F.col("patch_id")) % 400)
-        .join(w.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("token")), "vec_id")
+        .withColumn("vec_id", (F.col("image_id") * 4 + F.col("patch_id")) % vectors.count())
+        .join(vectors.select("vec_id", F.col("embedding").alias("token")), "vec_id")
     )
     coverage = m.patch_coverage(masks(spark, sf), size=32, patch=16)
     found = cf.pool_embeddings(tokens.select("image_id", "patch_id", "token"), coverage, pooling)

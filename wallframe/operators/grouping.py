@@ -7,6 +7,7 @@ run for every image at once; keys are (image, node), never the image alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,8 +275,10 @@ def _seeds(features: DataFrame, k: int, seed: int) -> DataFrame:
     )
 
 
-def kmeans(features: DataFrame, k: int = 6, seed: int = 0, max_iter: int = 100) -> DataFrame:
-    """Lloyd rounds for all images at once: image_id, hold_index, label (0..k-1).
+def kmeans(features: DataFrame, k: int = 6, seed: int = 0, max_iter: int | None = None) -> DataFrame:
+    """Lloyd rounds for all images at once, until they converge: image_id, hold_index, label (0..k-1).
+
+    With ``max_iter`` rounds stop there, and a column ``converged`` says for each image whether it was done.
 
     ``features``: array<double>.  Images stop on their own once their centres agree with the last
     ones up to 1e-8 + 1e-5 * |centre|; an empty cluster keeps its centre.
@@ -305,7 +308,7 @@ def kmeans(features: DataFrame, k: int = 6, seed: int = 0, max_iter: int = 100)
             both = rows.join(current, KEY)
         return both.withColumn("label", F.array_min(scored)["c"])
 
-    for _ in range(max_iter):
+    for _ in count() if max_iter is None else range(max_iter):
         moving = assigned(centers.filter(~F.col("done")))
         means = (
             moving.groupBy(KEY, "label")
@@ -336,4 +339,6 @@ def kmeans(features: DataFrame, k: int = 6, seed: int = 0, max_iter: int = 100)
         )
         if centers.filter(~F.col("done")).limit(1).count() == 0:
             break
-    return assigned(centers).select(KEY, "hold_index", "label")
+    if max_iter is None:
+        return assigned(centers).select(KEY, "hold_index", "label")
+    return assigned(centers).select(KEY, "hold_index", "label", F.col("done").alias("converged"))

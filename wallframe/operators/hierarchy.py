@@ -41,7 +41,10 @@ def _sides(table: pa.Table, weight: float):
 
 
 def _small_tree(min_samples: int, weight: float):
-    """Kernel: tree edges of one image, by growing from the first hold."""
+    """Kernel: tree edges of one image, by growing from the first hold.
+
+    Edges are ordered by (w, lo, hi), as in the rounds for large images, so the tree is the same.
+    """
 
     def kernel(table: pa.Table) -> pa.Table:
         ids = table["hold_index"].to_numpy()
@@ -56,17 +59,20 @@ def _small_tree(min_samples: int, weight: float):
         np.fill_diagonal(d, 0.0)
         k = min(n - 1, min_samples)
         core = np.partition(d, k, axis=1)[:, k]
-        best, source = np.full(n, np.inf), np.zeros(n, np.int64)
+        best = np.full(n, np.inf)
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
         outside, at = np.ones(n, bool), 0
         lo, hi, w = [], [], []
         for _ in range(n - 1):
             outside[at] = False
             reach = np.maximum(np.maximum(d[at], core[at]), core)
-            closer = outside & (reach < best)
-            best[closer], source[closer] = reach[closer], at
-            at = int(np.argmin(np.where(outside, best, np.inf)))
-            lo.append(min(ids[at], ids[source[at]]))
-            hi.append(max(ids[at], ids[source[at]]))
+            a, b = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
+            closer = outside & ((reach < best) | ((reach == best) & ((a < low) | ((a == low) & (b < high)))))
+            best[closer], low[closer], high[closer] = reach[closer], a[closer], b[closer]
+            nearest = np.flatnonzero(outside & (best == best[outside].min()))
+            at = int(nearest[np.lexsort((high[nearest], low[nearest]))[0]])
+            lo.append(low[at])
+            hi.append(high[at])
             w.append(best[at])
         image = pa.array([table[KEY][0].as_py()] * len(w), table.schema.field(KEY).type)
         return pa.table([image, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(w, pa.float64())], names=[KEY, "lo", "hi", "w"])

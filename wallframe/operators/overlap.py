@@ -10,6 +10,9 @@ from ..store import until_empty
 from .masks import pieces
 from .shapes import TILE
 
+# Masks of one run; the run's number stands above these bits.
+RUN_SHIFT = 40
+
 
 def _bounds(runs: Column) -> dict[str, Column]:
     side = lambda name: F.transform(runs, lambda r: r[name])
@@ -109,10 +112,16 @@ def polygon_iou(pairs: DataFrame, first: str = "first", second: str = "second")
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
-    """Predictions of several exemplar runs as one table, numbered by run for a stable order."""
+    """Predictions of several exemplar runs as one table.
+
+    Runs number their masks from 0, so ``hold_index`` becomes unique by the run's number in its upper
+    bits, which orders masks by run and then by index; the index within the run is ``run_index``.
+    """
     merged = None
     for number, holds in enumerate(runs):
-        part = holds.withColumn("exemplar_run", F.lit(number))
+        index = F.col("hold_index").cast("bigint")
+        part = holds.withColumn("exemplar_run", F.lit(number)).withColumn("run_index", index)
+        part = part.withColumn("hold_index", index + F.lit(number << RUN_SHIFT))
         merged = part if merged is None else merged.unionByName(part)
     return merged
 

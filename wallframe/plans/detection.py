@@ -102,9 +102,12 @@ def average_precision(
     iou: DataFrame,
     thresholds: Sequence[float] = IOU_THRESHOLDS,
     group: Sequence[str] = TARGET,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """AP per group and threshold, 0 where nothing was found.
 
+    ``expected`` lists the groups to report, by default those that have predictions.
+
     predictions: group, image_id, pred_idx, confidence.  annotations: condition, image_id, ann_idx.
     iou: group, image_id, pred_idx, ann_idx, iou.  Images without truths do not take part.
     """
@@ -115,7 +118,7 @@ def average_precision(
     curve = precision_recall(usable, annotations, iou, thresholds, group)
     area = curve.groupBy(*group, "threshold").agg(F.sum("envelope").alias("area"))
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    expected = predictions.select(*group).distinct().select(*group, levels)
+    expected = (predictions if expected is None else expected).select(*group).distinct().select(*group, levels)
     return (
         expected.join(area, [*group, "threshold"], "left")
         .join(truths, shared, "left")
@@ -216,6 +219,8 @@ def evaluate_detections(
         annotations.join(labelled, "image_id"),
         iou.join(labelled, "image_id"),
         thresholds,
+        # A detector without predictions has AP 0 in every condition that has truths.
+        expected=annotations.join(labelled, "image_id").select("condition").distinct().withColumn("implementation_id", each(detectors)),
     )
     per_level = ap.groupBy(*TARGET).agg(
         *[

@@ -43,7 +43,8 @@ def evaluation_matrix(
     Predictions inherit the route of the annotation they match at ``threshold``; those with a route
     are grouped.  Detector and image form one unit key, so every grouper runs once for all detectors.
     predictions: implementation_id, image_id, hold_index, hold_type.  iou: implementation_id, image_id,
-    pred_idx, ann_idx, iou.  features: image_id, hold_index, embedding, lab, rgb.
+    pred_idx, ann_idx, iou.  features: image_id, hold_index, embedding, lab, rgb, and implementation_id
+    where detectors number their holds apart.  A grouper that fails leaves its cases as ``error``.
     """
     matches = match_greedy(iou, threshold, ["implementation_id", "image_id"])
     labelled = route_eligible(transfer_labels(predictions, matches, annotations))
@@ -52,7 +53,9 @@ def evaluation_matrix(
         labelled.select(unit.alias("unit"), "implementation_id", "image_id", "hold_index", "route_id")
     )
     ready, _ = materialize(
-        features.join(truth, ["image_id", "hold_index"]).drop("image_id", "implementation_id").withColumnRenamed("unit", "image_id")
+        features.join(truth, [k for k in ("implementation_id", "image_id", "hold_index") if k in features.columns])
+        .drop("image_id", "implementation_id")
+        .withColumnRenamed("unit", "image_id")
     )
     groups, errors = run_groupers(ready, specs)
     names = [slug(n, {k: v for k, v in c.items() if k != "weights"}) for n, c in specs]
@@ -70,4 +73,6 @@ def evaluation_matrix(
     )
     extra = {"detector": list(detectors), "grouper": names}
     cases = route_cases(text_images, per_detector, metrics, extra)
+    failed = errors.select(F.col("slug").alias("grouper"), F.lit(True).alias("_failed")).distinct()
+    cases = cases.join(failed, "grouper", "left").withColumn("status", F.when(F.col("_failed"), "error").otherwise(F.col("status"))).drop("_failed")
     return cases, condition_aggregates(cases, extra), errors

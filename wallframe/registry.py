@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import grouping
 from .operators.pairs import blended_join, score_pairs
+from .store import materialize
 
 Grouper = Callable[[DataFrame, dict], DataFrame]
 _GROUPERS: dict[str, Grouper] = {}
@@ -93,17 +94,22 @@ def slug(name: str, config: dict) -> str:
     return "-".join(parts).strip("-").replace(".", "_")
 
 
-def run_groupers(
-    features: DataFrame, specs: Sequence[tuple[str, dict]]
-) -> tuple[DataFrame | None, DataFrame]:
-    """(groups with a ``grouper`` column, errors): a component that fails becomes an error row."""
-    spark, merged, errors = features.sparkSession, None, []
+def run_groupers(features: DataFrame, specs: Sequence[tuple[str, dict]]) -> tuple[DataFrame, DataFrame]:
+    """(groups with a ``grouper`` column, errors): a component that fails becomes an error row.
+
+    Each component's groups are stored inside its ``try``, so one whose job fails later than its plan
+    is an error row as well.  If all fail, the groups are empty.
+    """
+    spark, errors = features.sparkSession, []
+    kind = features.schema["image_id"].dataType.simpleString()
+    merged = spark.createDataFrame([], f"image_id {kind}, hold_index bigint, route_id bigint, grouper string")
     for name, config in specs:
+        label = slug(name, {k: v for k, v in config.items() if k != "weights"})
         try:
-            groups = get_grouper(name)(features, config)
-            part = groups.withColumn("grouper", F.lit(slug(name, {k: v for k, v in config.items() if k != "weights"})))
+            groups = get_grouper(name)(features, config).withColumn("grouper", F.lit(label))
+            part, _ = materialize(groups.select("image_id", "hold_index", "route_id", "grouper"))
         except Exception as error:  # noqa: BLE001 - one bad component must not end the run
-            errors.append(("grouper", name, f"{type(error).__name__}: {error}".splitlines()[0]))
+            errors.append(("grouper", name, label, f"{type(error).__name__}: {error}".splitlines()[0]))
             continue
-        merged = part if merged is None else merged.unionByName(part)
-    return merged, spark.createDataFrame(errors, "component_type string, name string, error string")
+        merged = merged.unionByName(part)
+    return merged, spark.createDataFrame(errors, "component_type string, name string, slug string, error string")

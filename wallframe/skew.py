@@ -71,6 +71,13 @@ def chunked(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> Dat
     return materialize(placed.withColumn("_chunk", F.spark_partition_id()))[0]
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where null meets null; keys are kept from ``left``."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in keys])
+
+
 def _offsets(chunks: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
     """Sum of ``value`` over the earlier chunks of a group: one row per group and chunk."""
     totals = chunks.groupBy(*group, "_chunk").agg(value.alias("_total"))
@@ -85,7 +92,7 @@ def row_numbers(chunks: DataFrame, group: Sequence[str], order: Sequence[Column]
     inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
     local = chunks.withColumn("_position", F.row_number().over(inside))
     return (
-        local.join(_offsets(chunks, group, F.count(F.lit(1))), [*group, "_chunk"])
+        _null_safe(local, _offsets(chunks, group, F.count(F.lit(1))), [*group, "_chunk"])
         .withColumn(name, (F.col("_position") + F.col("_before")).cast("bigint"))
         .drop("_position", "_before")
     )
@@ -108,7 +115,7 @@ def running_sum(
     )
     local = chunks.withColumn("_local", F.sum(value).over(inside))
     return (
-        local.join(_offsets(chunks, group, F.sum(value)), [*group, "_chunk"])
+        _null_safe(local, _offsets(chunks, group, F.sum(value)), [*group, "_chunk"])
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_local", "_before")
     )
@@ -127,7 +134,7 @@ def suffix_max(
     placed = chunks.withColumn("_place", F.row_number().over(inside.orderBy(*order)))
     local = placed.withColumn("_local", F.max(value).over(backwards))
     return (
-        local.join(peaks, [*group, "_chunk"])
+        _null_safe(local, peaks, [*group, "_chunk"])
         .withColumn(name, F.greatest("_local", "_later"))
         .drop("_local", "_later", "_place")
     )

@@ -59,12 +59,13 @@ def read_underscored_texts(spark: SparkSession, path: str, ending: str) -> DataF
 
 
 def _ring(flat: Column) -> Column:
-    """x, y, x, y, ... to a polygon."""
-    index = F.sequence(F.lit(0), F.size(flat) - 2, F.lit(2))
-    return F.transform(
+    """x, y, x, y, ... to a polygon; null unless the list holds whole pairs."""
+    index = F.sequence(F.lit(0), F.greatest(F.size(flat) - 2, F.lit(0)), F.lit(2))
+    points = F.transform(
         index,
         lambda k: F.struct(half_even(F.get(flat, k)).alias("x"), half_even(F.get(flat, k + 1)).alias("y")),
     )
+    return F.when((F.size(flat) > 0) & (F.size(flat) % 2 == 0), points)
 
 
 def parse_coco(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,6 +73,7 @@ def parse_coco(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     images: path, image_pos, coco_id, file_name, one row even without annotations.
     holds: path, coco_id, hold_index (order within the document), polygon, route_label, route_id, hold_type.
+    What is left out is listed by ``coco_rejects``.
     """
     parsed = documents.select("path", F.from_json("value", COCO).alias("doc"))
     images = parsed.select("path", F.posexplode("doc.images").alias("image_pos", "image")).select(
@@ -83,12 +85,23 @@ def parse_coco(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         "path",
         F.col("note.image_id").alias("coco_id"),
         "hold_index",
-        _ring(F.col("note.segmentation")[0]).alias("polygon"),
+        _ring(F.get(F.col("note.segmentation"), F.lit(0))).alias("polygon"),
         label.alias("route_label"),
         route_id_of(label).alias("route_id"),
         F.col("note.hold_type").alias("hold_type"),
     )
-    return images, holds
+    return images, holds.filter(F.col("polygon").isNotNull())
+
+
+def coco_rejects(documents: DataFrame) -> DataFrame:
+    """path, hold_index, reason: documents that do not parse (null index) and annotations without whole coordinate pairs."""
+    parsed = documents.select("path", "value", F.from_json("value", COCO).alias("doc"))
+    broken = parsed.filter(F.try_parse_json("value").isNull() | (F.col("doc.images").isNull() & F.col("doc.annotations").isNull()))
+    notes = parsed.select("path", F.posexplode("doc.annotations").alias("hold_index", "note"))
+    ring = F.get(F.col("note.segmentation"), F.lit(0))
+    reason = F.when(ring.isNull() | (F.size(ring) == 0), "no ring").when(F.size(ring) % 2 == 1, "odd ring")
+    lost = notes.select("path", "hold_index", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return broken.select("path", F.lit(None).cast("int").alias("hold_index"), F.lit("document").alias("reason")).unionByName(lost)
 
 
 def read_coco(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:

@@ -105,7 +105,7 @@ def records_from(documents: DataFrame, files: DataFrame, root: str, split: str)
         )
     )
     keyed = holds.join(records.select("path", "coco_id", "image_id", "condition"), ["path", "coco_id"])
-    return records, keyed.withColumn("route_id", route_id_of(F.lower("route_label"))).drop("path", "coco_id")
+    return records, keyed.withColumn("route_id", route_id_of(F.col("route_label"))).drop("path", "coco_id")
 
 
 def dataset_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -25,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="wallframe-"))
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="wallframe-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
