@@ -283,3 +283,23 @@ def test_broken_coco_rows_are_rejected(spark):
     assert images.count() == 1 and [r.hold_index for r in holds.collect()] == [0]
     got = {(r.path, r.hold_index, r.reason) for r in coco_rejects(docs).collect()}
     assert got == {("p", 1, "no ring"), ("p", 2, "no ring"), ("p", 3, "odd ring"), ("q", None, "document")}
+
+
+@pytest.mark.parametrize("most", [1, 12, 10_000])
+def test_passes_do_not_depend_on_unit_size(spark, monkeypatch, most):
+    """Rounds, components and whole units give the sequential matching, on a chain and on random edges."""
+    from wallframe.operators import passes
+
+    monkeypatch.setattr(passes, "UNIT_EDGES", most)
+    rng = np.random.default_rng(5)
+    chain = [(0, (k + 1) // 2, k // 2, 1.0 - k / 20) for k in range(13)]
+    some = [(1, int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 20, 25), rng.integers(0, 20, 25), rng.random(25), strict=True)]
+    rows = list({(i, a, b): (i, a, b, w) for i, a, b, w in chain + some}.values())
+    iou = spark.createDataFrame(rows, "image_id bigint, pred_idx bigint, ann_idx bigint, iou double")
+    got = {(r.image_id, r.pred_idx, r.ann_idx) for r in match_greedy(iou, 0.0).collect()}
+    used, want = set(), set()
+    for image, a, b, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2]), reverse=True):
+        if not {(image, "p", a), (image, "a", b)} & used:
+            used |= {(image, "p", a), (image, "a", b)}
+            want.add((image, a, b))
+    assert got == want

@@ -1,8 +1,9 @@
-"""Greedy one-to-one matching as rounds of mutually best edges.
+"""Greedy one-to-one matching.
 
-With a strict total order on edges, an edge that is the best of both its ends is taken by the
-sequential greedy pass; taking all such edges, deleting what they touch and repeating gives the
-same matching.  Every step is an aggregate or an equi-join on (group, end).
+Groups, or components of a large group, of bounded size take one pass over their sorted edges.
+What is larger goes through rounds of mutually best edges: with a strict total order on edges, an
+edge that is the best of both its ends is taken by the sequential pass; taking all such edges,
+deleting what they touch and repeating gives the same matching.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import until_empty
+from .passes import ordered_pass, take_free
 
 
 def greedy(
@@ -44,10 +46,10 @@ def greedy(
         rest = frontier.join(matched.select(*group, left), [*group, left], "left_anti")
         return rest.join(matched.select(*group, right), [*group, right], "left_anti")
 
-    matched = until_empty(ranked, decide, shrink)
-    if matched is None:
-        matched = edges.select(*group, left, right, *carry).limit(0)
-    return matched
+    taken, large = ordered_pass(ranked, group, left, right, [F.col("edge").desc()], take_free, two_sided=True)
+    matched = taken.select(*group, left, right, *[F.col(f"edge.{c}").alias(c) for c in carry])
+    more = None if large is None else until_empty(large, decide, shrink)
+    return matched if more is None else matched.unionByName(more)
 
 
 def match_greedy(iou: DataFrame, threshold: float = 0.5, group: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..store import until_empty
 from .masks import pieces
+from .passes import drop_weaker, ordered_pass
 from .shapes import TILE
 
 # Masks of one run; the run's number stands above these bits.
@@ -129,9 +130,10 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
 def nms(masks: DataFrame, threshold: float = 0.85, group: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Keep a mask if its IoU with every kept, more confident mask is below ``threshold``.
 
-    Order: confidence descending, then ``hold_index``.  A round keeps all masks that no
-    undecided stronger neighbour can suppress and drops their weaker neighbours; the rounds
-    end in the sequential result.
+    Order: confidence descending, then ``hold_index``.  Images or components of bounded size take
+    one pass over their edges.  In what is larger, a round keeps all masks that no undecided
+    stronger neighbour can suppress and drops their weaker neighbours; the rounds end in the
+    sequential result.
     """
     keys = list(group)
     close = span_iou(masks, masks, min_iou=threshold, group=group, ordered_pairs=True)
@@ -143,6 +145,7 @@ def nms(masks: DataFrame, threshold: float = 0.85, group: tuple[str, ...] = ("im
             *keys,
             F.when(F.col("_cp") >= F.col("_ca"), F.col("pred_idx")).otherwise(F.col("ann_idx")).alias("strong"),
             F.when(F.col("_cp") >= F.col("_ca"), F.col("ann_idx")).otherwise(F.col("pred_idx")).alias("weak"),
+            F.greatest("_cp", "_ca").alias("_confidence"),
         )
     )
 
@@ -157,5 +160,9 @@ def nms(masks: DataFrame, threshold: float = 0.85, group: tuple[str, ...] = ("im
             rest = rest.join(dropped.withColumnRenamed("hold_index", end), [*keys, end], "left_anti")
         return rest
 
-    suppressed = until_empty(edges, decide, shrink)
-    return masks if suppressed is None else masks.join(suppressed, [*keys, "hold_index"], "left_anti")
+    order = [F.col("_confidence").desc(), F.col("strong"), F.col("weak")]
+    drops, large = ordered_pass(edges, keys, "strong", "weak", order, drop_weaker, two_sided=False)
+    suppressed = drops.select(*keys, F.col("weak").alias("hold_index")).distinct()
+    more = None if large is None else until_empty(large, decide, shrink)
+    suppressed = suppressed if more is None else suppressed.unionByName(more)
+    return masks.join(suppressed, [*keys, "hold_index"], "left_anti")
