@@ -26,7 +26,7 @@ def classes(rows):
     return groups
 
 
-@pytest.mark.parametrize("widths", [{}, {"first": 2, "growth": 2, "widest": 8}])
+@pytest.mark.parametrize("widths", [{}, {"first": 2, "growth": 4, "widest": 2048}])
 def test_exact_classes(spark, docs_of, widths):
     ready(spark)
     rng = random.Random(3)
