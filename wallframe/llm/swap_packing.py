@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +25,92 @@ from .common import per_text, text_bytes
 WIDTH = 2048
 BLOCK = 32768
 DONORS = 8
-CACHE = 300_000
+CACHE, LONGEST = 400_000, 32
+CLOSING = b".,!?;:"
+# Letters up to here stay in one piece; a word that does not is noticed by the count of closing ids.
+LATIN_END = "\u0250"
 
 
-def token_reader(path: str, width: int = WIDTH):
-    """``bytes -> (token count with the closing 0, CRC-32 of each piece)`` for one task.
+class WordTokens:
+    """Ids of white-space separated words as packed bytes, remembered up to ``CACHE`` words of ``LONGEST`` bytes.
 
-    The tokenizer drops white space and never joins across it, so words are encoded one by one
-    and remembered, up to ``CACHE`` of them.
+    The tokenizer drops white space, never joins across it and lower-cases, so words can be encoded
+    apart and in lower case.  A word's closing punctuation is a piece of its own if a letter stands
+    before it.  Plain Latin words are encoded together, without normalising what is lower-case and
+    composed already: each is one piece, whose last id closes a word.
     """
-    import os
-    from zlib import crc32
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.tokenizer, self.plain, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.closes[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {word: np.array(found.ids, dtype="<u4").tobytes() for word, found in zip(words, done, strict=True)}
+
+    def _together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
+        if len(ends) != len(words):
+            return self._each(words)
+        packed = ids.tobytes()
+        return {word: packed[start:end] for word, start, end in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, other = [], []
+        for word in words:
+            text = word.decode()
+            simple = text.isalpha() and text.islower() and (word.isascii() or (max(text) < LATIN_END and is_normalized("NFC", text)))
+            (plain if simple else other).append(word)
+        return (self._together(plain) if plain else {}) | (self._each(other) if other else {})
+
+    def ids(self, raw: bytes) -> bytes:
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        new = [word for word in dict.fromkeys(words) if word not in self.known]
+        if not new:
+            return b"".join(map(self.known.__getitem__, words))
+        if len(self.known) + len(new) > CACHE:
+            self.known = {}
+            new = list(dict.fromkeys(words))
+        split = {}
+        for word in new:
+            stem = word.rstrip(CLOSING)
+            split[word] = (stem, word[len(stem) :]) if 0 < len(stem) < len(word) and stem.decode()[-1].isalpha() else (word,)
+        parts = dict.fromkeys(part for both in split.values() for part in both)
+        self.known.update(self._encode([part for part in parts if part not in self.known]))
+        for word, both in split.items():
+            if len(both) > 1:
+                self.known[word] = self.known[both[0]] + self.known[both[1]]
+        out = b"".join(map(self.known.__getitem__, words))
+        for word in [word for word in (*new, *parts) if len(word) > LONGEST]:
+            self.known.pop(word, None)
+        return out
+
+
+@lru_cache(maxsize=1)
+def _word_tokens(path: str) -> WordTokens:
+    """One per Python worker, so that tasks after the first know its words."""
+    return WordTokens(path)
+
 
-    tokenizer, known, step = Tokenizer.from_file(path), {}, 4 * width
+def token_reader(path: str, width: int = WIDTH):
+    """``bytes -> (token count with the closing 0, CRC-32 of each piece)`` for one task."""
+    from zlib import crc32
+
+    tokens, step = _word_tokens(path), 4 * width
 
     def read(raw: bytes) -> tuple[int, list[int]]:
-        words = raw.split()
-        new = [word for word in dict.fromkeys(words) if word not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for word, done in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(done.ids, dtype="<u4").tobytes()
-        ids = b"".join(map(known.__getitem__, words)) + bytes(4)
+        ids = tokens.ids(raw) + bytes(4)
         return len(ids) // 4, [crc32(ids[at : at + step]) for at in range(0, len(ids), step)]
 
     return read
