@@ -433,3 +433,16 @@ def _(spark, sf):
     return aggregates.select(
         "implementation_id", "condition", "case_count", "evaluated_case_count", "prediction_count", "ground_truth_count", F.round("mAP", 6).alias("map_all")
     )
+
+
+@query("evl_match_chain", """SELECT CAST(floor(event_id / 50000) AS BIGINT) AS image_id, event_id // 2 AS pred_idx, event_id // 2 AS ann_idx FROM events WHERE event_id % 2 = 0""")
+def _(spark, sf):
+    """Events as one falling chain per 50,000: each edge shares an end with the next, and only even ones can be taken."""
+    event = F.col("event_id")
+    chain = w.table(spark, sf, "events").select(
+        F.floor(event / 50000).cast("bigint").alias("image_id"),
+        F.floor((event + 1) / 2).cast("bigint").alias("pred_idx"),
+        F.floor(event / 2).cast("bigint").alias("ann_idx"),
+        (F.lit(1.0) - (event % 50000) / 100000.0).alias("iou"),
+    )
+    return match_greedy(chain, 0.25).select("image_id", "pred_idx", "ann_idx")

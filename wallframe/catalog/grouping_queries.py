@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
@@ -10,7 +11,7 @@ from ..functions.color import ciede2000_lab
 from ..operators import grouping as g
 from ..operators import model as mdl
 from ..operators import pairs as pr
-from ..operators.hierarchy import hdbscan
+from ..operators.hierarchy import hdbscan, reachability_tree
 from ..operators.leader import leader
 from ..operators.shapes import with_centroid
 from ..operators.validate import with_confidence
@@ -401,3 +402,28 @@ def _(spark, sf):
     train, held_out = rows.filter("image_id > 0"), rows.filter("image_id = 0")
     _, fits = mdl.fit_pair_model(train, held_out, inputs=135)
     return mdl.training_summary(train, held_out, fits)
+
+
+@query("ml_counts", f"""WITH {VECS_SQL}, c AS (SELECT image_id, least(200, sum(CASE WHEN ti = tj THEN 1 ELSE 0 END), sum(CASE WHEN ti = tj THEN 0 ELSE 1 END)) AS quota FROM d GROUP BY 1)
+  SELECT CASE WHEN image_id > 0 THEN 'train' ELSE 'val' END AS part, count(*) AS images, CAST(sum(2 * quota) AS BIGINT) AS pairs FROM c WHERE quota > 0 GROUP BY 1""")
+def _(spark, sf):
+    """Images and balanced pairs that the fit of the pair model sees."""
+    chosen = pr.balanced_pairs(w.vectors(spark, sf), 200, 42)
+    part = F.when(F.col("image_id") > 0, "train").otherwise("val").alias("part")
+    return chosen.groupBy(part).agg(F.count_distinct("image_id").alias("images"), F.count(F.lit(1)).alias("pairs"))
+
+
+@query("grp_reachability_tree", f"""WITH RECURSIVE {VECS_SQL},
+  ways AS (SELECT image_id, i AS a, j AS b, dist FROM d UNION ALL SELECT image_id, j, i, dist FROM d),
+  core AS (SELECT image_id, a, dist AS core FROM (SELECT *, row_number() OVER (PARTITION BY image_id, a ORDER BY dist) AS n FROM ways) WHERE n = 2),
+  e AS (SELECT ways.image_id, ways.a, ways.b, greatest(ways.dist, x.core, y.core) AS reach FROM ways
+    JOIN core x ON x.image_id = ways.image_id AND x.a = ways.a JOIN core y ON y.image_id = ways.image_id AND y.a = ways.b),
+  walk AS (SELECT image_id, [min(a)] AS inside, CAST(NULL AS DOUBLE) AS weight FROM ways GROUP BY 1
+    UNION ALL SELECT walk.image_id, list_append(walk.inside, arg_min(e.b, e.reach)), min(e.reach) FROM walk
+      JOIN e ON e.image_id = walk.image_id AND list_contains(walk.inside, e.a) AND NOT list_contains(walk.inside, e.b) GROUP BY walk.image_id, walk.inside)
+  SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY weight) AS n, round(weight, 5) AS weight FROM walk WHERE weight IS NOT NULL""")
+def _(spark, sf):
+    """Sorted edge weights of the minimum spanning trees under mutual reachability, the same for every minimum tree."""
+    tree = reachability_tree(w.vectors(spark, sf), 2)
+    place = Window.partitionBy("image_id").orderBy("w")
+    return tree.select("image_id", F.row_number().over(place).cast("bigint").alias("n"), F.round("w", 5).alias("weight"))
