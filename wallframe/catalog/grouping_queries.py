@@ -179,12 +179,25 @@ def _(spark, sf):
     return g.dbscan(w.vectors(spark, sf), close_pairs(spark, sf, 0.72), 0.72, 4)
 
 
-@query("grp_complete")
+def _linkage_sql(combine: str, threshold: float) -> str:
+    """One merge per image and step: the closest pair of clusters by the combined distance of their members."""
+    return f"""WITH RECURSIVE {VECS_SQL},
+  walk AS (SELECT image_id, list(hold_index ORDER BY hold_index) AS ids, list(hold_index ORDER BY hold_index) AS labels, 0 AS step FROM vecs GROUP BY 1
+    UNION ALL SELECT image_id, ids, list_transform(labels, lambda x: CASE WHEN x = pair.b THEN pair.a ELSE x END), step + 1 FROM (
+      SELECT image_id, any_value(ids) AS ids, any_value(labels) AS labels, any_value(step) AS step, min(dist) AS dist, arg_min({{'a': a, 'b': b}}, dist) AS pair FROM (
+        SELECT image_id, least(x, y) AS a, greatest(x, y) AS b, {combine}(dist) AS dist, any_value(ids) AS ids, any_value(labels) AS labels, any_value(step) AS step FROM (
+          SELECT walk.*, d.dist, labels[list_position(ids, d.i)] AS x, labels[list_position(ids, d.j)] AS y FROM walk JOIN d ON d.image_id = walk.image_id)
+        WHERE x <> y GROUP BY 1, 2, 3) GROUP BY image_id) WHERE dist < {threshold}),
+  ends AS (SELECT image_id, arg_max(ids, step) AS ids, arg_max(labels, step) AS labels FROM walk GROUP BY 1)
+  SELECT image_id, unnest(ids) AS hold_index, unnest(labels) AS component FROM ends"""
+
+
+@query("grp_complete", _linkage_sql("max", 0.75))
 def _(spark, sf):
     return g.complete_linkage(w.vectors(spark, sf), close_pairs(spark, sf, 0.75), 0.75)
 
 
-@query("grp_average")
+@query("grp_average", _linkage_sql("avg", 0.72))
 def _(spark, sf):
     return g.average_linkage(w.vectors(spark, sf), 0.72)
 
