@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.matching import match_greedy
@@ -365,45 +366,52 @@ def _(spark, sf):
     return rep.clean_vs_distorted(route_report(spark, sf)[0], ["purity"]).select("source_id", "image_id", r6("delta"))
 
 
-ROUTE_SQL = f"""{MATCH_SQL}, pr AS (SELECT image_id, hold_index, k % 4 AS route FROM p), tr AS (SELECT image_id, hold_index, route_id AS route FROM a WHERE route_id IS NOT NULL),
-  mapped AS (SELECT pr.image_id, pr.route, m.ann_idx FROM pr JOIN m ON m.image_id = pr.image_id AND m.pred_idx = pr.hold_index AND m.implementation_id = 'view'),
-  sp AS (SELECT image_id, route, count(*) AS n FROM mapped GROUP BY 1, 2), st AS (SELECT image_id, route, count(*) AS n FROM tr GROUP BY 1, 2),
-  dice AS (SELECT x.image_id, x.pr AS pred_route, x.tr AS ann_route, 2.0 * x.n / CAST(sp.n + st.n AS DOUBLE) AS dice FROM
-    (SELECT mapped.image_id, mapped.route AS pr, tr.route AS tr, count(*) AS n FROM mapped JOIN tr ON tr.image_id = mapped.image_id AND tr.hold_index = mapped.ann_idx GROUP BY 1, 2, 3) x
-    JOIN sp ON sp.image_id = x.image_id AND sp.route = x.pr JOIN st ON st.image_id = x.image_id AND st.route = x.tr)"""
+ROUTE_SQL = f"""{MATCH_SQL}, pr AS (SELECT event_type AS detector, image_id, hold_index, k % 4 AS route FROM p), tr AS (SELECT image_id, hold_index, route_id AS route FROM a WHERE route_id IS NOT NULL),
+  mapped AS (SELECT pr.detector, pr.image_id, pr.route, m.ann_idx FROM pr JOIN m ON m.image_id = pr.image_id AND m.pred_idx = pr.hold_index AND m.implementation_id = pr.detector),
+  sp AS (SELECT detector, image_id, route, count(*) AS n FROM mapped GROUP BY 1, 2, 3), st AS (SELECT image_id, route, count(*) AS n FROM tr GROUP BY 1, 2),
+  dice AS (SELECT x.detector, x.image_id, x.pr AS pred_route, x.tr AS ann_route, 2.0 * x.n / CAST(sp.n + st.n AS DOUBLE) AS dice FROM
+    (SELECT mapped.detector, mapped.image_id, mapped.route AS pr, tr.route AS tr, count(*) AS n FROM mapped JOIN tr ON tr.image_id = mapped.image_id AND tr.hold_index = mapped.ann_idx GROUP BY 1, 2, 3, 4) x
+    JOIN sp ON sp.detector = x.detector AND sp.image_id = x.image_id AND sp.route = x.pr JOIN st ON st.image_id = x.image_id AND st.route = x.tr)"""
 
 
-def view_matches(spark, sf):
-    return matches(spark, sf).filter("implementation_id = 'view'").select("image_id", "pred_idx", "ann_idx")
-
-
-def predicted_routes(spark, sf):
-    return w.predictions(spark, sf).select("image_id", "hold_index", (F.col("k") % 4).alias("route_id"))
+def detector_routes(spark, sf):
+    """(predictions with routes, matches) whose indices restart for every detector and image."""
+    place = Window.partitionBy("event_type", "image_id").orderBy("hold_index")
+    held = w.predictions(spark, sf).withColumn("place", (F.row_number().over(place) - 1).cast("bigint"))
+    named = held.select(F.col("event_type").alias("implementation_id"), "image_id", "hold_index", "place", (F.col("k") % 4).alias("route_id"))
+    found = matches(spark, sf).withColumnRenamed("pred_idx", "hold_index").join(named, ["implementation_id", "image_id", "hold_index"])
+    return (
+        named.select(F.col("implementation_id").alias("detector"), "image_id", F.col("place").alias("hold_index"), "route_id"),
+        found.select(F.col("implementation_id").alias("detector"), "image_id", F.col("place").alias("pred_idx"), "ann_idx"),
+    )
 
 
-@query("evl_route_candidates", f"WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {ROUTE_SQL} SELECT image_id, pred_route, ann_route, round(dice, 6) AS dice FROM dice")
+@query("evl_route_candidates", f"WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {ROUTE_SQL} SELECT detector, image_id, pred_route, ann_route, round(dice, 6) AS dice FROM dice")
 def _(spark, sf):
     truth = eligible(spark, sf).select("image_id", "hold_index", "route_id")
-    return rt.route_candidates(predicted_routes(spark, sf), truth, view_matches(spark, sf)).select("image_id", "pred_route", "ann_route", r6("dice"))
+    predicted, found = detector_routes(spark, sf)
+    return rt.route_candidates(predicted, truth, found, ["detector"]).select("detector", "image_id", "pred_route", "ann_route", r6("dice"))
 
 
 @query("evl_route_match", f"""WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {ROUTE_SQL},
-  rc AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY dice DESC, pred_route DESC, ann_route DESC) AS n FROM dice),
-  rw AS (SELECT image_id, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS up, CAST([] AS BIGINT[]) AS ua, false AS hit FROM (SELECT DISTINCT image_id FROM rc)
-    UNION ALL SELECT rw.image_id, c.n, CASE WHEN list_contains(rw.up, c.pred_route) OR list_contains(rw.ua, c.ann_route) THEN rw.up ELSE list_append(rw.up, c.pred_route) END,
+  rc AS (SELECT *, row_number() OVER (PARTITION BY detector, image_id ORDER BY dice DESC, pred_route DESC, ann_route DESC) AS n FROM dice),
+  rw AS (SELECT detector, image_id, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS up, CAST([] AS BIGINT[]) AS ua, false AS hit FROM (SELECT DISTINCT detector, image_id FROM rc)
+    UNION ALL SELECT rw.detector, rw.image_id, c.n, CASE WHEN list_contains(rw.up, c.pred_route) OR list_contains(rw.ua, c.ann_route) THEN rw.up ELSE list_append(rw.up, c.pred_route) END,
     CASE WHEN list_contains(rw.up, c.pred_route) OR list_contains(rw.ua, c.ann_route) THEN rw.ua ELSE list_append(rw.ua, c.ann_route) END,
-    NOT (list_contains(rw.up, c.pred_route) OR list_contains(rw.ua, c.ann_route)) FROM rw JOIN rc c ON c.image_id = rw.image_id AND c.n = rw.n + 1),
-  rm AS (SELECT c.image_id, count(*) AS n, avg(dice) AS mean FROM rw JOIN rc c ON c.image_id = rw.image_id AND c.n = rw.n WHERE rw.hit GROUP BY 1),
-  np AS (SELECT image_id, count(DISTINCT route) AS n FROM pr GROUP BY 1), nt AS (SELECT image_id, count(DISTINCT route) AS n FROM tr GROUP BY 1)
-  SELECT im.image_id, coalesce(rm.n, 0) AS matched_routes, coalesce(np.n, 0) AS predicted_routes, coalesce(nt.n, 0) AS annotated_routes,
+    NOT (list_contains(rw.up, c.pred_route) OR list_contains(rw.ua, c.ann_route)) FROM rw JOIN rc c ON c.detector = rw.detector AND c.image_id = rw.image_id AND c.n = rw.n + 1),
+  rm AS (SELECT c.detector, c.image_id, count(*) AS n, avg(dice) AS mean FROM rw JOIN rc c ON c.detector = rw.detector AND c.image_id = rw.image_id AND c.n = rw.n WHERE rw.hit GROUP BY 1, 2),
+  np AS (SELECT detector, image_id, count(DISTINCT route) AS n FROM pr GROUP BY 1, 2), nt AS (SELECT image_id, count(DISTINCT route) AS n FROM tr GROUP BY 1),
+  ca AS (SELECT im.image_id, d.detector FROM im, (VALUES ('view'), ('click')) AS d(detector))
+  SELECT ca.detector, ca.image_id, coalesce(rm.n, 0) AS matched_routes, coalesce(np.n, 0) AS predicted_routes, coalesce(nt.n, 0) AS annotated_routes,
   round(coalesce(rm.n / CAST(np.n AS DOUBLE), 0), 6) AS precision, round(coalesce(rm.n / CAST(nt.n AS DOUBLE), 0), 6) AS recall,
   round(coalesce(2.0 * rm.n / CAST(np.n + nt.n AS DOUBLE), 0), 6) AS f1, round(coalesce(rm.mean, 0), 6) AS mean_matched_route_f1
-  FROM im LEFT JOIN rm USING (image_id) LEFT JOIN np USING (image_id) LEFT JOIN nt USING (image_id)""")
+  FROM ca LEFT JOIN rm USING (detector, image_id) LEFT JOIN np USING (detector, image_id) LEFT JOIN nt USING (image_id)""")
 def _(spark, sf):
     truth = eligible(spark, sf).select("image_id", "hold_index", "route_id")
-    table = rt.route_match_metrics(w.images(spark, sf), predicted_routes(spark, sf), truth, view_matches(spark, sf))
+    predicted, found = detector_routes(spark, sf)
+    table = rt.route_match_metrics(w.images(spark, sf), predicted, truth, found, {"detector": ("view", "click")})
     return table.select(
-        "image_id", "matched_routes", "predicted_routes", "annotated_routes", r6("precision"), r6("recall"), r6("f1"), r6("mean_matched_route_f1")
+        "detector", "image_id", "matched_routes", "predicted_routes", "annotated_routes", r6("precision"), r6("recall"), r6("f1"), r6("mean_matched_route_f1")
     )
 
 

@@ -112,42 +112,51 @@ def clustering_metrics(cells: DataFrame, keys: Sequence[str] = CASE) -> DataFram
     )
 
 
-def route_candidates(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
+def route_candidates(predicted: DataFrame, truth: DataFrame, matches: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Dice score of every predicted/annotated route pair sharing matched holds.
 
-    predicted: image_id, hold_index (the prediction's), route_id; truth alike; matches: image_id,
-    pred_idx, ann_idx.
+    predicted: group, image_id, hold_index (the prediction's), route_id; matches: group, image_id,
+    pred_idx, ann_idx; truth: image_id, hold_index, route_id.  ``group`` names what numbers its own
+    predictions, such as a detector.
     """
+    unit = [*group, "image_id"]
     mapped = predicted.withColumnsRenamed({"hold_index": "pred_idx", "route_id": "pred_route"}).join(
-        matches.select("image_id", "pred_idx", "ann_idx"), ["image_id", "pred_idx"]
+        matches.select(*unit, "pred_idx", "ann_idx"), [*unit, "pred_idx"]
     )
-    sizes_p = mapped.groupBy("image_id", "pred_route").agg(F.count(F.lit(1)).alias("p"))
+    sizes_p = mapped.groupBy(*unit, "pred_route").agg(F.count(F.lit(1)).alias("p"))
     sizes_t = truth.groupBy("image_id", F.col("route_id").alias("ann_route")).agg(F.count(F.lit(1)).alias("a"))
     shared = (
         mapped.join(truth.withColumnsRenamed({"hold_index": "ann_idx", "route_id": "ann_route"}), ["image_id", "ann_idx"])
-        .groupBy("image_id", "pred_route", "ann_route")
+        .groupBy(*unit, "pred_route", "ann_route")
         .agg(F.count(F.lit(1)).alias("both"))
     )
     return (
-        shared.join(sizes_p, ["image_id", "pred_route"])
+        shared.join(sizes_p, [*unit, "pred_route"])
         .join(sizes_t, ["image_id", "ann_route"])
-        .select("image_id", "pred_route", "ann_route", (F.col("both") * 2.0 / (F.col("p") + F.col("a"))).alias("dice"))
+        .select(*unit, "pred_route", "ann_route", (F.col("both") * 2.0 / (F.col("p") + F.col("a"))).alias("dice"))
     )
 
 
-def route_match_metrics(images: DataFrame, predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
-    """Greedy one-to-one route matching by Dice, with precision, recall, F1 and mean Dice per image."""
+def route_match_metrics(
+    images: DataFrame, predicted: DataFrame, truth: DataFrame, matches: DataFrame, groups: dict[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """Greedy one-to-one route matching by Dice, with precision, recall, F1 and mean Dice.
+
+    One row per image and value of every key of ``groups`` (such as the configured detectors).
+    """
+    groups = groups or {}
+    unit = [*groups, "image_id"]
     order = [F.col("dice"), F.col("pred_route"), F.col("ann_route")]
-    taken = greedy(
-        route_candidates(predicted, truth, matches), ["image_id"], "pred_route", "ann_route", order, ["dice"]
-    )
-    count = lambda df, name: df.groupBy("image_id").agg(F.count_distinct("route_id").alias(name))
-    scored = taken.groupBy("image_id").agg(F.count(F.lit(1)).alias("matched_routes"), F.avg("dice").alias("mean"))
+    taken = greedy(route_candidates(predicted, truth, matches, list(groups)), unit, "pred_route", "ann_route", order, ["dice"])
+    count = lambda df, keys, name: df.groupBy(*keys).agg(F.count_distinct("route_id").alias(name))
+    scored = taken.groupBy(*unit).agg(F.count(F.lit(1)).alias("matched_routes"), F.avg("dice").alias("mean"))
+    cases = images.select("image_id")
+    for name, values in groups.items():
+        cases = cases.withColumn(name, each(values))
     table = (
-        images.select("image_id")
-        .join(count(predicted, "predicted_routes"), "image_id", "left")
-        .join(count(truth, "annotated_routes"), "image_id", "left")
-        .join(scored, "image_id", "left")
+        cases.join(count(predicted, unit, "predicted_routes"), unit, "left")
+        .join(count(truth, ["image_id"], "annotated_routes"), "image_id", "left")
+        .join(scored, unit, "left")
         .fillna(0)
     )
     table = table.withColumns(
@@ -157,7 +166,7 @@ def route_match_metrics(images: DataFrame, predicted: DataFrame, truth: DataFram
         }
     )
     return table.select(
-        "image_id",
+        *unit,
         "matched_routes",
         "predicted_routes",
         "annotated_routes",
