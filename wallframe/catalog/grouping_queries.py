@@ -212,7 +212,25 @@ def _(spark, sf):
     return g.finalize_groups(hdbscan(w.vectors(spark, sf)).withColumnRenamed("component", "label"))
 
 
-@query("grp_kmeans")
+def _assign_sql(table: str) -> str:
+    """Each hold with the first of its nearest centres, from a table of image_id, centers."""
+    return f"""SELECT w.*, f.hold_index, f.x, list_position(g.far, list_min(g.far)) AS label FROM {table} w JOIN f ON f.image_id = w.image_id,
+      LATERAL (SELECT list_transform(w.centers, lambda c: (c[1] - f.x[1]) * (c[1] - f.x[1]) + (c[2] - f.x[2]) * (c[2] - f.x[2]) + (c[3] - f.x[3]) * (c[3] - f.x[3])) AS far) g"""
+
+
+@query("grp_kmeans", f"""WITH RECURSIVE
+  f AS (SELECT vec_id % 5 AS image_id, vec_id AS hold_index, CAST([vec_id * 17 % 90 + 5, vec_id * 29 % 120 - 60, vec_id * 43 % 110 - 55] AS DOUBLE[]) AS x FROM embeddings),
+  walk AS (SELECT image_id, list(x ORDER BY md5('0:' || image_id || ':' || hold_index), hold_index)[1:6] AS centers, false AS done, 0 AS step FROM f GROUP BY 1
+    UNION ALL SELECT image_id, CASE WHEN steady THEN centers ELSE fresh END, steady, step + 1 FROM (
+      SELECT *, list_bool_and(list_transform(range(1, 7), lambda i: list_bool_and(list_transform(range(1, 4), lambda k: abs(fresh[i][k] - centers[i][k]) <= 1e-8 + 1e-5 * abs(centers[i][k]))))) AS steady FROM (
+        SELECT image_id, any_value(centers) AS centers, any_value(step) AS step,
+          list_transform(range(1, 7), lambda i: coalesce(list_extract(list_filter(list({{'label': label, 'mean': mean}}), lambda t: t.label = i), 1).mean, any_value(centers)[i])) AS fresh FROM (
+          SELECT image_id, label, [avg(x[1]), avg(x[2]), avg(x[3])] AS mean, any_value(centers) AS centers, any_value(step) AS step
+          FROM ({_assign_sql("(SELECT * FROM walk WHERE NOT done)")}) GROUP BY 1, 2) GROUP BY 1))),
+  ends AS (SELECT image_id, arg_max(centers, step) AS centers FROM walk GROUP BY 1),
+  l AS ({_assign_sql("ends")})
+  SELECT image_id, hold_index, dense_rank() OVER (PARTITION BY image_id ORDER BY first) - 1 AS route_id
+  FROM (SELECT image_id, hold_index, min(hold_index) OVER (PARTITION BY image_id, label) AS first FROM l)""")
 def _(spark, sf):
     return g.first_appearance_ids(g.kmeans(w.vectors(spark, sf).withColumnRenamed("lab", "features"), 6))
 
