@@ -235,7 +235,17 @@ def _(spark, sf):
     return g.first_appearance_ids(g.kmeans(w.vectors(spark, sf).withColumnRenamed("lab", "features"), 6))
 
 
-@query("grp_leader")
+@query("grp_leader", f"""WITH RECURSIVE {VECS_SQL},
+  r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY hold_index) AS n FROM vecs),
+  far AS (SELECT x.image_id, x.n, list(list_dot_product(x.e, x.e) + list_dot_product(y.e, y.e) - 2 * list_dot_product(x.e, y.e) ORDER BY y.n) AS v
+    FROM r x JOIN r y ON x.image_id = y.image_id AND y.n < x.n GROUP BY 1, 2),
+  walk AS (SELECT DISTINCT image_id, 1::BIGINT AS n, [0::BIGINT] AS labels FROM r
+    UNION ALL SELECT walk.image_id, walk.n + 1, list_append(walk.labels, coalesce(list_extract(list_filter(range(0, list_max(walk.labels) + 1), lambda g:
+        list_median(list_transform(list_filter(range(1, walk.n + 1), lambda k: walk.labels[k] = g), lambda k: far.v[k])) <= 1.6
+        AND list_max(list_transform(list_filter(range(1, walk.n + 1), lambda k: walk.labels[k] = g), lambda k: far.v[k])) <= 2.65), 1), list_max(walk.labels) + 1))
+      FROM walk JOIN far ON far.image_id = walk.image_id AND far.n = walk.n + 1),
+  ends AS (SELECT image_id, arg_max(labels, n) AS labels FROM walk GROUP BY 1)
+  SELECT r.image_id, r.hold_index, ends.labels[r.n] AS route_id FROM r JOIN ends USING (image_id)""")
 def _(spark, sf):
     return leader(w.vectors(spark, sf), 1.6, 2.65)
 
