@@ -11,7 +11,7 @@ from ..operators.validate import validate_holds, with_confidence
 from ..plans import detection as d
 from ..plans import reports as rep
 from ..plans import routes as rt
-from ..skew import chunked, ranked, row_numbers, running_sum
+from ..skew import chunked, differences, ranked, row_numbers, running_sum
 from ..sources.files import largest_per_key, top_images
 from . import views as w
 from .geometry_queries import iou_table
@@ -173,10 +173,14 @@ def _(spark, sf):
   r AS (SELECT c.*, tp / CAST(total AS DOUBLE) AS recall FROM c JOIN t USING (event_type))
   SELECT hold_index, round(recall - coalesce(lag(recall) OVER (PARTITION BY event_type ORDER BY rank), 0), 9) AS step FROM r""")
 def _(spark, sf):
-    # The step is the hit's share of all hits: a running sum's difference is its own term.
-    curve = labelled_predictions(spark, sf).select("event_type", "hold_index", (F.col("k") % 3 == 0).cast("bigint").alias("hit"))
+    hit = (F.col("k") % 3 == 0).cast("bigint").alias("hit")
+    curve = labelled_predictions(spark, sf).select("event_type", "hold_index", "confidence", "image_id", hit)
     totals = curve.groupBy("event_type").agg(F.sum("hit").alias("total"))
-    return curve.join(totals, "event_type").select("hold_index", F.round(F.col("hit") / F.col("total"), 9).alias("step"))
+    order = [F.col("confidence").desc(), F.col("image_id"), F.col("hold_index")]
+    counted = running_sum(chunked(curve, ["event_type"], order), ["event_type"], order, F.col("hit"), "tp")
+    recall = counted.join(totals, "event_type").withColumn("recall", F.col("tp") / F.col("total"))
+    steps = differences(recall, ["event_type"], order, F.col("recall"), "step")
+    return steps.select("hold_index", F.round("step", 9).alias("step"))
 
 
 @query("win_first_come", """SELECT image_id, label, dense_rank() OVER (PARTITION BY image_id ORDER BY first_hold) AS number FROM

@@ -132,12 +132,12 @@ def _(spark, sf):
     return both.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flt_orphans", """WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer), b AS (SELECT DISTINCT o_custkey AS key FROM orders)
+@query("flt_orphans", """WITH a AS (SELECT DISTINCT c_custkey * 3 AS key FROM customer), b AS (SELECT DISTINCT o_custkey * 2 AS key FROM orders)
   SELECT key, 'left' AS side FROM a WHERE key NOT IN (SELECT key FROM b)
   UNION ALL SELECT key, 'right' FROM b WHERE key NOT IN (SELECT key FROM a)""")
 def _(spark, sf):
-    left = w.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return v.orphans(left, w.table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+    left = w.table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("key"))
+    return v.orphans(left, w.table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("key")), ["key"])
 
 
 # ---- geometry --------------------------------------------------------------------------------

@@ -138,3 +138,15 @@ def suffix_max(
         .withColumn(name, F.greatest("_local", "_later"))
         .drop("_local", "_later", "_place")
     )
+
+
+def differences(chunks: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """``value`` minus that of the row before, the first row of a group against 0, along a ``chunked`` table."""
+    inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
+    local = chunks.withColumn("_value", value).withColumn("_place", F.row_number().over(inside))
+    lasts = local.groupBy(*group, "_chunk").agg(F.max_by("_value", "_place").alias("_last"))
+    earlier = Window.partitionBy(*group).orderBy("_chunk")
+    lasts = lasts.select(*group, "_chunk", F.lag("_last").over(earlier).alias("_before"))
+    joined = _null_safe(local.withColumn("_lag", F.lag("_value").over(inside)), lasts, [*group, "_chunk"])
+    before = F.coalesce("_lag", "_before", F.lit(0))
+    return joined.withColumn(name, F.col("_value") - before).drop("_value", "_place", "_lag", "_before")
