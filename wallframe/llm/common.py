@@ -13,8 +13,8 @@ from ..session import prepare
 
 # Texts may be very long, so batches to Python are bounded by bytes, not by rows alone.
 ARROW_LIMITS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
