@@ -223,7 +223,7 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     count = count.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(many)).filter(F.col(copies) > 0)
     count = count.withColumnsRenamed({"doc_id": f"{key}_id", "text_key": f"{key}_text"})
     met = docs.withColumn(key, F.xxhash64(text)).join(
-        count, F.col(doc_id).eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_text"))
+        count.hint("merge"), F.col(doc_id).eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_text"))
     )
     # Rows that repeat id and text share their copies by turns.
     met = met.withColumn(turn, F.row_number().over(Window.partitionBy(doc_id, key).orderBy(F.lit(0))))

@@ -94,16 +94,21 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Only the duplicates' ids are joined.  Rows that repeat both id and text leave one.
     """
-    members = duplicate_members(docs, doc_id, text, **widths).distinct()
-    gone = members.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), "text_sha256")
-    twice, _ = materialize(members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("twice_id"), "text_sha256"))
+    members = duplicate_members(docs, doc_id, text, **widths)
+    counted = members.groupBy("doc_id", "text_sha256", "keep_id").agg(F.count(F.lit(1)).alias("n"))
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = counted.filter(~keeper).select(F.col("doc_id").alias("other_id"), F.col("text_sha256").alias("other_sha")).distinct()
+    twice, repeated = materialize(
+        counted.filter(keeper & (F.col("n") > 1)).select(F.col("doc_id").alias("other_id"), F.col("text_sha256").alias("other_sha")).distinct()
+    )
     sha, turn = unused(docs, "sha", "turn")
-    same = lambda other, name: F.col(doc_id).eqNullSafe(other[name]) & (F.col(sha) == other["text_sha256"])
     marked = docs.withColumn(sha, F.sha2(text_bytes(text), 256))
-    left = marked.join(gone, same(gone, "gone_id"), "left_anti")
-    alone = left.join(twice, same(twice, "twice_id"), "left_anti")
-    # Keepers may stand there more than once; rows of one id and text are one group of equal rows.
-    first = left.join(twice, same(twice, "twice_id"), "left_semi").withColumn(
-        turn, F.row_number().over(Window.partitionBy(doc_id, sha).orderBy(F.lit(0)))
-    )
-    return alone.drop(sha).unionByName(first.filter(F.col(turn) == 1).drop(sha, turn))
+    same = lambda other: F.col(doc_id).eqNullSafe(other["other_id"]) & (F.col(sha) == other["other_sha"])
+    left = marked.join(gone.hint("merge"), same(gone), "left_anti")
+    if not repeated:
+        return left.drop(sha)
+    alone = left.join(twice, same(twice), "left_anti").drop(sha)
+    # Keepers that stand there more than once; rows of one id and text are equal in both.
+    place = Window.partitionBy(doc_id, sha).orderBy(F.lit(0))
+    first = left.join(twice, same(twice), "left_semi").withColumn(turn, F.row_number().over(place)).filter(F.col(turn) == 1)
+    return alone.unionByName(first.drop(sha, turn))
