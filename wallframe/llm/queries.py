@@ -67,7 +67,10 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = turns.filter(F.col("role") == "assistant")
     calls = said.select("conv_id", name(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), tool.alias("name"), arguments.alias("arguments"))
     results = turns.filter(F.col("role") != "assistant").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    rules = spark.createDataFrame(RULES, tool_calls.FIELD_RULES)
+    names = ("tool", "field", "type", "required", "low", "high")
+    kinds = dict(zip(names, ("string", "string", "string", "boolean", "double", "double"), strict=True))
+    listed = [F.struct(*[F.lit(value).cast(kinds[n]).alias(n) for n, value in zip(names, rule, strict=True)]) for rule in RULES]
+    rules = spark.range(1).select(F.inline(F.array(*listed)))
     return tool_calls.link_calls(calls, results, rules)
 
 
