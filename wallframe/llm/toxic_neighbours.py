@@ -34,6 +34,8 @@ from .common import per_text, text_bytes
 
 PREFIXES = range(3, 9)
 LETTERS = re.compile(r"[^\W\d_]+")
+# Longer pieces of text are not remembered.
+LONGEST = 64
 
 
 @dataclass(frozen=True)
@@ -56,12 +58,13 @@ def word_features(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in PREFIXES if k <= len(word))]
 
 
-def words_of(raw: bytes) -> list[str]:
-    return LETTERS.findall(raw.decode("utf-8", "replace").lower())
+def chunk_features(chunk: bytes) -> list[str]:
+    """Features of the runs of letters in a piece of text without white space."""
+    return [feature for word in LETTERS.findall(chunk.decode("utf-8", "replace").lower()) for feature in word_features(word)]
 
 
 def text_features(raw: bytes) -> set[str]:
-    return {feature for word in set(words_of(raw)) for feature in word_features(word)}
+    return {feature for chunk in set(raw.split()) for feature in chunk_features(chunk)}
 
 
 def g_score(with_toxic: int, with_all: int, toxic: int, total: int) -> float:
@@ -185,17 +188,31 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def reader(features: dict[str, int]):
-    """``bytes -> {feature number: count}``; what a word contributes is remembered."""
-    known: dict[str, tuple[int, ...]] = {}
+    """``bytes -> {feature number: count}``; what a piece between white space contributes is remembered.
+
+    Every feature of a word starts like the word, so most words are passed over by their first letters.
+    """
+    known: dict[bytes, tuple[int, ...]] = {}
+    heads = {feature[:3] for feature in features}
+    plain_heads = {head.encode() for head in heads}
+
+    def hits_of(chunk: bytes) -> tuple[int, ...]:
+        stem = chunk.rstrip(b".,;:!?")
+        if stem.isalpha() and (stem + b"$")[:3].lower() not in plain_heads:
+            return ()
+        words = LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+        return tuple(features[f] for w in words if (w + "$")[:3] in heads for f in word_features(w) if f in features)
 
     def read(raw: bytes) -> dict[int, int]:
         out: dict[int, int] = {}
-        for word, count in Counter(words_of(raw)).items():
-            hits = known.get(word)
+        for chunk, count in Counter(raw.split()).items():
+            hits = known.get(chunk)
             if hits is None:
-                if len(known) > 100_000:
+                if len(known) > 150_000:
                     known.clear()
-                hits = known[word] = tuple(features[f] for f in word_features(word) if f in features)
+                hits = hits_of(chunk)
+                if len(chunk) <= LONGEST:
+                    known[chunk] = hits
             for hit in hits:
                 out[hit] = out.get(hit, 0) + count
         return out
@@ -313,7 +330,7 @@ def scored_struct(model: Model, text: str = "text") -> Column:
             # Packed, as many texts are remembered.
             key = array("i", [x for pair in sorted(counts.items()) for x in pair]).tobytes()
             if key not in remembered:
-                if len(remembered) > 20_000:
+                if len(remembered) > 10_000:
                     remembered.clear()
                 vote, near = shared.votes(*shared.vector(counts)) if counts else (shared.zero_rate, None)
                 first = zip(*(side[: shared.limits.evidence].tolist() for side in near), strict=True) if near else ()
