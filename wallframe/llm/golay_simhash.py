@@ -232,8 +232,9 @@ def hex_print(column: str) -> Column:
 
 # Similar texts rather than near fingerprints: a longer SimHash over distinct words, in blocks of 23 bits.
 BLOCKS = 16
+FIRST_BLOCKS = 3
 LANES = 6
-EXACT_BITS = 16
+EXACT_BITS = 20
 # Angle of two word sets, as a share of bits, up to which a candidate is worth an exact comparison.
 FARTHEST = 0.22
 
@@ -252,27 +253,31 @@ def word_print(raw: bytes) -> bytes:
     return np.packbits(2 * ones > len(words), bitorder="little").tobytes()
 
 
-def word_shingles(raw: bytes, width: int) -> list[int]:
+def word_shingles(raw: bytes, width: int) -> np.ndarray:
     """Distinct hashes of the ``width``-word shingles; fewer words are one shingle, none no shingle."""
     import xxhash
 
     words = raw.lower().split()
     shingles = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words] * bool(words)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles)), dtype=np.uint64)).view(np.int64).tolist()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles)), dtype=np.uint64)).view(np.int64)
 
 
-def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_keys(numbers: range):
     """Per block: its first bits exactly, with each Golay number of the next block."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        bits = np.unpackbits(np.frombuffer(b"".join(batch["print"]), dtype=np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
-        blocks = bits[:, : BLOCKS * LENGTH].reshape(-1, BLOCKS, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
-        node = batch["node"].to_numpy()
-        for number in range(BLOCKS):
-            row, near = near_indices(blocks[:, (number + 1) % BLOCKS])
-            fixed = blocks[row, number] & ((1 << EXACT_BITS) - 1)
-            yield pd.DataFrame({"key": np.int64(number) << 40 | fixed << 12 | near, "node": node[row]})
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch["print"]), dtype=np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+            blocks = bits[:, : BLOCKS * LENGTH].reshape(-1, BLOCKS, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
+            node, group = batch["node"].to_numpy(), batch["grp"].to_numpy()
+            for number in numbers:
+                row, near = near_indices(blocks[:, (number + 1) % BLOCKS])
+                fixed = blocks[row, number] & ((1 << EXACT_BITS) - 1)
+                yield pd.DataFrame({"key": np.int64(number) << 40 | fixed << 12 | near, "node": node[row], "grp": group[row]})
+
+    return keys
 
 
 @F.pandas_udf(DoubleType())
@@ -283,40 +288,60 @@ def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series(np.bitwise_count(x ^ y).sum(axis=1) / (64 * LANES))
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of the rows of ``docs`` that are linked to another row.
+def _similar_pairs(nodes: DataFrame, rows: DataFrame, numbers: range, ends: tuple[str, ...], width: int, similarity: float) -> DataFrame:
+    """i, j: verified links between nodes of different groups that share a key of the given blocks.
 
-    Candidates share a Golay key; in each bucket every member is paired with the smallest and the
-    largest member, which keeps pairs linear in the bucket's size.  A pair links if the Jaccard
-    similarity of its ``width``-word shingles is ``similarity`` or more, computed on whole texts.
-    Texts without a word link to none.  Recall against all pairs is measured in the tests.
+    nodes: node, print, grp.  In each bucket a member is paired with the smallest (``low``) or also the
+    largest (``high``) one by (grp, node), which keeps pairs linear in the bucket's size.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("raw"))
-    nodes, _ = materialize(
-        rows.select("doc_id", per_text(lambda: word_print, "binary")(F.col("raw")).alias("print"), F.length("raw").alias("size"))
-        .groupBy("doc_id").agg(F.max("print").alias("print"), F.max("size").alias("size")).filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
-    )
-    nodes = nodes.withColumnRenamed("doc_id", "node")
-    keyed, _ = materialize(nodes.select("node", "print").mapInPandas(_block_keys, "key bigint, node bigint"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    met = keyed.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
-    pairs = met.filter("node != other").select(F.least("node", "other").alias("i"), F.greatest("node", "other").alias("j")).distinct()
+    keyed, _ = materialize(nodes.mapInPandas(_block_keys(numbers), "key bigint, node bigint, grp bigint"))
+    member = F.struct("grp", "node")
+    outer = keyed.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.grp < high.grp")
+    met = keyed.join(outer, "key").select("node", "grp", F.explode(F.array(*ends)).alias("other")).filter("grp != other.grp")
+    pairs = met.select(F.least("node", "other.node").alias("i"), F.greatest("node", "other.node").alias("j")).distinct()
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
-    close = pairs.join(side("i"), "i").join(side("j"), "j").filter(_distance("print_i", "print_j") <= FARTHEST).select("i", "j")
-    close, _ = materialize(close)
+    near = pairs.join(side("i"), "i").join(side("j"), "j").filter(_distance("print_i", "print_j") <= FARTHEST).select("i", "j")
+    close, _ = materialize(near)
     discard(keyed)
-    wanted = close.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct()
-    hashed = rows.join(wanted, "doc_id").select("doc_id", per_text(lambda: partial(word_shingles, width=width), "array<bigint>")(F.col("raw")).alias("set"))
-    sets, _ = materialize(hashed)
+    wanted = close.select(F.col("i").alias("doc_id")).union(close.select("j")).distinct()
+    shingled = per_text(lambda: partial(word_shingles, width=width), "array<bigint>")(F.col("raw"))
+    # A merge join, as texts move here: alike at every size.
+    sets, _ = materialize(rows.join(wanted.hint("merge"), "doc_id").select("doc_id", shingled.alias("set")))
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_i", "set_j"))
     alike = both >= similarity * (F.size("set_i") + F.size("set_j") - both)
     edges, _ = materialize(close.join(side("i"), "i").join(side("j"), "j").filter(alike).select("i", "j").distinct())
     discard(sets)
+    return edges
+
+
+def _grouped(edges: DataFrame) -> DataFrame:
+    """node, root of the linked nodes."""
     image = F.lit(0).alias("image_id")
     linked = edges.select(F.explode(F.array("i", "j")).alias("hold_index")).distinct()
     found = connected_components(linked.select(image, "hold_index"), edges.select(image, "i", "j"))
-    return found.select(F.col("hold_index").alias("doc_id"), F.col("component").alias("component_id"))
+    return found.select(F.col("hold_index").alias("node"), F.col("component").alias("root"))
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of the rows of ``docs`` that are linked to another row.
+
+    Candidates share a Golay key.  A pair links if the Jaccard similarity of its ``width``-word
+    shingles is ``similarity`` or more, computed on whole texts.  The first blocks group most copies;
+    the other blocks only look for links between groups, so a large group is not paired again.
+    Texts without a word link to none.  Recall against all pairs is measured in the tests.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("raw"))
+    nodes, _ = materialize(
+        rows.select("doc_id", per_text(lambda: word_print, "binary")(F.col("raw")).alias("print"), F.length("raw").alias("size"))
+        .groupBy(F.col("doc_id").alias("node")).agg(F.max("print").alias("print"), F.max("size").alias("size"))
+        .filter(F.col("node").isNotNull() & (F.col("size") > 0)).select("node", "print")
+    )
+    first = _similar_pairs(nodes.withColumn("grp", F.col("node")), rows, range(FIRST_BLOCKS), ("low",), width, similarity)
+    roots, _ = materialize(_grouped(first))
+    merged = nodes.join(roots, "node", "left").select("node", "print", F.coalesce("root", "node").alias("grp"))
+    rest = _similar_pairs(merged, rows, range(FIRST_BLOCKS, BLOCKS), ("low", "high"), width, similarity)
+    return _grouped(first.unionByName(rest)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,4 +351,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = similar_components(docs, doc_id, text, width=width, similarity=similarity)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col(doc_id) == gone["gone_id"], "left_anti")
+    return docs.join(gone.hint("merge"), F.col(doc_id) == gone["gone_id"], "left_anti")

@@ -25,7 +25,7 @@ from .common import per_text, text_bytes
 WIDTH = 2048
 BLOCK = 32768
 DONORS = 8
-CACHE, LONGEST = 400_000, 32
+CACHE, LONGEST = 250_000, 32
 CLOSING = b".,!?;:"
 # Letters up to here stay in one piece; a word that does not is noticed by the count of closing ids.
 LATIN_END = "\u0250"
@@ -47,8 +47,9 @@ class WordTokens:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.plain, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
-        self.plain.normalizer = None
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # The same model, read once.
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(1 + max(vocabulary.values()), dtype=bool)
