@@ -218,3 +218,30 @@ def test_similar_texts(spark, docs_of):
     assert left.count() == len(texts) - sum(k != root for k, root in got.items())
     assert drop_near_duplicates(docs_of([])).count() == 0
     assert drop_near_duplicates(docs_of([(None, "a b"), (1, "a b"), (2, "a b"), (3, None)])).count() == 3
+
+
+def shingle_sets(texts):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def all_links(texts):
+    sets = shingle_sets(texts)
+    return lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+
+def test_buckets_are_searched_whole(spark, docs_of):
+    """Copies between unrelated texts that share a long passage, so their buckets' end members are others."""
+    ready(spark)
+    rng = random.Random(6)
+    draw = lambda n: [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n)]
+    passage, texts = draw(60), []
+    texts += [" ".join(passage + draw(60)) for _ in range(40)]
+    for _ in range(10):
+        words = passage + draw(60)
+        texts += [" ".join(words), " ".join(words[:-11] + draw(3))]
+    texts += [" ".join(passage + draw(60)) for _ in range(40)]
+    roots = components(len(texts), all_links(texts))
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(docs_of(list(enumerate(texts)))).collect()}
+    assert len(set(roots)) == len(texts) - 10
+    assert [got.get(k, k) for k in range(len(texts))] == roots

@@ -17,9 +17,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..operators.grouping import connected_components
 from ..store import discard, materialize, union_all
@@ -230,81 +229,138 @@ def hex_print(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-# Similar texts rather than near fingerprints: a longer SimHash over distinct words, in blocks of 23 bits.
-BLOCKS = 16
-FIRST_BLOCKS = 3
-LANES = 6
-EXACT_BITS = 20
-# Angle of two word sets, as a share of bits, up to which a candidate is worth an exact comparison.
-FARTHEST = 0.22
-
-
-def word_print(raw: bytes) -> bytes:
-    """A SimHash of ``LANES`` * 64 bits over the distinct lower-cased words."""
-    import xxhash
-
-    words = set(raw.lower().split())
-    ones = np.zeros(64 * LANES, dtype=np.int64)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), words), dtype=np.uint64, count=len(words))
-    for start in range(0, len(hashes), CHUNK):
-        part = hashes[start : start + CHUNK]
-        lanes = np.stack([_mix(part + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(LANES)], axis=1)
-        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(words), bitorder="little").tobytes()
+# Similar texts rather than near fingerprints: texts that share a shingle of their prefixes, by a bound that loses none.
+BITS = 512
+LOWEST = 3
+SAMPLE = 5000
+COMMON = 8
+SLICE = 8192
+# Fixed odd multipliers for the places of a shingle.
+PLACES = _mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def word_shingles(raw: bytes, width: int) -> np.ndarray:
-    """Distinct hashes of the ``width``-word shingles; fewer words are one shingle, none no shingle."""
+    """Distinct hashes of the ``width``-word shingles in order; fewer words are one shingle, none no shingle."""
     import xxhash
 
     words = raw.lower().split()
-    shingles = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words] * bool(words)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles)), dtype=np.uint64)).view(np.int64)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    hashes, used = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), min(width, len(words))
+    sums = np.full(len(words) - used + 1, used, dtype=np.uint64)
+    for k in range(used):
+        sums = _mix(sums + hashes[k : len(hashes) - used + 1 + k] * PLACES[k % len(PLACES)])
+    return np.unique(sums)
+
 
+def _prefix(raw: bytes, width: int, similarity: float, common: np.ndarray) -> tuple:
+    """Number of shingles, their parities, the lowest ones, and the prefix: the first ones, common ones last.
 
-def _block_keys(numbers: range):
-    """Per block: its first bits exactly, with each Golay number of the next block."""
+    Sets of a similarity of t share at least t of the larger one, so each leaves out fewer than
+    that many in its prefix and the first shared shingle is in both prefixes.
+    """
+    shingles = word_shingles(raw, width)
+    count = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    parity = np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+    ordered = shingles
+    if len(common) and len(shingles):
+        late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        ordered = np.concatenate([shingles[~late], shingles[late]])
+    length = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+    return len(shingles), parity, shingles[:LOWEST].view(np.int64), ordered[:length].view(np.int64)
+
+
+def _may_link(left: slice | np.ndarray, right: slice | np.ndarray, bits: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where the sets' difference is too large: parities that differ and the sizes' gap are lower bounds of it."""
+    a, b = sizes[left][:, None], sizes[right][None, :]
+    most = (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    off = np.abs(a - b)
+    for lane in range(bits.shape[1]):
+        if lane == 0:
+            differing = np.bitwise_count(bits[left, lane][:, None] ^ bits[right, lane][None, :]).astype(np.int16)
+        else:
+            differing += np.bitwise_count(bits[left, lane][:, None] ^ bits[right, lane][None, :])
+    return np.maximum(off, differing) <= most
+
+
+def bucket_pairs(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's members that may link across groups: all of them, or of each member the first.
+
+    The members of the largest group are not paired with each other, so a bucket costs its size
+    times the number of members outside of that group.
+    """
+    left, right = [nodes[:0]], [nodes[:0]]
+    names, group = np.unique(groups, return_inverse=True)
+    inside = group == np.bincount(group, minlength=len(names)).argmax() if every else np.zeros(len(nodes), dtype=bool)
+    outside, everyone = np.nonzero(~inside)[0], np.arange(len(nodes))
+    step = max(1, (1 << 20) // max(1, len(nodes)))
+    for start in range(0, len(outside), step):
+        some = outside[start : start + step]
+        hit = _may_link(some, everyone, bits, sizes, similarity) & (group[some][:, None] != group[None, :])
+        if every:
+            hit &= inside[None, :] | (some[:, None] < everyone[None, :])
+            row, column = np.nonzero(hit)
+        else:
+            row = np.nonzero(hit.any(axis=1))[0]
+            column = hit[row].argmax(axis=1)
+        left.append(nodes[some[row]])
+        right.append(nodes[column])
+    i, j = np.concatenate(left), np.concatenate(right)
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def _bucket_rows(similarity: float, every: bool):
+    """Buckets of a partition that is sorted by key; memory is one batch and one bucket."""
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def searched(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, nodes, groups = (rows[name].to_numpy(dtype=np.int64) for name in ("key", "node", "grp"))
+        sizes = rows["size"].to_numpy(dtype=np.int64)
+        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
+        starts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+        found = []
+        for low, high in zip(starts, starts[1:], strict=False):
+            # Searching slices is for grouping copies early; where every pair counts, a bucket is whole.
+            for start in range(low, high, high - low if every else SLICE):
+                part = slice(start, high if every else min(high, start + SLICE))
+                if part.stop - part.start > 1:
+                    found.append(bucket_pairs(nodes[part], groups[part], sizes[part], bits[part], similarity, every))
+        i, j = (np.concatenate([pair[k] for pair in found]) if found else nodes[:0] for k in range(2))
+        return pd.DataFrame({"i": i, "j": j}).drop_duplicates()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch["print"]), dtype=np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
-            blocks = bits[:, : BLOCKS * LENGTH].reshape(-1, BLOCKS, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
-            node, group = batch["node"].to_numpy(), batch["grp"].to_numpy()
-            for number in numbers:
-                row, near = near_indices(blocks[:, (number + 1) % BLOCKS])
-                fixed = blocks[row, number] & ((1 << EXACT_BITS) - 1)
-                yield pd.DataFrame({"key": np.int64(number) << 40 | fixed << 12 | near, "node": node[row], "grp": group[row]})
-
-    return keys
-
+            if held and batch["key"].iloc[-1] == held[0]["key"].iloc[-1]:
+                held.append(batch)
+                continue
+            whole = pd.concat([*held, batch], ignore_index=True)
+            last = (whole["key"] != whole["key"].iloc[-1]).to_numpy()
+            if last.any():
+                yield searched(whole[last])
+            held = [whole[~last]]
+        if held:
+            yield searched(pd.concat(held, ignore_index=True))
 
-@F.pandas_udf(DoubleType())
-def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Share of differing bits."""
-    for a, b in batches:
-        x, y = (np.frombuffer(b"".join(side), dtype=np.uint64).reshape(len(side), LANES) for side in (a, b))
-        yield pd.Series(np.bitwise_count(x ^ y).sum(axis=1) / (64 * LANES))
+    return rows
 
 
-def _similar_pairs(nodes: DataFrame, rows: DataFrame, numbers: range, ends: tuple[str, ...], width: int, similarity: float) -> DataFrame:
-    """i, j: verified links between nodes of different groups that share a key of the given blocks.
+def _similar_pairs(nodes: DataFrame, rows: DataFrame, keys: str, every: bool, width: int, similarity: float) -> DataFrame:
+    """i, j: verified links between nodes of different groups that share one of the ``keys``.
 
-    nodes: node, print, grp.  In each bucket a member is paired with the smallest (``low``) or also the
-    largest (``high``) one by (grp, node), which keeps pairs linear in the bucket's size.
+    nodes: node, grp, size, bits and the array ``keys``.  Buckets are searched whole.
     """
-    keyed, _ = materialize(nodes.mapInPandas(_block_keys(numbers), "key bigint, node bigint, grp bigint"))
-    member = F.struct("grp", "node")
-    outer = keyed.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.grp < high.grp")
-    met = keyed.join(outer, "key").select("node", "grp", F.explode(F.array(*ends)).alias("other")).filter("grp != other.grp")
-    pairs = met.select(F.least("node", "other.node").alias("i"), F.greatest("node", "other.node").alias("j")).distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
-    near = pairs.join(side("i"), "i").join(side("j"), "j").filter(_distance("print_i", "print_j") <= FARTHEST).select("i", "j")
-    close, _ = materialize(near)
-    discard(keyed)
+    keyed = nodes.select(F.explode(keys).alias("key"), "node", "grp")
+    inside = Window.partitionBy("key")
+    mixed = keyed.withColumns({"least": F.min("grp").over(inside), "most": F.max("grp").over(inside)}).filter("least < most")
+    met, _ = materialize(mixed.select("key", "node", "grp"))
+    members = met.join(nodes.select("node", "size", "bits"), "node").select("key", "node", "grp", "size", "bits")
+    pairs = members.repartition("key").sortWithinPartitions("key", "grp", "node").mapInPandas(_bucket_rows(similarity, every), "i bigint, j bigint")
+    close, _ = materialize(pairs.filter("i != j").distinct())
+    discard(met)
     wanted = close.select(F.col("i").alias("doc_id")).union(close.select("j")).distinct()
-    shingled = per_text(lambda: partial(word_shingles, width=width), "array<bigint>")(F.col("raw"))
+    shingled = per_text(lambda: lambda raw: word_shingles(raw, width).view(np.int64), "array<bigint>")(F.col("raw"))
     # A merge join, as texts move here: alike at every size.
     sets, _ = materialize(rows.join(wanted.hint("merge"), "doc_id").select("doc_id", shingled.alias("set")))
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("set").alias(f"set_{name}"))
@@ -323,24 +379,34 @@ def _grouped(edges: DataFrame) -> DataFrame:
     return found.select(F.col("hold_index").alias("node"), F.col("component").alias("root"))
 
 
+def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles of at least ``COMMON`` of some ``SAMPLE`` texts; they only set the order, which decides on cost and not on results."""
+    every = max(1, -(-rows.count() // SAMPLE))
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    shingled = per_text(lambda: lambda raw: word_shingles(raw, width).view(np.int64), "array<bigint>")(F.col("raw"))
+    found = some.select(F.explode(shingled).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    return np.sort(np.array([r["key"] for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of the rows of ``docs`` that are linked to another row.
 
-    Candidates share a Golay key.  A pair links if the Jaccard similarity of its ``width``-word
-    shingles is ``similarity`` or more, computed on whole texts.  The first blocks group most copies;
-    the other blocks only look for links between groups, so a large group is not paired again.
-    Texts without a word link to none.  Recall against all pairs is measured in the tests.
+    A pair links if the Jaccard similarity of its ``width``-word shingles is ``similarity`` or more,
+    computed on whole texts.  Such a pair shares a shingle of its prefixes, and every bucket of a
+    prefix shingle is searched whole, so no pair is lost.  The lowest shingles group most copies
+    first; the prefixes only look for links between groups, so a large group is not paired again.
+    Texts without a word link to none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("raw"))
-    nodes, _ = materialize(
-        rows.select("doc_id", per_text(lambda: word_print, "binary")(F.col("raw")).alias("print"), F.length("raw").alias("size"))
-        .groupBy(F.col("doc_id").alias("node")).agg(F.max("print").alias("print"), F.max("size").alias("size"))
-        .filter(F.col("node").isNotNull() & (F.col("size") > 0)).select("node", "print")
-    )
-    first = _similar_pairs(nodes.withColumn("grp", F.col("node")), rows, range(FIRST_BLOCKS), ("low",), width, similarity)
+    common = _common_shingles(rows, width)
+    told = per_text(lambda: partial(_prefix, width=width, similarity=similarity, common=common), "size bigint, bits binary, low array<bigint>, prefix array<bigint>")
+    told = rows.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), told(F.col("raw")).alias("p")).select("node", "p.*")
+    nodes, _ = materialize(told.filter("size > 0"))
+    first = _similar_pairs(nodes.withColumn("grp", F.col("node")), rows, "low", False, width, similarity)
     roots, _ = materialize(_grouped(first))
-    merged = nodes.join(roots, "node", "left").select("node", "print", F.coalesce("root", "node").alias("grp"))
-    rest = _similar_pairs(merged, rows, range(FIRST_BLOCKS, BLOCKS), ("low", "high"), width, similarity)
+    merged = nodes.join(roots, "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    rest = _similar_pairs(merged, rows, "prefix", True, width, similarity)
+    discard(nodes)
     return _grouped(first.unionByName(rest)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
