@@ -230,6 +230,24 @@ def all_links(texts):
     return lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
 
 
+def test_similar_texts_at_the_threshold(spark, docs_of):
+    """Appended, cut, short and repetitive texts of a similarity near 0.8: each pair is found."""
+    ready(spark)
+    rng, texts = random.Random(5), []
+    for size in (10, 14, 30, 80, 200):
+        for _ in range(12):
+            words = [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(size)]
+            texts.append(" ".join(words))
+            texts.append(" ".join(words + [rng.choice(WORDS) for _ in range(max(1, (size - 4) // 5))]))
+    for _ in range(12):
+        words = [rng.choice("abcdefghij") for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[: len(words) - 40]), " ".join(words + [rng.choice("abcdefghij") for _ in range(50)])]
+    roots = components(len(texts), all_links(texts))
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(docs_of(list(enumerate(texts)))).collect()}
+    assert len(set(roots)) < len(texts) - 60
+    assert [got.get(k, k) for k in range(len(texts))] == roots
+
+
 def test_buckets_are_searched_whole(spark, docs_of):
     """Copies between unrelated texts that share a long passage, so their buckets' end members are others."""
     ready(spark)
