@@ -85,6 +85,17 @@ def test_mix_edges(spark, docs_of):
     assert mix_documents(docs_of(rows)).count() == sum(r["copies"] for r in plan)
 
 
+def test_long_documents_are_passed_over(spark, docs_of):
+    """Documents longer than what a source misses do not end its further pass."""
+    ready(spark)
+    rows = [(k, "w " * 20_000, "a") for k in range(30)] + [(100 + k, "w " * 20, "a") for k in range(300)]
+    rows += [(1000 + k, "w " * 1100, "b") for k in range(300)]
+    first = [r for r in mix_plan(docs_of(rows), weights=(5, 931)).collect() if not r["copy"]]
+    mine, other = ([r for r in first if (r["doc_id"] < 1000) == side] for side in (True, False))
+    assert round(mine[0]["target"]) == 5000 and sum(r["taken"] for r in mine) == 5000
+    assert abs(sum(r["taken"] for r in other) - other[0]["target"]) <= 550
+
+
 def test_packing_reaches_the_bound():
     rng = random.Random(1)
     for width, sizes in ((20, [rng.randint(1, 19) for _ in range(300)]), (2048, [rng.randint(200, 1500) for _ in range(400)]), (10, [6] * 9), (10, [])):

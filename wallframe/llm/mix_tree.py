@@ -2,8 +2,9 @@
 
 Targets: every source gets a share of all words by weight, but at most ``cap`` times its own
 words; what is above is shared again among the others.  A source's documents, in a hashed order,
-form its blocks: whole passes first, then the prefix of a further pass that meets the target
-best.  The blocks are shared out to shards by a binary tree over the shards: each node draws how
+form its blocks: whole passes first, then documents of a further pass that meet the target best:
+the first ones that fit, round by round over those not larger than what is still missing, and a
+choice among the smallest few at the end.  The blocks are shared out to shards by a binary tree over the shards: each node draws how
 many blocks of every source go left, without replacement, so the quotas of all shards add up
 exactly.  A node's draw depends on its number alone, so any task repeats the path of its rows and
 no quota table is joined.  Blocks of a shard are disjoint runs of the permuted sources; they are
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..skew import chunked, row_numbers, running_sum
-from ..store import materialize
+from ..store import materialize, union_all
 from .common import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,17 +105,42 @@ class SplitTree:
 
 
 def _closing(group: pd.DataFrame) -> pd.DataFrame:
-    """Of a source's next few documents, those that together come nearest to the words still missing."""
+    """Of a source's smallest documents, taken and not, those that together come nearest to the words missing without them."""
     group = group.sort_values("place")
-    sizes, gap = group["size"].tolist(), int(group["gap"].iloc[0])
+    sizes, gap = group["size"].tolist(), int(group["gap"].iloc[0]) + int(group["size"][group["taken"]].sum())
     best, chosen = abs(gap), ()
     for count in range(1, len(sizes) + 1):
         for some in combinations(range(len(sizes)), count):
             off = abs(gap - sum(sizes[k] for k in some))
             if off < best:
                 best, chosen = off, some
-    picked = group.iloc[list(chosen)]
-    return pd.DataFrame({"src": picked["src"], "place": picked["place"], "extra": range(1, len(picked) + 1)})
+    return pd.DataFrame({"src": group["src"], "place": group["place"], "chosen": [k in chosen for k in range(len(sizes))]})
+
+
+def _filled(ranked: DataFrame, missing: dict[int, int], least: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """src, place of the documents that fill a further pass up to ``missing`` words, and the words still missing per source.
+
+    ranked: src, _chunk, place, size, along a ``chunked`` table; least: smallest size above zero per source.
+    A round takes the first documents of at most half the gap while they fit, which halves the gap or
+    leaves larger ones only; of these one at most fits.  Rounds end when no document fits.
+    """
+    spark, gaps, parts = ranked.sparkSession, dict(missing), []
+    open_ = {k: least[k] for k, gap in gaps.items() if k in least and least[k] <= gap}
+    rows = ranked.filter("size > 0").select("src", "_chunk", "place", "size")
+    while open_:
+        bounds = [(k, gaps[k], gaps[k] // 2 if size <= gaps[k] // 2 else gaps[k]) for k, size in open_.items()]
+        live = rows.join(F.broadcast(spark.createDataFrame(bounds, "src bigint, gap bigint, bound bigint")), "src").filter("size <= gap")
+        small = F.col("size") <= F.col("bound")
+        summed = running_sum(live, ["src"], [F.col("place")], F.when(small, F.col("size")).otherwise(0), "upto")
+        marked, _ = materialize(summed.select("src", "_chunk", "place", "size", (small & (F.col("upto") <= F.col("gap"))).alias("taken")))
+        parts.append(marked.filter("taken").select("src", "place"))
+        rows = marked.filter("NOT taken").drop("taken")
+        got = marked.groupBy("src").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("words"), F.min(F.when(~F.col("taken"), F.col("size"))).alias("least")).collect()
+        for r in got:
+            gaps[r["src"]] -= int(r["words"])
+        open_ = {r["src"]: r["least"] for r in got if r["least"] is not None and r["least"] <= gaps[r["src"]]}
+    empty = ranked.select("src", "place").limit(0)
+    return union_all(parts) if parts else empty, gaps
 
 
 def mix_plan(
@@ -128,11 +154,11 @@ def mix_plan(
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, text_key, size, source_size, target, copies, taken, shards: one row per row of ``docs``.
+    """doc_id, text_key, size, source_size, target, copies, taken, copy, shard, src, place: one row per copy, and per row of ``docs`` without one.
 
     ``size`` counts words, null text none; a null source is a source of its own, last in order.
-    Documents are taken whole, ``copies`` times, at most ``cap`` times.  ``shards`` lists the
-    output shard of each copy.  Ties in the hashed order are broken by id, size and text hash, so
+    Documents are taken whole, ``copies`` times, at most ``cap`` times.  ``shard`` is
+    the output shard of the copy; (src, place) names the row of ``docs``.  Ties in the hashed order are broken by id, size and text hash, so
     reruns agree; rows that repeat all of them are interchangeable.  No rows give no rows.
     """
     spark = docs.sparkSession
@@ -144,7 +170,7 @@ def mix_plan(
             F.xxhash64(text).alias("text_key"),
         )
     )
-    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -160,22 +186,24 @@ def mix_plan(
     keyed = keyed.withColumn("dice", F.xxhash64(F.lit(seed), "doc_id"))
     order = [F.col("dice"), F.col("doc_id"), F.col("size"), F.col("text_key")]
     chunks = chunked(keyed, ["src"], order)
-    ranked = running_sum(row_numbers(chunks, ["src"], order, "place"), ["src"], order, F.col("size"), "upto")
-    ranked, _ = materialize(ranked.drop("_chunk", "dice"))
-    fits = (F.col("missing") > 0) & (F.col("upto") <= F.col("missing"))
-    met = ranked.groupBy("src").agg(F.count_if(fits).alias("prefix"), F.max(F.when(fits, F.col("upto")).otherwise(0)).alias("met"))
-    met, _ = materialize(met)
-    near = ranked.filter(F.col("missing") > 0).join(F.broadcast(met), "src")
-    near = near.filter(F.col("place").between(F.col("prefix") + 1, F.col("prefix") + CLOSERS))
-    near = near.select("src", "place", "size", (F.col("missing") - F.col("met")).alias("gap"))
-    closing, _ = materialize(near.groupBy("src").applyInPandas(_closing, "src bigint, place bigint, extra bigint"))
-    taken_last = ranked.join(F.broadcast(met), "src").join(F.broadcast(closing), ["src", "place"], "left")
-    last = F.when(fits, F.col("place")).otherwise(F.col("prefix") + F.col("extra"))
-    plan = taken_last.withColumn("last", last).withColumn("copies", F.col("passes") + F.col("last").isNotNull().cast("bigint"))
-    picked = {r["src"]: r["n"] for r in closing.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prefix = {r["src"]: r["prefix"] for r in met.collect()}
+    ranked, _ = materialize(row_numbers(chunks, ["src"], order, "place").drop("dice"))
+    wanted = {k: m for k, m in enumerate(missing) if m > 0}
+    filled, gaps = _filled(ranked, wanted, {k: r["least"] for k, r in enumerate(found) if r["least"]})
+    flagged, _ = materialize(ranked.join(filled.withColumn("taken", F.lit(True)), ["src", "place"], "left").withColumn("taken", F.col("taken").isNotNull()))
+    left = spark.createDataFrame([(k, gap) for k, gap in gaps.items() if gap], "src bigint, gap bigint")
+    # The smallest of each chunk first, so no task sorts a source.
+    near = flagged.filter("size > 0").join(F.broadcast(left), "src").select("src", "_chunk", "place", "size", "taken", "gap")
+    for group in (["src", "taken", "_chunk"], ["src", "taken"]):
+        at = Window.partitionBy(*group).orderBy("size", "place")
+        near = near.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= CLOSERS // 2).drop("at")
+    near = near.select("src", "place", "size", "taken", "gap")
+    closing, _ = materialize(near.groupBy("src").applyInPandas(_closing, "src bigint, place bigint, chosen boolean"))
+    taken = flagged.join(F.broadcast(closing), ["src", "place"], "left").withColumn("taken", F.coalesce("chosen", "taken")).drop("chosen")
+    taken, _ = materialize(running_sum(taken, ["src"], [F.col("place")], F.col("taken").cast("bigint"), "nth"))
+    plan = taken.withColumn("last", F.when(F.col("taken"), F.col("nth"))).withColumn("copies", F.col("passes") + F.col("taken").cast("bigint"))
+    picked = {r["src"]: r["n"] for r in taken.groupBy("src").agg(F.count_if(F.col("taken")).alias("n")).collect()}
     docs_of = [int(r["docs"]) for r in found]
-    blocks = [p * n + prefix.get(k, 0) + picked.get(k, 0) for k, (p, n) in enumerate(zip(passes, docs_of, strict=True))]
+    blocks = [p * n + picked.get(k, 0) for k, (p, n) in enumerate(zip(passes, docs_of, strict=True))]
     shards = max(1, -(-sum(words) // shard_words))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,6 +233,8 @@ def mix_plan(
             F.col("copy").isNotNull(),
             shard_of(F.col("src"), F.coalesce("copy", F.lit(0)), F.coalesce(position, F.lit(0))),
         ).alias("shard"),
+        "src",
+        "place",
     )
 
 
