@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from wallframe.llm.common import ready
-from wallframe.llm.mix_tree import SplitTree, mix_documents, mix_plan, mixed_rows, targets
+from wallframe.llm.mix_tree import SplitTree, mix_documents, mix_plan, mixed_rows, placed_documents, targets
 from wallframe.llm.swap_packing import best_fit, improve, pack_documents, pack_lengths
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -96,6 +96,17 @@ def test_long_documents_are_passed_over(spark, docs_of):
     assert abs(sum(r["taken"] for r in other) - other[0]["target"]) <= 550
 
 
+def test_mix_is_dealt_to_shards(spark, docs_of):
+    """All copies carry a shard and position, and mixed rows come in that order."""
+    ready(spark)
+    rows = [(k, f"t{k} " * (1 + k % 40), "abc"[k % 3]) for k in range(500)]
+    out = placed_documents(mix_plan(docs_of(rows), shard_words=1000)).collect()
+    assert len(out) == 500 and all(len(r["shards"]) == len(r["positions"]) == r["copies"] for r in out)
+    places = sorted((shard, position, r["doc_id"]) for r in out for shard, position in zip(r["shards"], r["positions"], strict=True))
+    assert len({shard for shard, *_ in places}) > 5
+    assert [r["doc_id"] for r in mix_documents(docs_of(rows), shard_words=1000).collect()] == [doc_id for *_, doc_id in places]
+
+
 def test_packing_reaches_the_bound():
     rng = random.Random(1)
     for width, sizes in ((20, [rng.randint(1, 19) for _ in range(300)]), (2048, [rng.randint(200, 1500) for _ in range(400)]), (10, [6] * 9), (10, [])):

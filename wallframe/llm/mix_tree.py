@@ -238,25 +238,45 @@ def mix_plan(
     )
 
 
+def _placed(plan: DataFrame, seed: int) -> DataFrame:
+    """The blocks of a plan, all columns, with their place in the shard."""
+    blocks = plan.filter(F.col("shard").isNotNull())
+    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "doc_id", "copy"), "doc_id", "copy", "text_key", "src", "place")
+    return blocks.withColumn("position", F.row_number().over(order).cast("bigint"))
+
+
 def mixed_rows(plan: DataFrame, seed: int = SEED) -> DataFrame:
     """The blocks of a plan with their place in the shard: doc_id, text_key, copy, shard, position."""
-    blocks = plan.filter(F.col("shard").isNotNull())
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "doc_id", "copy"), "doc_id", "copy", "text_key")
-    return blocks.select("doc_id", "text_key", "copy", "shard", F.row_number().over(order).cast("bigint").alias("position"))
+    return _placed(plan, seed).select("doc_id", "text_key", "copy", "shard", "position")
 
 
-def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Rows of ``docs``, with its columns, each repeated as often as the mix takes it (0 to ``cap`` times)."""
-    key, many, turn, n, copies = unused(docs, "mix_key", "mix_rows", "mix_turn", "mix_n", "mix_copies")
-    plan = mix_plan(docs, doc_id, text, source, **options)
-    count = plan.filter(F.col("copy").isNull() | (F.col("copy") == 0)).groupBy("doc_id", "text_key")
-    count = count.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(many)).filter(F.col(copies) > 0)
-    count = count.withColumnsRenamed({"doc_id": f"{key}_id", "text_key": f"{key}_text"})
+def placed_documents(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """The plan with one row per row of the documents: ``shards`` and ``positions`` list those of all copies."""
+    kept = ["doc_id", "text_key", "size", "source_size", "target", "copies", "taken"]
+    plan, _ = materialize(plan)
+    places = _placed(plan, seed).groupBy("src", "place").agg(
+        *[F.first(name).alias(name) for name in kept], F.array_sort(F.collect_list(F.struct("copy", "shard", "position"))).alias("at")
+    )
+    none = F.array().cast("array<bigint>")
+    out = places.select(*kept, F.col("at.shard").alias("shards"), F.col("at.position").alias("positions"))
+    return out.unionByName(plan.filter(F.col("shard").isNull()).select(*kept, none.alias("shards"), none.alias("positions")))
+
+
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, seed: int = SEED, **options) -> DataFrame:
+    """Rows of ``docs``, with its columns, each repeated as often as the mix takes it (0 to ``cap`` times).
+
+    Rows come by shard, and inside a shard in their shuffled position.
+    """
+    key, many, turn, at = unused(docs, "mix_key", "mix_rows", "mix_turn", "mix_at")
+    plan = placed_documents(mix_plan(docs, doc_id, text, source, seed=seed, **options), seed)
+    # Rows that repeat id and text are alike: their copies are dealt among them.
+    places = plan.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("shards", "positions")))).alias(at), F.count(F.lit(1)).alias(many))
+    places = places.filter(F.size(at) > 0).withColumnsRenamed({"doc_id": f"{key}_id", "text_key": f"{key}_text"})
     met = docs.withColumn(key, F.xxhash64(text)).join(
-        count.hint("merge"), F.col(doc_id).eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_text"))
+        places.hint("merge"), F.col(doc_id).eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_text"))
     )
-    # Rows that repeat id and text share their copies by turns.
     met = met.withColumn(turn, F.row_number().over(Window.partitionBy(doc_id, key).orderBy(F.lit(0))))
-    each = F.floor(F.col(copies) / F.col(many)) + (F.col(turn) <= F.col(copies) % F.col(many)).cast("bigint")
-    shared = met.withColumn(n, F.when(F.col(many) == 1, F.col(copies)).otherwise(each)).filter(F.col(n) > 0)
-    return shared.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
+    dealt = F.when(F.col(many) == 1, F.col(at)).otherwise(F.filter(at, lambda _, k: k % F.col(many) == F.col(turn) - 1))
+    blocks = met.select(*docs.columns, F.explode(dealt).alias(at))
+    order = [F.col(f"{at}.shards"), F.col(f"{at}.positions")]
+    return blocks.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -149,9 +149,10 @@ FROM f WHERE k = 1
 
 @query
 def op8_mix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_tree.mix_plan(table(spark, sf_dir, "documents"))
-    first = plan.filter(F.col("copy").isNull() | (F.col("copy") == 0))
-    return first.select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("shard").alias("first_shard"))
+    """One row per document; shards and positions are those of all copies."""
+    plan = mix_tree.placed_documents(mix_tree.mix_plan(table(spark, sf_dir, "documents")))
+    first = F.get("shards", F.lit(0)).alias("first_shard")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", first, "shards", "positions")
 
 
 @query
