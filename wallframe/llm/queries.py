@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_lines, extendible, golay_simhash, mix_tree, radix_dedup, secret_owners, swap_packing, tool_calls, toxic_neighbours, warc_store
+from . import (
+    cholesky_whitening,
+    crf_lines,
+    extendible,
+    golay_simhash,
+    merkle_rank,
+    mix_tree,
+    radix_dedup,
+    secret_owners,
+    swap_packing,
+    tool_calls,
+    toxic_neighbours,
+    warc_store,
+    weak_pii,
+)
 from .common import table
 
 Q: dict = {}
@@ -170,3 +184,66 @@ FROM documents
 @query
 def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swap_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op11_merkle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    leaf = merkle_rank.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))
+    return merkle_rank.manifest(docs, changed=merkle_rank.altered(F.col("doc_id"), F.col("n_chars"), leaf))
+
+
+SQL["op11_merkle_rank"] = """
+WITH RECURSIVE
+f AS (SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS a, coalesce(strlen(source) || ':' || source, '-') AS b,
+    coalesce(strlen(lang) || ':' || lang, '-') AS c, coalesce(strlen(text) || ':' || text, '-') AS e FROM documents),
+crc AS (
+  SELECT doc_id, 0 AS k, 4294967295::BIGINT AS r FROM documents
+  UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+  FROM (SELECT doc_id, k, CASE WHEN k % 8 = 0 THEN xor(r, ascii(substr(CAST(doc_id AS VARCHAR), k // 8 + 1, 1))::BIGINT) ELSE r END AS v
+    FROM crc WHERE k < 8 * strlen(CAST(doc_id AS VARCHAR)))),
+hit AS (SELECT doc_id FROM crc WHERE k = 8 * strlen(CAST(doc_id AS VARCHAR)) AND xor(r, 4294967295) % 7 = 0),
+leaves AS (SELECT f.doc_id, lang, sha256(a || b || c || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || e) AS leaf,
+    sha256(a || b || c || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || e) AS used
+  FROM (SELECT f.*, n_chars + CASE WHEN hit.doc_id IS NULL THEN 0 ELSE 1 END AS m FROM f LEFT JOIN hit USING (doc_id)) f),
+lv AS (
+  SELECT lang, 0 AS level, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subs AS (SELECT lang, h AS subroot, level AS top FROM lv WHERE n = 1),
+tl AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, subroot AS h FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tl WHERE n > 1 GROUP BY level, pos // 2, n),
+tops AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tpos FROM subs),
+nodes AS (
+  SELECT coalesce('=' || lang, '') AS g, level, pos, h FROM lv WHERE n > 1
+  UNION ALL SELECT '#', level, pos, h FROM tl WHERE n > 1),
+height AS (SELECT coalesce('=' || lang, '') AS g, max(level) AS top FROM lv GROUP BY 1 UNION ALL SELECT '#', max(level) FROM tl),
+walk AS (
+  SELECT doc_id, coalesce('=' || l.lang, '') AS g, 0 AS level, row_number() OVER (PARTITION BY l.lang ORDER BY doc_id) - 1 AS pos, tpos, '' AS proof, used AS h
+  FROM leaves l JOIN tops ON l.lang IS NOT DISTINCT FROM tops.lang
+  UNION ALL
+  SELECT doc_id, CASE WHEN up THEN '#' ELSE w.g END, CASE WHEN up THEN 0 ELSE w.level + 1 END, CASE WHEN up THEN tpos ELSE w.pos // 2 END, tpos,
+    CASE WHEN up THEN proof ELSE proof || coalesce(o.h, '') END,
+    CASE WHEN up THEN w.h WHEN o.h IS NULL THEN sha256(w.h) WHEN w.pos % 2 = 1 THEN sha256(o.h || w.h) ELSE sha256(w.h || o.h) END
+  FROM (SELECT walk.*, walk.level = height.top AS up FROM walk JOIN height USING (g) WHERE NOT (g = '#' AND walk.level = height.top)) w
+  LEFT JOIN nodes o ON o.g = w.g AND o.level = w.level AND o.pos = xor(w.pos, 1))
+SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = t.h AS verified,
+  (strlen(w.proof) // 64)::INTEGER AS depth
+FROM walk w JOIN height x ON x.g = '#' AND w.g = '#' AND w.level = x.top JOIN leaves l ON l.doc_id = w.doc_id
+JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT h FROM tl WHERE n = 1) t ON true
+"""
+
+
+@query
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return cholesky_whitening.whiten(rows, cholesky_whitening.fit(rows))
+
+
+@query
+def op13_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.find_personal(table(spark, sf_dir, "documents"))
