@@ -12,9 +12,11 @@ from wallframe.functions.color import hls_to_rgb, rgb_to_hls
 from wallframe.functions.numeric import delta_e
 from wallframe.functions.raster import fill
 from wallframe.operators import augment as au
+from wallframe.operators import color_features as cf
 from wallframe.operators.grouping import finalize_groups
 from wallframe.operators.masks import with_runs
 from wallframe.operators.overlap import span_iou
+from wallframe.operators.scanlines import color_counts, pack_pixels, unpack_pixels
 from wallframe.operators.shapes import boxes_to_polygons, scale_clicks, to_pixel, with_bbox, with_centroid
 from wallframe.operators.validate import validate_colors, validate_holds
 from wallframe.registry import get_grouper, slug
@@ -131,7 +133,7 @@ def test_clicks_and_normalised_polygon(spark):
 @pytest.mark.parametrize(("strength", "expected"), [(-1.0, (0, 0, 0)), (0.0, (10, 20, 30)), (1.0, (20, 40, 60))])
 def test_lighting(spark, strength, expected):
     pixel = spark.createDataFrame([(1, 0, 0, 10, 20, 30)], "image_id int, y int, x int, r int, g int, b int")
-    row = au.lighting(pixel, strength).first()
+    row = unpack_pixels(au.lighting(pack_pixels(pixel), strength)).first()
     assert (row.r, row.g, row.b) == expected
 
 
@@ -141,32 +143,52 @@ def grey(spark, side, level):
 
 def test_recolor(spark):
     target = with_runs(spark.createDataFrame([(1, 0, box(1, 1, 5, 5))], HOLD)).selectExpr("*", "20 AS tr", "100 AS tg", "220 AS tb")
-    rows = {(r.x, r.y): (r.r, r.g, r.b) for r in au.recolor(grey(spark, 8, 240), target).collect()}
+    rows = {(r.x, r.y): (r.r, r.g, r.b) for r in unpack_pixels(au.recolor(pack_pixels(grey(spark, 8, 240)), target)).collect()}
     assert rows[2, 2] == (20, 100, 220) and rows[7, 7] == (240, 240, 240)
 
 
 def test_recolor_applies_overlapping_targets_in_order(spark):
     holds = spark.createDataFrame([(1, 0, box(0, 0, 5, 5)), (1, 1, box(3, 3, 7, 7))], HOLD)
     target = with_runs(holds).selectExpr("*", "IF(hold_index = 0, 20, 200) AS tr", "100 AS tg", "IF(hold_index = 0, 220, 30) AS tb")
-    rows = {(r.x, r.y): (r.r, r.g, r.b) for r in au.recolor(grey(spark, 8, 240), target).collect()}
+    rows = {(r.x, r.y): (r.r, r.g, r.b) for r in unpack_pixels(au.recolor(pack_pixels(grey(spark, 8, 240)), target)).collect()}
     assert rows[1, 1] == (20, 100, 220)
     assert max(abs(a - b) for a, b in zip(rows[7, 7], (200, 100, 30), strict=True)) <= 3
     # The second target sees the first one's lightness of 120: 120 - 240 + 115 is cut to black.
     assert rows[4, 4] == (0, 0, 0)
 
 
+def test_images_without_a_target_are_passed_on(spark):
+    image = grey(spark, 8, 241)
+    both = pack_pixels(image.unionByName(image.withColumn("image_id", F.lit(2)).withColumn("r", F.lit(13))))
+    target = with_runs(spark.createDataFrame([(1, 0, box(1, 1, 5, 5))], HOLD)).selectExpr("*", "20 AS tr", "100 AS tg", "220 AS tb")
+    rows = unpack_pixels(au.recolor(both, target)).filter("image_id = 2").collect()
+    assert len(rows) == 64 and {(r.r, r.g, r.b) for r in rows} == {(13, 241, 241)}
+    assert unpack_pixels(au.recolor(both, target.limit(0))).count() == 128
+
+
+def test_pixels_stay_in_lines(spark):
+    """No pixel is a row: the plans of colours and distortions have no expansion of x."""
+    lines = pack_pixels(grey(spark, 8, 240))
+    masks = with_runs(spark.createDataFrame([(1, 0, box(1, 1, 5, 5)), (1, 1, box(30, 2, 40, 3))], HOLD))
+    found = {r.hold_index: (r.c0, r.c1, r.c2) for r in cf.mean_color(lines, masks).collect()}
+    assert found == {0: (240.0,) * 3, 1: (0.0,) * 3}
+    assert {r.hold_index: r.r for r in cf.median_rgb(lines, masks).collect()} == {0: 240, 1: None}
+    counts = color_counts(lines, masks)
+    assert [(r.code, r.n) for r in counts.orderBy("code").collect()] == [(240, 25), (496, 25), (752, 25)]
+
+
 def test_chalk(spark):
     holds = with_runs(spark.createDataFrame([(1, 0, box(0, 0, 95, 95))], HOLD))
     targets = holds.selectExpr("*", "96 AS width", "96 AS height", "1.0D AS strength")
     image = grey(spark, 96, 120).withColumns({c: F.when((F.col("x") == 5) & (F.col("y") == 5), 0).otherwise(F.col(c)) for c in "rgb"})
-    rows = au.chalk(image, targets, seed=0).collect()
+    rows = unpack_pixels(au.chalk(pack_pixels(image), targets, seed=0)).collect()
     level = np.zeros((96, 96))
     for r in rows:
         level[r.y, r.x] = r.r
     assert level[5, 5] == 0
     level[5, 5] = level[5, 6]
     assert level.std() > 1 and level.max() > 120 and np.abs(np.diff(level, axis=1)).mean() < 4
-    again = {(r.x, r.y): r.r for r in au.chalk(image, targets, seed=0).collect()}
+    again = {(r.x, r.y): r.r for r in unpack_pixels(au.chalk(pack_pixels(image), targets, seed=0)).collect()}
     assert all(again[r.x, r.y] == r.r for r in rows)
 
 

@@ -9,6 +9,7 @@ from ..functions.geometry import box_polygon
 from ..operators import augment as au
 from ..operators import color_features as cf
 from ..operators import masks as m
+from ..operators.scanlines import to_hls, unpack_pixels
 from . import views as w
 from .views import PIXELS_SQL, r6
 
@@ -96,17 +97,17 @@ def _(spark, sf):
 @query("col_median_lab", f"""WITH {PIXELS_SQL}, {lab_sql('inside')} SELECT image_id, hold_index, round(median(l8) * 100 / 255, 6) AS l, round((median(a8) - 128) * 100 / 255, 6) AS a,
   round((median(b8) - 128) * 100 / 255, 6) AS b FROM lab GROUP BY 1, 2""")
 def _(spark, sf):
-    return cf.median_lab(w.pixels(spark, sf), masks(spark, sf)).select("image_id", "hold_index", r6("l"), r6("a"), r6("b"))
+    return cf.median_lab(w.lines(spark, sf), masks(spark, sf)).select("image_id", "hold_index", r6("l"), r6("a"), r6("b"))
 
 
 @query("col_mean_rgb", f"WITH {PIXELS_SQL} SELECT image_id, hold_index, round(avg(r), 6) AS c0, round(avg(g), 6) AS c1, round(avg(b), 6) AS c2 FROM inside GROUP BY 1, 2")
 def _(spark, sf):
-    return cf.mean_color(w.pixels(spark, sf), masks(spark, sf)).select("image_id", "hold_index", r6("c0"), r6("c1"), r6("c2"))
+    return cf.mean_color(w.lines(spark, sf), masks(spark, sf)).select("image_id", "hold_index", r6("c0"), r6("c1"), r6("c2"))
 
 
 @query("col_mean_lab", f"WITH {PIXELS_SQL}, {lab_sql('inside')} SELECT image_id, hold_index, round(avg(l8), 6) AS c0, round(avg(a8), 6) AS c1, round(avg(b8), 6) AS c2 FROM lab GROUP BY 1, 2")
 def _(spark, sf):
-    return cf.mean_color(w.pixels(spark, sf), masks(spark, sf), "lab").select("image_id", "hold_index", r6("c0"), r6("c1"), r6("c2"))
+    return cf.mean_color(w.lines(spark, sf), masks(spark, sf), "lab").select("image_id", "hold_index", r6("c0"), r6("c1"), r6("c2"))
 
 
 @query("col_median_rgb", f"""WITH {PIXELS_SQL} SELECT image_id, hold_index, CAST(round_even(median(r), 0) AS INTEGER) AS r, CAST(round_even(median(g), 0) AS INTEGER) AS g,
@@ -118,7 +119,7 @@ def _(spark, sf):
     blank = known.filter("hold_index = 0").withColumn("polygon", box_polygon(corner, corner, corner + 3, corner + 3))
     blank = m.with_runs(blank.withColumn("hold_index", F.lit(99).cast("bigint")).drop("runs", "area"))
     stored = blank.selectExpr("image_id", "hold_index", "1 AS sr", "2 AS sg", "3 AS sb")
-    return cf.median_rgb(w.pixels(spark, sf), known.unionByName(blank), stored)
+    return cf.median_rgb(w.lines(spark, sf), known.unionByName(blank), stored)
 
 
 @query("col_sample_hex", f"""WITH {PIXELS_SQL}, ck AS (SELECT image_id, hold_index AS click_id, CASE WHEN hold_index < 4 THEN hold_index END AS hold_index, (image_id * 3 + hold_index * 7) % 50 AS cx, (image_id * 5 + hold_index * 4) % 30 AS cy FROM pm),
@@ -132,7 +133,7 @@ def _(spark, sf):
         "image_id", "hold_index AS click_id", "CASE WHEN hold_index < 4 THEN hold_index END AS hold_index",
         "CAST((image_id * 3 + hold_index * 7) % 50 AS DOUBLE) AS x", "CAST((image_id * 5 + hold_index * 4) % 30 AS DOUBLE) AS y",
     )
-    return cf.sample_hex(w.pixels(spark, sf), holds, clicks)
+    return cf.sample_hex(w.lines(spark, sf), holds, clicks)
 
 
 # ---- embeddings of masks ---------------------------------------------------------------------
@@ -196,7 +197,7 @@ def _(spark, sf):
   CAST(floor(least(255, greatest(0, b * (1 + s)))) AS INTEGER) AS b FROM (SELECT *, CASE image_id % 3 WHEN 0 THEN -0.25::DOUBLE WHEN 1 THEN -0.5 ELSE 0.75 END AS s FROM px)""")
 def _(spark, sf):
     strength = F.when(F.col("image_id") % 3 == 0, -0.25).when(F.col("image_id") % 3 == 1, -0.5).otherwise(0.75)
-    return au.lighting(w.pixels(spark, sf), strength)
+    return unpack_pixels(au.lighting(w.lines(spark, sf), strength))
 
 
 def _targets(spark, sf):
@@ -211,28 +212,86 @@ def _targets(spark, sf):
   CASE WHEN mk.image_id IS NOT NULL THEN CAST(floor(least(255, greatest(0, h.l - md.mid + 110))) AS INTEGER) ELSE h.l END AS l2 FROM hls h JOIN md ON md.image_id = h.image_id
   LEFT JOIN mk ON mk.image_id = h.image_id AND h.x BETWEEN mk.l AND mk.r AND h.y BETWEEN mk.t AND mk.b""")
 def _(spark, sf):
-    hls = ["h", "l", "s"]
-    coded = w.pixels(spark, sf).withColumns(dict(zip(hls, rgb_to_hls(*_channels()), strict=True)))
-    target = _targets(spark, sf).filter("hold_index = 2")
-    done = au.recolor_hls(coded, target)
-    return done.select("image_id", "y", "x", F.col("h").alias("h2"), F.col("l").alias("l2"))
+    done = au.recolor_hls(to_hls(w.lines(spark, sf)), _targets(spark, sf).filter("hold_index = 2"))
+    return unpack_pixels(done, ("h2", "l2", "s2")).drop("s2")
 
 
-@query("aug_recolor")
-def _(spark, sf):
-    return au.recolor(w.pixels(spark, sf), _targets(spark, sf))
+# The goal colour of each target in HLS, and one step per target in its order.
+GOALS_SQL = f"""
+gc AS (SELECT k AS hold_index, k * 40 AS r, 200 - k * 30 AS g, 90 AS b FROM range(6) AS s(k)),
+{hls_sql('gc').replace('s1 AS', 'u1 AS').replace('s2 AS', 'u2 AS').replace('s3 AS', 'u3 AS').replace('s4 AS', 'u4 AS').replace('FROM s', 'FROM u').replace('hls AS', 'goal AS')}
+"""
 
 
-@query("aug_chalk")
+def _recolor_sql(source: str, holds: list[int], out: str) -> str:
+    """``out``: pixels of ``source`` (image_id, x, y, h, l, s) after recolouring ``holds`` in order."""
+    parts, last = [], source
+    for k in holds:
+        inside = f"m.image_id = v.image_id AND m.hold_index = {k} AND v.x BETWEEN m.l AND m.r AND v.y BETWEEN m.t AND m.b"
+        parts.append(f"""{out}_m{k} AS (SELECT v.image_id, median(v.l) AS mid FROM {last} v JOIN pm m ON {inside} GROUP BY 1),
+{out}_{k} AS (SELECT v.image_id, v.x, v.y, CASE WHEN m.hold_index IS NULL THEN v.h ELSE o.h END AS h,
+  CASE WHEN m.hold_index IS NULL THEN v.l ELSE CAST(floor(least(255, greatest(0, v.l + (o.l - d.mid)))) AS INTEGER) END AS l,
+  CASE WHEN m.hold_index IS NULL THEN v.s ELSE o.s END AS s
+  FROM {last} v LEFT JOIN pm m ON {inside} LEFT JOIN {out}_m{k} d ON d.image_id = v.image_id LEFT JOIN goal o ON o.hold_index = {k})""")
+        last = f"{out}_{k}"
+    back = BACK_SQL.replace("FROM hls", f"FROM {last}")
+    return ",\n".join(parts) + f""",
+{back},
+{out} AS (SELECT image_id, y, x, {_back('k1')} AS r, {_back('k2')} AS g, {_back('k3')} AS b FROM t4)"""
+
+
+@query("aug_recolor", f"WITH {PIXELS_SQL}, {hls_sql('px')}, {GOALS_SQL}, {_recolor_sql('hls', list(range(6)), 'rc')} SELECT image_id, y, x, r, g, b FROM rc")
+def _(spark, sf):
+    return unpack_pixels(au.recolor(w.lines(spark, sf), _targets(spark, sf)))
+
+
+def _chalk_sql(source: str, holds: list[int], seed: int, out: str) -> str:
+    """``out``: pixels of ``source`` after chalk on ``holds`` in order, with strength hold / 5."""
+    a = "(-0.75::DOUBLE)"
+    far = lambda d: f"((({d} * {a} - 5.0 * {a}) * {d} + 8.0 * {a}) * {d} - 4.0 * {a})"
+    near = lambda d: f"((({d} * ({a} + 2.0) - ({a} + 3.0)) * {d}) * {d} + 1.0)"
+    weight = lambda t: f"CASE k WHEN 0 THEN {far(f'({t} + 1.0)')} WHEN 1 THEN {near(t)} WHEN 2 THEN {near(f'(1.0 - {t})')} ELSE {far(f'(2.0 - {t})')} END"
+    # 50 x 30 pixels have two cells side by side and one above the other.
+    steps = f"""{out}_n0 AS (SELECT image_id, hold_index, c, xor(0, {seed}) AS v FROM (SELECT DISTINCT image_id FROM px), range(6) AS s(hold_index), range(2) AS q(c))"""
+    for k, value in enumerate(("image_id", "hold_index", "0", "c", "1", "NULL"), 1):
+        step = f"(v * {au.MULTIPLIER}::BIGINT + {au.INCREMENT}) % {au.MASK + 1}"
+        hashed = f"xor({step}, ({step}) >> 15)"
+        follow = "" if value == "NULL" else f"xor({hashed}, {value})"
+        steps += f""",
+{out}_n{k} AS (SELECT image_id, hold_index, c, {follow or hashed} AS v FROM {out}_n{k - 1})"""
+    axis = lambda at, cells, size: f"(({at} + 0.5::DOUBLE) * {cells} / {size} - 0.5)"
+    parts = [steps]
+    parts.append(f"""{out}_x AS (SELECT x, floor({axis('x', 2, 50)}) AS base, {axis('x', 2, 50)} - floor({axis('x', 2, 50)}) AS t FROM range(50) AS s(x)),
+{out}_wx AS (SELECT x, k, CAST(least(greatest(base + k - 1, 0), 1) AS BIGINT) AS c, {weight('t')} AS w FROM {out}_x, range(4) AS q(k)),
+{out}_y AS (SELECT y, {axis('y', 1, 30)} - floor({axis('y', 1, 30)}) AS t FROM range(30) AS s(y)),
+{out}_wy AS (SELECT y, sum(w) AS w FROM (SELECT y, {weight('t')} AS w FROM {out}_y, range(4) AS q(k)) GROUP BY 1),
+{out}_d AS (SELECT n.image_id, n.hold_index, y, x, pow(least(greatest(wy.w * wx.v, 0.0), 1.0), 2) AS d
+  FROM (SELECT n.image_id, n.hold_index, x, sum(w * v / {au.MASK + 1}::DOUBLE) AS v FROM {out}_wx JOIN {out}_n6 n USING (c) GROUP BY ALL) wx
+  JOIN (SELECT DISTINCT image_id, hold_index FROM {out}_n6) n USING (image_id, hold_index), {out}_wy wy),
+{out}_s AS (SELECT image_id, x, y, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM {source})""")
+    last = f"{out}_s"
+    for k in holds:
+        alpha = f"coalesce(d.d * least(greatest(((v.r * 0.2126::DOUBLE + v.g * 0.7152::DOUBLE + v.b * 0.0722::DOUBLE) / 255.0 - 0.1) / 0.3, 0.0), 1.0) * ({k}::DOUBLE / 5), 0.0)"
+        parts.append(f"""{out}_{k} AS (SELECT image_id, x, y, r + (255.0 - r) * alpha AS r, g + (255.0 - g) * alpha AS g, b + (255.0 - b) * alpha AS b
+  FROM (SELECT v.*, {alpha} AS alpha FROM {last} v LEFT JOIN pm m ON m.image_id = v.image_id AND m.hold_index = {k} AND v.x BETWEEN m.l AND m.r AND v.y BETWEEN m.t AND m.b
+  LEFT JOIN {out}_d d ON d.image_id = v.image_id AND d.hold_index = m.hold_index AND d.x = v.x AND d.y = v.y))""")
+        last = f"{out}_{k}"
+    cut = lambda c: f"CAST(floor(least(255.0, greatest(0.0, {c}))) AS INTEGER) AS {c}"
+    parts.append(f"{out} AS (SELECT image_id, y, x, {cut('r')}, {cut('g')}, {cut('b')} FROM {last})")
+    return ",\n".join(parts)
+
+
+@query("aug_chalk", f"WITH {PIXELS_SQL}, {_chalk_sql('px', list(range(1, 6)), 3, 'ck')} SELECT image_id, y, x, r, g, b FROM ck")
 def _(spark, sf):
-    return au.chalk(w.pixels(spark, sf), _targets(spark, sf), seed=3)
+    return unpack_pixels(au.chalk(w.lines(spark, sf), _targets(spark, sf), seed=3))
 
 
-@query("aug_plan")
+@query("aug_plan", f"""WITH {PIXELS_SQL}, {hls_sql('px')}, {GOALS_SQL}, {_recolor_sql('hls', [0, 1, 2, 3], 'rc')}, {_chalk_sql('rc', [2, 3, 4, 5], au.step_seed(1, 1), 'ck')}
+  SELECT image_id, y, x, CAST(floor(r * 0.75) AS INTEGER) AS r, CAST(floor(g * 0.75) AS INTEGER) AS g, CAST(floor(b * 0.75) AS INTEGER) AS b FROM ck""")
 def _(spark, sf):
     targets = _targets(spark, sf)
-    plan = [("color", targets.filter("hold_index < 2")), ("chalk", targets.filter("hold_index >= 4")), ("lighting", -0.25)]
-    return au.apply_plan(w.pixels(spark, sf), plan, seed=1)
+    plan = [("color", targets.filter("hold_index < 4")), ("chalk", targets.filter("hold_index >= 2")), ("lighting", -0.25)]
+    return unpack_pixels(au.apply_plan(w.lines(spark, sf), plan, seed=1))
 
 
 @query("aug_requests", f"""WITH {PIXELS_SQL}, rq AS (SELECT *, CASE WHEN hold_index % 2 = 0 THEN hold_index * 40 END AS cr FROM pm)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_polygon
+from ..operators.scanlines import pack_pixels
 from ..operators.validate import normalize_route_label
 
 SIDE = 128
@@ -162,6 +163,11 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixels as scanlines, as images give them."""
+    return pack_pixels(pixels(spark, sf))
+
+
 def pixel_images(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "orders").selectExpr("CAST(floor(o_orderkey / 1500) AS BIGINT) AS image_id").distinct()
     return ids.selectExpr("image_id", "50 AS width", "30 AS height")

@@ -21,6 +21,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    # Scanlines, masks and vectors vary in size: batches to Python are bounded in bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,44 +173,6 @@ def scanlines(images: DataFrame) -> DataFrame:
     return rows.select("image_id", "y", F.substring("data", F.col("y") * stride + 1, stride).alias("bytes"))
 
 
-def masked_bytes(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pixels inside masks only: image_id, hold_index, y, x, r, g, b.
-
-    ``spans``: image_id, hold_index, y, x0, x1.  Rows are joined on (image, pixel row) and cut to the
-    span before any byte is decoded.
-    """
-    parts = spans.join(lines, ["image_id", "y"]).select(
-        "image_id",
-        "hold_index",
-        "y",
-        "x0",
-        F.substring("bytes", F.col("x0") * 3 + 1, (F.col("x1") - F.col("x0") + 1) * 3).alias("bytes"),
-    )
-
-    def decode(batches):
-        for batch in batches:
-            columns = batch.to_pydict()
-            lengths = np.array([len(b) // 3 for b in columns["bytes"]], dtype=np.int64)
-            bgr = np.frombuffer(b"".join(columns["bytes"]), dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("image_id").take(take),
-                    batch.column("hold_index").take(take),
-                    batch.column("y").take(take),
-                    pa.array((np.asarray(columns["x0"], dtype=np.int64)[row] + offset).astype(np.int32)),
-                    *[pa.array(bgr[:, k]) for k in (2, 1, 0)],
-                ],
-                names=["image_id", "hold_index", "y", "x", "r", "g", "b"],
-            )
-
-    kind = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
-    schema = f"image_id {kind['image_id']}, hold_index {kind['hold_index']}, y int, x int, r int, g int, b int"
-    return parts.mapInArrow(decode, schema)
-
-
 def holds_to_json(holds: DataFrame) -> DataFrame:
     """image_id, json: every column of the hold but its mask."""
     kept = [c for c in holds.columns if c not in {"mask_runs", "mask_width", "mask_height"}]
