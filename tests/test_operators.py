@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 from wallframe import skew
+from wallframe.functions.numeric import delta_e
 from wallframe.operators import grouping as g
 from wallframe.operators import pairs as pr
 from wallframe.operators.hierarchy import hdbscan
@@ -110,13 +111,44 @@ def test_linkages(clouds):
 
 def test_average_linkage_with_color(clouds):
     data, df = clouds
-    from wallframe.functions.numeric import delta_e
 
-    got = groups_of(g.average_linkage(df, 0.25, 1.0).collect(), "component")
-    for image, x in data.items():
-        lab = np.stack([50 + 10 * x[:, 0], 10 * x[:, 1], 10 * x[:, 2]], axis=1)
-        d = (cosine(x) + delta_e(lab[:, None], lab[None])) / 2
-        assert got[image] == brute.linkage(d, 0.25, "average")
+    for block in (5, 2048):
+        got = groups_of(g.average_linkage(df, 0.25, 1.0, block=block).collect(), "component")
+        for image, x in data.items():
+            lab = np.stack([50 + 10 * x[:, 0], 10 * x[:, 1], 10 * x[:, 2]], axis=1)
+            d = (cosine(x) + delta_e(lab[:, None], lab[None])) / 2
+            assert got[image] == brute.linkage(d, 0.25, "average")
+
+
+def test_far_blocks_are_not_paired(spark):
+    """A third of all rows in one image of four narrow groups: the same pairs from fewer pairs of blocks."""
+    rng = np.random.default_rng(11)
+    centers = np.eye(6)[:4]
+    rows = [(k % 3 and 1 + k % 7, k, [float(v) for v in centers[k % 4] + rng.normal(size=6) * 0.05]) for k in range(900)]
+    rows += [(0, 1000, [0.0] * 6), (0, 1001, rows[0][2])]
+    df = spark.createDataFrame(rows, "image_id int, hold_index int, embedding array<double>")
+    for metric, limit in (("cosine", 0.01), ("sq_l2", 0.02)):
+        near = {tuple(r)[:3] for r in pr.similarity_join(df, limit, metric=metric, block=20).collect()}
+        assert near and near == {tuple(r)[:3] for r in pr.similarity_join(df, limit, metric=metric).collect()}
+    large = pr._large_images(df, 20, "image_id")
+    placed = pr.pivot_blocks(df, large, 20, "cosine", "image_id", "hold_index", "embedding")
+    sizes = {(r.image_id, r._block): r["count"] for r in placed.groupBy("image_id", "_block").count().collect()}
+    blocks = sum(image == 0 for image, _ in sizes)
+    formed = pr.meeting_blocks(placed, pr._reach("cosine", 0.01), "image_id").filter("image_id = 0").count()
+    assert formed < 0.6 * blocks * (blocks + 1) / 2
+    assert sum(sizes.values()) == placed.count() == df.join(large, "image_id").count()
+
+
+def test_colors_of_cluster_pairs_stay_in_parts(spark):
+    """Sums over pairs of members, whatever the size of the parts, and no row per pair of members in the plan."""
+    rng = np.random.default_rng(8)
+    labs = rng.uniform(-40, 60, (40, 3))
+    members = spark.createDataFrame([(1, k % 3, k, [float(v) for v in lab]) for k, lab in enumerate(labs)], "image_id int, component int, hold_index int, lab array<double>")
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "image_id int, a int, b int")
+    for part in (2, 1024):
+        found = {(r.a, r.b): r.color for r in g._color_sums(pairs, members, part).collect()}
+        for a, b in ((0, 1), (1, 2)):
+            assert abs(found[a, b] - delta_e(labs[a::3][:, None], labs[b::3][None]).sum()) < 1e-9
 
 
 def test_dbscan(clouds):

@@ -93,6 +93,30 @@ def _(spark, sf):
     return pr.similarity_join(w.vectors(spark, sf), 1.5, metric="sq_l2").select("image_id", "i", "j", r6("dist"))
 
 
+# One image holds a third of all vectors; the first four dimensions lie close enough for distances to be small.
+HOT_SQL = """
+hv AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 + vec_id % 5 END AS image_id, vec_id AS hold_index, CAST(embedding[1:4] AS DOUBLE[]) AS e FROM embeddings),
+hd AS (SELECT x.image_id, x.hold_index AS i, y.hold_index AS j, 1 - list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) AS dist,
+  pow(list_distance(x.e, y.e), 2) AS far FROM hv x JOIN hv y ON x.image_id = y.image_id AND x.hold_index < y.hold_index)
+"""
+
+
+def hot_vectors(spark, sf):
+    return w.table(spark, sf, "embeddings").selectExpr(
+        "CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 + vec_id % 5 END AS image_id", "vec_id AS hold_index", "slice(embedding, 1, 4) AS embedding"
+    )
+
+
+@query("pair_hot_cosine", f"WITH {HOT_SQL} SELECT image_id, i, j, round(dist, 6) AS dist FROM hd WHERE dist <= 0.04")
+def _(spark, sf):
+    return pr.similarity_join(hot_vectors(spark, sf), 0.04, block=16).select("image_id", "i", "j", r6("dist"))
+
+
+@query("pair_hot_sq_l2", f"WITH {HOT_SQL} SELECT image_id, i, j, round(far, 6) AS dist FROM hd WHERE far <= 0.004")
+def _(spark, sf):
+    return pr.similarity_join(hot_vectors(spark, sf), 0.004, metric="sq_l2", block=16).select("image_id", "i", "j", r6("dist"))
+
+
 @query("pair_blend", f"WITH {BLEND_SQL} SELECT image_id, i, j, round(mixed, 6) AS dist FROM bl WHERE mixed <= 0.6")
 def _(spark, sf):
     return pr.blended_join(w.vectors(spark, sf), 0.6, 1.0).select("image_id", "i", "j", r6("dist"))
@@ -179,14 +203,14 @@ def _(spark, sf):
     return g.dbscan(w.vectors(spark, sf), close_pairs(spark, sf, 0.72), 0.72, 4)
 
 
-def _linkage_sql(combine: str, threshold: float) -> str:
+def _linkage_sql(combine: str, threshold: float, source: str = VECS_SQL, pairs: str = "d") -> str:
     """One merge per image and step: the closest pair of clusters by the combined distance of their members."""
-    return f"""WITH RECURSIVE {VECS_SQL},
+    return f"""WITH RECURSIVE {source},
   walk AS (SELECT image_id, list(hold_index ORDER BY hold_index) AS ids, list(hold_index ORDER BY hold_index) AS labels, 0 AS step FROM vecs GROUP BY 1
     UNION ALL SELECT image_id, ids, list_transform(labels, lambda x: CASE WHEN x = pair.b THEN pair.a ELSE x END), step + 1 FROM (
       SELECT image_id, any_value(ids) AS ids, any_value(labels) AS labels, any_value(step) AS step, min(dist) AS dist, arg_min({{'a': a, 'b': b}}, dist) AS pair FROM (
         SELECT image_id, least(x, y) AS a, greatest(x, y) AS b, {combine}(dist) AS dist, any_value(ids) AS ids, any_value(labels) AS labels, any_value(step) AS step FROM (
-          SELECT walk.*, d.dist, labels[list_position(ids, d.i)] AS x, labels[list_position(ids, d.j)] AS y FROM walk JOIN d ON d.image_id = walk.image_id)
+          SELECT walk.*, d.dist, labels[list_position(ids, d.i)] AS x, labels[list_position(ids, d.j)] AS y FROM walk JOIN {pairs} AS d ON d.image_id = walk.image_id)
         WHERE x <> y GROUP BY 1, 2, 3) GROUP BY image_id) WHERE dist < {threshold}),
   ends AS (SELECT image_id, arg_max(ids, step) AS ids, arg_max(labels, step) AS labels FROM walk GROUP BY 1)
   SELECT image_id, unnest(ids) AS hold_index, unnest(labels) AS component FROM ends"""
@@ -202,7 +226,7 @@ def _(spark, sf):
     return g.average_linkage(w.vectors(spark, sf), 0.72)
 
 
-@query("grp_average_color")
+@query("grp_average_color", _linkage_sql("avg", 0.55, f"{BLEND_SQL}, bd AS MATERIALIZED (SELECT image_id, i, j, mixed AS dist FROM bl)", "bd"))
 def _(spark, sf):
     return g.average_linkage(w.vectors(spark, sf), 0.55, 1.0)
 

@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import vectors
-from ..functions.color import ciede2000_lab
+from ..functions.numeric import delta_e
 from ..functions.vectors import mean_vector
 from ..skew import hot_keys, ranked, salted_join
-from ..store import materialize
-from .pairs import BLOCK, blended_join, similarity_join
+from ..store import discard, materialize
+from .pairs import BLOCK, blended_join, matrix, similarity_join
 
 KEY = "image_id"
 
@@ -158,56 +161,211 @@ def average_linkage(
 ) -> DataFrame:
     """Average linkage over cosine (and colour) distance cut at ``threshold``.
 
-    The mean cosine distance of two clusters is 1 - <sum a, sum b> / (|a| |b|) on unit vectors, so
-    a cluster is one vector and the pair table is never built.  With a colour part the embedding
-    mean alone must stay below threshold * (1 + weight); only cluster pairs passing that get
-    their mean colour distance from the member colours.
+    An image of at most ``block`` holds is one small distance matrix.  Larger ones go through rounds
+    of mutually nearest clusters, which merge the same way since averages never bring clusters closer.
+    """
+    large, many = materialize(features.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(KEY))
+    small = features.join(large, KEY, "left_anti") if many else features
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
+    columns = [KEY, "hold_index", vectors.unit(F.col("embedding")).alias("unit"), *([F.col("lab").cast("array<double>").alias("lab")] if color_weight else [])]
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.sort_by("hold_index")
+        units = matrix(table["unit"])
+        distances = 1.0 - units @ units.T
+        if color_weight:
+            labs = matrix(table["lab"])
+            color = np.stack([delta_e(np.repeat(lab[None], len(labs), axis=0), labs) for lab in labs])
+            distances = (distances + color_weight * color) / (1.0 + color_weight)
+        first = _average_clusters(distances, threshold)
+        return pa.table([table[KEY], table["hold_index"], table["hold_index"].take(pa.array(first))], names=[KEY, "hold_index", "component"])
+
+    schema = f"{KEY} {kinds[KEY]}, hold_index {kinds['hold_index']}, component {kinds['hold_index']}"
+    found = small.select(*columns).groupBy(KEY).applyInArrow(kernel, schema)
+    if not many:
+        return found
+    return found.unionByName(_linkage_rounds(features.join(large, KEY, "left_semi"), threshold, color_weight, block))
+
+
+def _average_clusters(distances: np.ndarray, threshold: float) -> np.ndarray:
+    """Smallest member of each row's cluster.  Each row keeps its nearest later row, so a step is linear."""
+    n = len(distances)
+    label, size = np.arange(n), np.ones(n)
+    far = distances.copy()
+    np.fill_diagonal(far, np.inf)
+    near = far.argmin(axis=1)
+    least = far[np.arange(n), near]
+    while n > 1:
+        a = int(least.argmin())
+        if not least[a] < threshold:
+            break
+        a, b = sorted((a, int(near[a])))
+        row = (size[a] * far[a] + size[b] * far[b]) / (size[a] + size[b])
+        row[[a, b]] = np.inf
+        far[a], far[:, a] = row, row
+        far[b], far[:, b] = np.inf, np.inf
+        size[a] += size[b]
+        label[label == b] = a
+        least[b] = np.inf
+        # Rows whose nearest row was merged look again, others only at the merged one.
+        stale = np.flatnonzero(((near == a) | (near == b)) & np.isfinite(least))
+        stale = np.union1d(stale, [a])
+        near[stale] = far[stale].argmin(axis=1)
+        least[stale] = far[stale, near[stale]]
+        closer = (row < least) | ((row == least) & (a < near))
+        near[closer], least[closer] = a, row[closer]
+    return label
+
+
+def _linkage_rounds(features: DataFrame, threshold: float, color_weight: float, block: int) -> DataFrame:
+    """Average linkage of large images.
+
+    A cluster is the sum of its unit vectors and its size: the mean cosine distance of two clusters is
+    1 - <sum a, sum b> / (|a| |b|).  With a colour part the embedding mean alone must stay below
+    threshold * (1 + weight); cluster pairs passing that carry the sum of their colour distances, which
+    is added up when clusters merge.  Only pairs of which a part was never close are measured from
+    their colours.  Images without a merge leave the rounds.
     """
     bound = threshold * (1.0 + color_weight)
-    unit = features.select(
-        KEY, "hold_index", vectors.unit(F.col("embedding")).alias("embedding"), *(["lab"] if color_weight else [])
-    )
-    members, _ = materialize(unit.withColumn("component", F.col("hold_index")).withColumn("fresh", F.lit(True)))
-    links = None
+    unit = features.select(KEY, "hold_index", vectors.unit(F.col("embedding")).alias("sum"), *(["lab"] if color_weight else []))
+    stored, _ = materialize(unit.withColumn("component", F.col("hold_index")))
+    clusters = stored.select(KEY, "component", "sum", F.lit(1).cast("bigint").alias("size"), F.lit(True).alias("fresh"))
+    members = stored.drop("sum")
+    known, finished, renames, before = None, None, [], None
     while True:
-        measured = _cluster_links(members, threshold, bound, color_weight, block)
-        links, left = materialize(measured if links is None else links.unionByName(measured))
+        links, left = materialize(_cluster_links(clusters, known, members, bound, color_weight, block))
+        if before is not None:
+            discard(before)
+        before = links
         if not left:
-            return members.select(KEY, "hold_index", "component")
-        merges, _ = materialize(_mutual_nearest(links))
-        ends = merges.select(KEY, F.explode(F.array("a", "b")).alias("end"))
-        for side in ("a", "b"):
-            links = links.join(ends.withColumnRenamed("end", side), [KEY, side], "left_anti")
-        grown = merges.select(KEY, F.col("a").alias("component"), F.lit(True).alias("_grown"))
-        members, _ = materialize(
-            _relabel(members.drop("fresh"), merges, "component")
-            .join(grown, [KEY, "component"], "left")
-            .withColumn("fresh", F.coalesce("_grown", F.lit(False)))
-            .drop("_grown")
-        )
+            break
+        merges, some = materialize(_mutual_nearest(links.filter(F.col("dist") < threshold)))
+        if not some:
+            break
+        renames.append(merges)
+        active = merges.select(KEY).distinct()
+        if color_weight or len(renames) % 8 == 0:
+            # Members of images that go on carry their new cluster; the others are done.
+            for merged in renames:
+                members = _relabel(members, merged, "component")
+            renamed, _ = materialize(members)
+            done = renamed.join(active, KEY, "left_anti").select(KEY, "hold_index", "component")
+            finished = done if finished is None else finished.unionByName(done)
+            members, renames = renamed.join(active, KEY, "left_semi"), []
+        known = _renamed_links(links.join(active, KEY, "left_semi"), merges)
+        old = clusters
+        clusters, _ = materialize(_merged_clusters(old.join(active, KEY, "left_semi"), merges))
+        discard(old)
+    for merges in renames:
+        members = _relabel(members, merges, "component")
+    members = members.select(KEY, "hold_index", "component")
+    return members if finished is None else members.unionByName(finished)
+
+
+def _merged_clusters(clusters: DataFrame, merges: DataFrame) -> DataFrame:
+    """Clusters after the merges: sums and sizes of both sides added, new ones marked fresh."""
+    ends = merges.select(KEY, F.explode(F.array("a", "b")).alias("component"), F.col("a").alias("_into"))
+    joined = clusters.join(ends, [KEY, "component"], "left")
+    pair = joined.filter(F.col("_into").isNotNull()).groupBy(KEY, "_into").agg(
+        F.collect_list("sum").alias("both"), F.sum("size").alias("size")
+    )
+    grown = pair.select(
+        KEY,
+        F.col("_into").alias("component"),
+        F.zip_with(F.col("both")[0], F.col("both")[1], lambda x, y: x + y).alias("sum"),
+        "size",
+        F.lit(True).alias("fresh"),
+    )
+    kept = joined.filter(F.col("_into").isNull()).select(KEY, "component", "sum", "size", F.lit(False).alias("fresh"))
+    return kept.unionByName(grown)
+
 
+def _renamed_links(links: DataFrame, merges: DataFrame) -> DataFrame:
+    """Colour sums of cluster pairs after the merges.
 
-def _cluster_links(members: DataFrame, threshold: float, bound: float, color_weight: float, block: int) -> DataFrame:
-    """Cluster pairs below the threshold (image_id, a, b, dist) with at least one fresh cluster."""
-    centers = members.groupBy(KEY, "component").agg(
-        mean_vector("embedding").alias("center"), F.bool_or("fresh").alias("fresh")
+    ``touched`` marks pairs with a merged side; ``whole`` says that each part of the pair was known, so
+    that the added sums are those of the pair.
+    """
+    ends = merges.select(KEY, F.explode(F.array("a", "b")).alias("_end"), F.col("a").alias("_into"))
+    side = lambda name: ends.select(KEY, F.col("_end").alias(name), F.col("_into").alias(f"_{name}"))
+    named = links.join(side("a"), [KEY, "a"], "left").join(side("b"), [KEY, "b"], "left")
+    x, y = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+    parts = F.when(F.col("_a").isNotNull(), 2).otherwise(1) * F.when(F.col("_b").isNotNull(), 2).otherwise(1)
+    placed = named.select(
+        KEY, F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "d", "color", parts.alias("parts"),
+        (F.col("_a").isNotNull() | F.col("_b").isNotNull()).alias("touched"),
+    )
+    return (
+        placed.filter(F.col("a") != F.col("b"))
+        .groupBy(KEY, "a", "b")
+        .agg(
+            F.bool_or("touched").alias("touched"),
+            (F.count(F.lit(1)) == F.max("parts")).alias("whole"),
+            F.sum("color").alias("color"),
+            F.first("d").alias("d"),
+        )
     )
-    # On unit vectors 1 - <mean a, mean b> is the mean cosine distance.
+
+
+def _cluster_links(
+    clusters: DataFrame, known: DataFrame | None, members: DataFrame, bound: float, color_weight: float, block: int
+) -> DataFrame:
+    """Cluster pairs within the bound: image_id, a, b, embedding distance d, colour sum, blended dist."""
+    centers = clusters.withColumn("center", F.transform("sum", lambda x: x / F.col("size")))
     close = similarity_join(
-        centers, bound, metric="inner", strict=True, marked="fresh", block=block, index="component", vector="center"
-    ).select(KEY, F.col("i").alias("a"), F.col("j").alias("b"), "dist")
+        centers, bound, metric="inner", strict=True, marked="fresh", carry=["size"], block=block, index="component", vector="center"
+    ).select(KEY, F.col("i").alias("a"), F.col("j").alias("b"), F.col("dist").alias("d"), (F.col("size_i") * F.col("size_j")).alias("n"))
     if not color_weight:
-        return close
-    side = lambda name, lab: members.select(KEY, F.col("component").alias(name), F.col("lab").alias(lab))
-    return (
-        close.join(side("a", "lab_a"), [KEY, "a"])
-        .join(side("b", "lab_b"), [KEY, "b"])
-        .withColumn("c", ciede2000_lab(F.col("lab_a"), F.col("lab_b")))
-        .groupBy(KEY, "a", "b")
-        .agg(F.first("dist").alias("dist"), F.avg("c").alias("c"))
-        .select(KEY, "a", "b", vectors.blend(F.col("dist"), F.col("c"), color_weight).alias("dist"))
-        .filter(F.col("dist") < threshold)
+        found = close.select(KEY, "a", "b", "d", F.lit(0.0).alias("color"), F.col("d").alias("dist"))
+        if known is None:
+            return found
+        return found.unionByName(known.filter(~F.col("touched")).select(KEY, "a", "b", "d", "color", F.col("d").alias("dist")))
+    blended = lambda df: df.select(
+        KEY, "a", "b", "d", "color", vectors.blend(F.col("d"), F.col("color") / F.col("n"), color_weight).alias("dist")
+    )
+    if known is None:
+        return blended(close.join(_color_sums(close, members), [KEY, "a", "b"]))
+    whole = known.filter(F.col("touched") & F.col("whole")).select(KEY, "a", "b", "color")
+    sized, _ = materialize(close.join(whole, [KEY, "a", "b"], "left"))
+    asked = sized.filter(F.col("color").isNull()).drop("color")
+    measured = asked.join(_color_sums(asked, members), [KEY, "a", "b"])
+    size = lambda name: clusters.select(KEY, F.col("component").alias(name), F.col("size").alias(f"_{name}"))
+    rest = known.filter(~F.col("touched")).select(KEY, "a", "b", "d", "color").join(size("a"), [KEY, "a"]).join(size("b"), [KEY, "b"])
+    rest = rest.withColumn("n", F.col("_a") * F.col("_b")).drop("_a", "_b")
+    return blended(sized.filter(F.col("color").isNotNull()).unionByName(measured).unionByName(rest))
+
+
+def _color_sums(pairs: DataFrame, members: DataFrame, part: int = 1024) -> DataFrame:
+    """Sum of the colour distances between the members of each cluster pair: image_id, a, b, color.
+
+    Members' colours travel in parts of about ``part``; a kernel sums each pair of parts, so no pair
+    of members is a row and no large cluster is one value.
+    """
+    ends = pairs.select(KEY, F.explode(F.array("a", "b")).alias("component")).distinct()
+    wanted = members.select(KEY, "component", "hold_index", F.col("lab").cast("array<double>").alias("lab")).join(ends, [KEY, "component"], "left_semi")
+    sizes = wanted.groupBy(KEY, "component").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    parts = (
+        wanted.join(sizes, [KEY, "component"])
+        .groupBy(KEY, "component", F.pmod(F.xxhash64("hold_index"), F.col("_parts")).alias("_part"))
+        .agg(F.flatten(F.collect_list("lab")).alias("labs"))
     )
+    side = lambda name: parts.select(KEY, F.col("component").alias(name), F.col("labs").alias(f"labs_{name}"))
+    summed = pairs.select(KEY, "a", "b").join(side("a"), [KEY, "a"]).join(side("b"), [KEY, "b"])
+    total = arrow_udf(_summed_delta, "double")(F.col("labs_a"), F.col("labs_b"))
+    return summed.select(KEY, "a", "b", total.alias("color")).groupBy(KEY, "a", "b").agg(F.sum("color").alias("color"))
+
+
+def _summed_delta(first: pa.Array, second: pa.Array) -> pa.Array:
+    """Sum of CIEDE2000 over all pairs of two lists of colours, per row."""
+    out = []
+    for k in range(len(first)):
+        x, y = (np.asarray(side[k].values, np.float64).reshape(-1, 3) for side in (first, second))
+        total = 0.0
+        for start in range(0, len(x), 256):
+            strip = x[start : start + 256]
+            total += float(delta_e(np.repeat(strip, len(y), axis=0), np.tile(y, (len(strip), 1))).sum())
+        out.append(total)
+    return pa.array(out, pa.float64())
 
 
 def agglomerative(

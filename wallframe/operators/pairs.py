@@ -16,27 +16,38 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import vectors
 from ..functions.color import ciede2000_lab
 from ..functions.numeric import delta_e
+from ..store import materialize
 
 BLOCK = 2048
 # Rows of the left block handled per matrix product: bounds the kernel's memory.
 STRIP = 512
 
 
-def blocked(features: DataFrame, block: int = BLOCK, key: str = "image_id", index: str = "hold_index") -> DataFrame:
-    """Copy every row to the block pairs (lo, hi) of its image it takes part in.
+# Pivots per large image, and the most slabs along one of them.
+PIVOTS = 8
+SLABS = 64
 
-    An image of n rows has ceil(n / block) hash blocks; most images have one and are not copied.
-    """
-    large = (
+
+def _large_images(features: DataFrame, block: int, key: str) -> DataFrame:
+    return (
         features.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > block)
         .select(key, F.ceil(F.col("_rows") / block).cast("int").alias("_blocks"))
     )
+
+
+def blocked(features: DataFrame, block: int = BLOCK, key: str = "image_id", index: str = "hold_index") -> DataFrame:
+    """Copy every row to the block pairs (lo, hi) of its image it takes part in.
+
+    An image of n rows has ceil(n / block) hash blocks; most images have one and are not copied.
+    """
+    large = _large_images(features, block, key)
     blocks = F.coalesce(F.col("_blocks"), F.lit(1))
     mine = F.pmod(F.xxhash64(index), blocks).cast("int")
     placed = features.join(large, key, "left").withColumn("_block", mine)
@@ -47,6 +58,95 @@ def blocked(features: DataFrame, block: int = BLOCK, key: str = "image_id", inde
     )
 
 
+def _reach(metric: str, max_distance: float) -> float:
+    """The bound as a distance that obeys the triangle inequality: an angle, or a length."""
+    if metric == "sq_l2":
+        return float(np.sqrt(max(max_distance, 0.0))) + 1e-6
+    return float(np.arccos(np.clip(1.0 - max_distance, -1.0, 1.0))) + 1e-6
+
+
+def _pivot_distances(metric: str):
+    """Distances of each vector to the pivots of its image."""
+
+    def run(column: pa.Array, pivots: pa.Array) -> pa.Array:
+        rows = matrix(pa.chunked_array([column]))
+        many = len(pivots[0]) if len(pivots) else 0
+        points = pivots.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), many, -1)
+        if metric == "cosine":
+            scaled = points / np.maximum(np.linalg.norm(points, axis=2, keepdims=True), vectors.NORM_FLOOR)
+            far = np.arccos(np.clip(np.einsum("nd,npd->np", unit_rows(rows), scaled), -1.0, 1.0))
+        else:
+            far = np.linalg.norm(rows[:, None, :] - points, axis=2)
+        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many)
+        return pa.ListArray.from_arrays(offsets, pa.array(far.ravel()))
+
+    return arrow_udf(run, "array<double>")
+
+
+def _slab(value: Column, bounds: Column, slabs: Column) -> Column:
+    """Number of the slab of ``value`` among ``slabs`` of about equal size, from quantiles."""
+    below = F.size(F.filter(bounds, lambda q: q < value))
+    return F.floor(below * slabs / SLABS).cast("int")
+
+
+def pivot_blocks(
+    features: DataFrame, large: DataFrame, block: int, metric: str, key: str, index: str, vector: str
+) -> DataFrame:
+    """Rows of the ``large`` images with ``_far`` (distances to the image's pivots) and ``_block``.
+
+    Blocks are slabs by the distance to the first pivot, cut again by the second one, so a block
+    spans short intervals of both; a slab that stays too large is split by hash.
+    """
+    rows = features.join(large, key)
+    first = Window.partitionBy(key).orderBy(F.xxhash64(index), F.col(index))
+    chosen = rows.select(key, index, F.col(vector).cast("array<double>").alias("_p")).withColumn("_n", F.row_number().over(first))
+    pivots = chosen.filter(F.col("_n") <= PIVOTS).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_n", "_p")))["_p"].alias("_pivots"))
+    measured = rows.join(pivots, key).withColumn("_far", _pivot_distances(metric)(F.col(vector).cast("array<double>"), F.col("_pivots"))).drop("_pivots")
+    stored, _ = materialize(measured)
+    fractions = [k / SLABS for k in range(1, SLABS)]
+    along = F.least(F.ceil(F.sqrt("_blocks")), F.lit(SLABS)).cast("int")
+    across = F.least(F.ceil(F.col("_blocks") / along), F.lit(SLABS)).cast("int")
+    far = lambda k: F.coalesce(F.get("_far", F.lit(k)), F.lit(0.0))
+    bounds = stored.groupBy(key).agg(F.percentile_approx(far(0), fractions).alias("_bounds"))
+    slabs = stored.join(bounds, key).withColumn("_slab", _slab(far(0), F.col("_bounds"), along)).drop("_bounds")
+    bounds = slabs.groupBy(key, "_slab").agg(F.percentile_approx(far(1), fractions).alias("_bounds"))
+    cells = slabs.join(bounds, [key, "_slab"]).withColumn("_cell", F.col("_slab") * SLABS + _slab(far(1), F.col("_bounds"), across)).drop("_bounds", "_slab")
+    sizes = cells.groupBy(key, "_cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
+    part = F.pmod(F.xxhash64(index), F.col("_parts"))
+    placed = cells.join(sizes, [key, "_cell"]).withColumn("_block", F.col("_cell").cast("bigint") * (1 << 32) + part)
+    return materialize(placed.drop("_cell", "_parts", "_blocks"))[0]
+
+
+def meeting_blocks(placed: DataFrame, reach: float, key: str) -> DataFrame:
+    """Block pairs ``_lo`` <= ``_hi`` of ``pivot_blocks`` that can hold a pair within ``reach``.
+
+    By the triangle inequality two rows that near differ by at most ``reach`` in their distance to any
+    pivot, so the intervals of their blocks come as near for every pivot.
+    """
+    ends = placed.select(key, "_block", F.posexplode("_far").alias("_k", "_d")).groupBy(key, "_block", "_k").agg(F.min("_d").alias("low"), F.max("_d").alias("high"))
+    spans = ends.groupBy(key, "_block").agg(F.sort_array(F.collect_list(F.struct("_k", "low", "high"))).alias("s"))
+    spans, _ = materialize(spans)
+    left, right = [spans.select(key, F.col("_block").alias(b), F.col("s").alias(s)) for b, s in (("_lo", "x"), ("_hi", "y"))]
+    apart = F.exists(F.zip_with("x", "y", lambda x, y: (x["low"] > y["high"] + reach) | (y["low"] > x["high"] + reach)), lambda v: v)
+    return left.join(right, key).filter((F.col("_lo") <= F.col("_hi")) & ~apart).select(key, "_lo", "_hi")
+
+
+def pruned(
+    features: DataFrame, reach: float, block: int, metric: str, key: str, index: str, vector: str
+) -> DataFrame:
+    """Like ``blocked``, but without the block pairs of large images that lie too far apart."""
+    large, many = materialize(_large_images(features, block, key))
+    small = features.join(large, key, "left_anti") if many else features
+    alone = small.withColumns({name: F.lit(0).cast("bigint") for name in ("_block", "_lo", "_hi")})
+    if not many:
+        return alone
+    placed = pivot_blocks(features, large, block, metric, key, index, vector)
+    meeting, _ = materialize(meeting_blocks(placed, reach, key))
+    sides = meeting.withColumn("_block", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
+    copies = placed.drop("_far").join(sides, [key, "_block"])
+    return alone.unionByName(copies.select(*alone.columns))
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """List column of equal lengths to a float64 matrix."""
     values = column.combine_chunks()
@@ -154,9 +254,12 @@ def similarity_join(
         return pa.table(columns, names=names)
 
     used = features.select(*dict.fromkeys([key, index, vector, *([marked] if marked else []), *carry]))
+    reach = _reach(metric, max_distance)
+    # A dot product without scaling obeys no triangle inequality, and no block lies apart from a right angle or more.
+    bounded = metric == "sq_l2" or (metric == "cosine" and reach < np.pi / 2)
+    parts = pruned(used, reach, block, metric, key, index, vector) if bounded else blocked(used, block, key, index)
     return (
-        blocked(used, block, key, index)
-        .groupBy(key, "_lo", "_hi")
+        parts.groupBy(key, "_lo", "_hi")
         .applyInArrow(kernel, T.StructType(fields))
     )
 
