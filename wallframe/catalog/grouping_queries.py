@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -386,8 +388,16 @@ SELECT detector, grouper, condition, count(*) AS case_count, count(hold_count) A
 
 @query("run_matrix", _matrix_sql())
 def _(spark, sf):
+    # Both detectors number their holds from 0 in every image.
+    keys = ["implementation_id", "image_id", "hold_index"]
+    place = Window.partitionBy(*keys[:2]).orderBy("hold_index")
+    held = w.predictions(spark, sf).withColumn("place", (F.row_number().over(place) - 1).cast("bigint"))
+    named, _ = materialize(held.select(*keys, "place"))
+    iou = iou_table(spark, sf, 0.5).join(named.withColumnRenamed("hold_index", "pred_idx"), ["implementation_id", "image_id", "pred_idx"])
+    features = matrix_features(spark, sf).join(named, keys[1:])
+    placed = lambda df, name: df.drop(name).withColumnRenamed("place", name)
     cases, aggregates, _ = mx.evaluation_matrix(
-        w.images(spark, sf), w.predictions(spark, sf), w.annotations(spark, sf), iou_table(spark, sf, 0.5), matrix_features(spark, sf), DETECTORS, MATRIX_SPECS
+        w.images(spark, sf), placed(held, "hold_index"), w.annotations(spark, sf), placed(iou, "pred_idx"), placed(features, "hold_index"), DETECTORS, MATRIX_SPECS
     )
     return aggregates.select("detector", "grouper", "condition", "case_count", "evaluated_case_count", *[r6(m) for m in rt.METRICS])
 
@@ -426,7 +436,7 @@ def _(spark, sf):
     rows = w.predictions(spark, sf).select(
         F.col("event_type").alias("detector"), F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("grouper"), "image_id", "hold_index"
     )
-    path = f"{shared_dir(spark)}/combinations/{abs(hash(sf))}"
+    path = f"{shared_dir(spark)}/combinations/{uuid.uuid4().hex}"
     rep.write_combinations(rows, path)
     stored = spark.read.schema("image_id bigint, hold_index bigint, detector string, grouper string").json(path)
     return stored.groupBy("detector", "grouper").agg(F.count("hold_index").alias("cases"), F.lit("completed").alias("status"))
@@ -439,7 +449,7 @@ def _(spark, sf):
     rows = w.vectors(spark, sf).select(
         F.lit("clean").alias("condition"), (F.col("route_id") % 2).alias("source"), F.lit("weighted").alias("pooling"), "image_id", "hold_index", "embedding"
     )
-    path = f"{shared_dir(spark)}/features/{abs(hash(sf))}"
+    path = f"{shared_dir(spark)}/features/{uuid.uuid4().hex}"
     write_features(rows, path)
     kept = spark.read.parquet(path).filter("condition = 'clean' AND source = 1 AND pooling = 'weighted'")
     return kept.groupBy(F.col("source").cast("bigint").alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -455,6 +465,51 @@ def _(spark, sf):
     return per_image.unionByName(status.select(F.col("status").alias("part"), F.lit(-1).cast("bigint").alias("image_id"), F.col("missing_count").alias("n")))
 
 
+STAGE_SPECS = (("annotated", {}), ("embedding_clustering", {"method": "spectral"}))
+STAGE_SLUGS = [slug(*spec) for spec in STAGE_SPECS]
+
+
+def _stages_sql() -> str:
+    from .evaluation_queries import MATCH_SQL
+    from .geometry_queries import IOU_SQL
+
+    return f"""WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {MATCH_SQL},
+im3 AS (SELECT image_id, CASE image_id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'dark' ELSE 'bright' END AS arm FROM im),
+u AS (SELECT im3.arm, count(*) AS n FROM p LEFT JOIN m ON m.implementation_id = 'view' AND m.image_id = p.image_id AND m.pred_idx = p.hold_index LEFT JOIN a ON a.hold_index = m.ann_idx
+  JOIN im3 ON im3.image_id = p.image_id WHERE p.event_type = 'view' AND coalesce(a.route_id, p.route_id) IS NOT NULL GROUP BY 1),
+arms AS (SELECT x.arm, count(*) AS cases FROM (VALUES ('dark'), ('bright')) AS x(arm) JOIN im3 ON im3.arm IN ('clean', x.arm) GROUP BY 1)
+SELECT arm, 'detector' AS stage, 'view' AS component, 1::BIGINT AS attempts, n AS rows, 'completed' AS status FROM u
+UNION ALL SELECT arm, 'report', 'view', 1, 2, 'completed' FROM arms
+UNION ALL SELECT arm, 'matrix', 'view__{STAGE_SLUGS[0]}', 1, cases, 'completed' FROM arms
+UNION ALL SELECT arm, 'routes', '{STAGE_SLUGS[0]}', 1, cases, 'completed' FROM arms
+UNION ALL SELECT arm, stage, c, CASE arm WHEN 'dark' THEN 2 ELSE 1 END, NULL, 'error' FROM arms CROSS JOIN (VALUES ('matrix', 'view__{STAGE_SLUGS[1]}'), ('routes', '{STAGE_SLUGS[1]}')) AS f(stage, c)
+UNION ALL SELECT 'dark', 'manifest', 'incomplete', 2, 6, 'matrix/view__{STAGE_SLUGS[1]},routes/{STAGE_SLUGS[1]}'"""
+
+
+@query("run_stage_manifest", _stages_sql())
+def _(spark, sf):
+    """A run that ended after its first arm is taken up again: its finished stages are read, its failed ones tried again."""
+    from ..plans import stages as st
+    from .evaluation_queries import labelled_predictions
+
+    number = F.col("image_id") % 3
+    images = w.images(spark, sf).withColumn("condition", F.when(number == 0, "clean").when(number == 1, "dark").otherwise("bright"))
+    truths = w.annotations(spark, sf).withColumn("ann_idx", F.col("hold_index"))
+    iou, _ = materialize(iou_table(spark, sf, 0.5))
+    given = (images, labelled_predictions(spark, sf), truths, iou, matrix_features(spark, sf))
+    root = f"{shared_dir(spark)}/wallframe/stages-{uuid.uuid4().hex}"
+    st.evaluate_arms(st.StagedRun(spark, root), *given, ["dark"], ["view"], STAGE_SPECS, thresholds=(0.5,))
+    again = st.StagedRun(spark, root)
+    arms = ["dark", "bright"]
+    manifest = st.evaluate_arms(again, *given, arms, ["view"], STAGE_SPECS, thresholds=(0.5,)).filter("arm = 'dark'")
+    stages = again.stages(st.expected_stages(arms, ["view"], STAGE_SPECS)).select(*st.NAMES, "attempts", "rows", "status")
+    whole = manifest.select(
+        "arm", F.lit("manifest").alias("stage"), F.col("status").alias("component"), F.size("failed").cast("bigint").alias("attempts"),
+        F.col("expected").alias("rows"), F.array_join("failed", ",").alias("status"),
+    )
+    return stages.unionByName(whole)
+
+
 @query("ml_fit")
 def _(spark, sf):
     features = w.vectors(spark, sf)

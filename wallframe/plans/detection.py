@@ -205,22 +205,32 @@ def evaluate_detections(
     iou: DataFrame,
     detectors: Sequence[str],
     thresholds: Sequence[float] = IOU_THRESHOLDS,
+    rejected: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(cases, aggregates) of all detectors.
 
+    ``rejected`` (implementation_id, image_id, reason) makes cases errors; neither their predictions nor their
+    truths count for that detector.
+
     images: image_id, condition, split, source_id, parent_image_id.  predictions: implementation_id,
     image_id, pred_idx, confidence, confidence_source.  annotations: image_id, ann_idx, volumes
     removed.  iou: implementation_id, image_id, pred_idx, ann_idx, iou.
     """
     labelled = images.select("image_id", reported_condition(F.col("condition")).alias("condition"))
-    cases = detection_cases(images, predictions, annotations, detectors)
+    cases = detection_cases(images, predictions, annotations, detectors, rejected)
+    truths = annotations.join(labelled, "image_id")
+    if rejected is not None:
+        case = ["implementation_id", "image_id"]
+        broken = rejected.select(*case).distinct()
+        predictions, iou = predictions.join(broken, case, "left_anti"), iou.join(broken, case, "left_anti")
+        truths = truths.withColumn("implementation_id", each(detectors)).join(broken, case, "left_anti")
     ap = average_precision(
         predictions.join(labelled, "image_id"),
-        annotations.join(labelled, "image_id"),
+        truths,
         iou.join(labelled, "image_id"),
         thresholds,
         # A detector without predictions has AP 0 in every condition that has truths.
-        expected=annotations.join(labelled, "image_id").select("condition").distinct().withColumn("implementation_id", each(detectors)),
+        expected=truths.select("condition").distinct().withColumn("implementation_id", each(detectors)),
     )
     per_level = ap.groupBy(*TARGET).agg(
         *[

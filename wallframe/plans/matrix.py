@@ -44,7 +44,7 @@ def evaluation_matrix(
     are grouped.  Detector and image form one unit key, so every grouper runs once for all detectors.
     predictions: implementation_id, image_id, hold_index, hold_type.  iou: implementation_id, image_id,
     pred_idx, ann_idx, iou.  features: image_id, hold_index, embedding, lab, rgb, and implementation_id
-    where detectors number their holds apart.  A grouper that fails leaves its cases as ``error``.
+    where detectors share hold indices (refused without it).  A grouper that fails leaves its cases as ``error``.
     """
     matches = match_greedy(iou, threshold, ["implementation_id", "image_id"])
     labelled = route_eligible(transfer_labels(predictions, matches, annotations))
@@ -52,6 +52,10 @@ def evaluation_matrix(
     truth, _ = materialize(
         labelled.select(unit.alias("unit"), "implementation_id", "image_id", "hold_index", "route_id")
     )
+    if "implementation_id" not in features.columns:
+        shared = truth.groupBy("image_id", "hold_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if not shared.isEmpty():
+            raise ValueError("detectors share hold indices: features need implementation_id")
     ready, _ = materialize(
         features.join(truth, [k for k in ("implementation_id", "image_id", "hold_index") if k in features.columns])
         .drop("image_id", "implementation_id")
