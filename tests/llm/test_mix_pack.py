@@ -116,6 +116,31 @@ def test_packing_reaches_the_bound():
         assert len(bins) <= len(best_fit(sizes, width))
 
 
+def test_words_that_end_in_marks_and_punctuation():
+    """Ids of any text are the tokenizer's, also where lower-casing a letter adds a mark before the punctuation."""
+    from tokenizers import Tokenizer
+
+    from wallframe.llm.swap_packing import WordTokens
+
+    tokenizer, words = Tokenizer.from_file(TOKENS), WordTokens(TOKENS)
+    rng = random.Random(3)
+    letters = ["\u0130", "I", "i", "ß", "É", "é", "e\u0301", "Ǆ", "ﬁ", "Σ", "\u0345", "ab", "x", "7", "'", "-"]
+    for _ in range(4000):
+        text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) + rng.choice(["", ".", ",", "!", ".)"]) for _ in range(4))
+        assert words.ids(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
+def test_every_bin_may_give():
+    """Going on past the emptiest bins never needs more of them."""
+    rng = random.Random(9)
+    for _ in range(20):
+        sizes = [rng.randint(100, 700) for _ in range(300)]
+        start = best_fit(sizes, 1000)
+        few = improve([list(b) for b in start], sizes, 1000, donors=2)
+        assert sorted(k for b in few for k in b) == list(range(300)) and all(sum(sizes[k] for k in b) <= 1000 for b in few)
+        assert len(few) <= len(start)
+
+
 def test_exchange_empties_a_bin():
     # 6+3 and 5+4 fill 9 of 10 each; exchanges let the last piece in.
     sizes = [6, 3, 5, 4, 1, 1]

@@ -86,7 +86,7 @@ class WordTokens:
         split = {}
         for word in new:
             stem = word.rstrip(CLOSING)
-            split[word] = (stem, word[len(stem) :]) if 0 < len(stem) < len(word) and stem.decode()[-1].isalpha() else (word,)
+            split[word] = (stem, word[len(stem) :]) if 0 < len(stem) < len(word) and stem.decode().lower()[-1].isalpha() else (word,)
         parts = dict.fromkeys(part for both in split.values() for part in both)
         self.known.update(self._encode([part for part in parts if part not in self.known]))
         for word, both in split.items():
@@ -183,16 +183,22 @@ def _exchange(taker: list[int], giver: list[int], least: int, gap: int) -> tuple
 
 
 def improve(bins: list[list[int]], lengths: list[int], width: int = WIDTH, donors: int = DONORS) -> list[list[int]]:
-    """Exchange pieces between underfull bins while squared fill rises; drop bins that empty."""
+    """Exchange pieces between underfull bins while squared fill rises; drop bins that empty.
+
+    Pieces are taken from the ``donors`` emptiest bins, from the next ones when those admit no
+    exchange, and again from the emptiest after one was found, until no bin admits any.
+    """
     fewest = -(-sum(lengths) // width)
     full = [b for b in bins if sum(lengths[k] for k in b) == width]
     open_ = [sorted(b, key=lengths.__getitem__) for b in bins if sum(lengths[k] for k in b) < width]
     fill = [sum(lengths[k] for k in b) for b in open_]
-    moved = True
-    while moved and sum(1 for b in open_ if b) + len(full) > fewest:
+    first = 0
+    while sum(1 for b in open_ if b) + len(full) > fewest:
         moved = False
-        order = sorted((k for k in range(len(open_)) if open_[k]), key=lambda k: fill[k])
-        givers = order[:donors]
+        order = sorted((k for k in range(len(open_)) if open_[k] and fill[k] < width), key=lambda k: fill[k])
+        givers = order[first : first + donors]
+        if not givers:
+            break
         for a in reversed(order[1:]):
             for b in givers:
                 if a == b or not open_[b] or not open_[a] or fill[b] > fill[a] or fill[a] == width:
@@ -211,6 +217,7 @@ def improve(bins: list[list[int]], lengths: list[int], width: int = WIDTH, donor
                 moved = True
             if sum(1 for k in givers if open_[k]) == 0:
                 break
+        first = 0 if moved else first + donors
     return full + [b for b in open_ if b]
 
 
