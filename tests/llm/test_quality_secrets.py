@@ -192,3 +192,15 @@ def test_ownership_counts(spark):
     assert (got["h"]["owners"], got["h"]["repositories"], got["h"]["live"]) == (3, 9, False)
     assert (got["g"]["owners"], got["g"]["repositories"], got["g"]["live"]) == (1, 2, True)
     assert got["n"]["live"]
+
+
+def test_scores_rise_with_votes():
+    """Pools of any sizes: values never fall, and stay the shares of their pools up to a tenth of a vote."""
+    x = np.repeat([0.1, 0.2], [1, 1000])
+    values = toxic.isotonic(x, np.repeat([0, 1, 0], [1, 10, 990]))[1]
+    assert (np.diff(values) >= 0).all() and len(values) == 1
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = np.repeat(rng.random(12), rng.integers(1, 60, 12))
+        edges, values = toxic.isotonic(x, (rng.random(len(x)) < rng.random(12).repeat(np.bincount(np.unique(x, return_inverse=True)[1], minlength=12))[: len(x)]).astype(int))
+        assert (np.diff(values) > 0).all() and (np.diff(edges) > 0).all() and (values >= 0).all() and (values <= 1).all()

@@ -176,15 +176,20 @@ class Model:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing fit of y on x by pooling adjacent violators: means of x and values of the pools."""
+    """Non-decreasing fit of y on x by pooling adjacent violators: means of x and values of the pools.
+
+    A pool's value is its share of ones with a tenth of an even vote added; pools are joined as long as
+    these values fall, so small pools never overtake large ones.
+    """
+    value_of = lambda pool: (pool[1] + 0.5 * 0.1) / (pool[2] + 0.1)
     pools: list[list[float]] = []
     for value in np.unique(x):
         part = y[x == value]
         pools.append([float(value) * len(part), float(part.sum()), float(len(part))])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+        while len(pools) > 1 and value_of(pools[-2]) >= value_of(pools[-1]):
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * 0.1) / (p[2] + 0.1) for p in pools])
+    return np.array([p[0] / p[2] for p in pools]), np.array([value_of(p) for p in pools])
 
 
 def reader(features: dict[str, int]):
