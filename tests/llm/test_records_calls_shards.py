@@ -117,7 +117,9 @@ def test_links_order_and_validation(spark):
     results = [(1, "a", "two"), (1, "a", "one"), (1, "b", None), (2, "zz", "lost"), (None, None, "r")]
     got = link(spark, calls, results)
     rows = {(r["conv_id"], r["call_id"], r["seq"]): r for r in got}
-    assert len(got) == len(calls)
+    assert len(got) == len(calls) + 1
+    lost = rows[2, "zz", None]
+    assert (lost["status"], lost["n_results"], lost["level"], lost["position"]) == ("orphan", 1, None, None) and json.loads(lost["message"])["result"] == "lost"
     assert rows[1, "a", 5]["status"] == "linked" and rows[1, "a", 5]["n_results"] == 2
     assert rows[1, "b", 9]["status"] == "duplicate" and rows[1, "b", 9]["violations"] == "json"
     assert rows[2, "a", 1]["status"] == "unanswered" and rows[None, None, 1]["status"] == "linked"
@@ -134,6 +136,17 @@ def test_links_order_and_validation(spark):
     assert link(spark, [], []) == []
 
 
+def test_repeated_keys_and_long_arguments(spark):
+    ready(spark)
+    long = "x" * 300_000
+    calls = [(1, "a", 1, "f", '{"q":"x","q":"y"}'), (1, "b", 2, "f", '{"q":"' + long + '"}')]
+    rows = {r["call_id"]: r for r in link(spark, calls, [(3, None, None), (None, "c", "r"), (None, "c", "q")])}
+    assert rows["a"]["violations"] == "json" and json.loads(rows["a"]["message"])["arguments"] is None
+    assert json.loads(rows["b"]["message"])["arguments"] == {"q": long}
+    assert rows[None]["status"] == "orphan" and json.loads(rows[None]["message"])["result"] is None
+    assert rows["c"]["n_results"] == 2 and json.loads(rows["c"]["message"])["result"] == "q"
+
+
 @pytest.mark.parametrize("several", [False, True])
 def test_levels(spark, several):
     ready(spark)

@@ -72,7 +72,7 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     arguments = F.concat(
-        F.lit('{ "query": '), tool_calls.quoted(F.substring("text", 1, 40)),
+        F.lit('{ "query": '), tool_calls.quoted(F.coalesce(F.col("text"), F.lit(""))),
         F.lit(', "limit": '), (F.length("text") % 25).cast("string"),
         F.when(F.col("turn") >= 2, F.concat(F.lit(', "after" : "$ref:'), name(F.col("turn") - 2), F.lit('"'))).otherwise(F.lit("")),
         F.lit(" }"),
@@ -92,7 +92,7 @@ SQL["op3_tool_calls"] = """
 WITH RECURSIVE calls AS (
   SELECT conv_id, turn AS seq, 'call_' || conv_id || '_' || turn AS call_id,
     CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'fetch' ELSE 'summarise' END AS name,
-    length(text) % 25 AS lim, substring(text, 1, 40) AS q
+    length(text) % 25 AS lim, coalesce(text, '') AS q
   FROM conversations WHERE role = 'assistant'),
 levels AS (
   SELECT c.conv_id, c.seq, 0::BIGINT AS level FROM calls c
@@ -113,6 +113,10 @@ SELECT conv_id, call_id, seq, name, status, n_results, n_missing, level, positio
     || '"limit":' || lim || ',"query":' || to_json(q)::VARCHAR || '},"id":"' || call_id || '","name":"' || name || '","position":' || position
     || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS message
 FROM met
+UNION ALL
+SELECT conv_id, 'call_' || conv_id || '_' || seq, NULL, NULL, 'orphan', n, 0, NULL, NULL, '',
+  '{"arguments":null,"id":"call_' || conv_id || '_' || seq || '","name":null,"position":null,"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}'
+FROM answers a WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.seq = a.seq)
 """
 
 

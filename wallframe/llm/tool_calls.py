@@ -103,14 +103,15 @@ def violations(arguments: str, rules: str) -> Column:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per call: conv_id, call_id, seq, name, status, n_results, n_missing, level, position, violations, message.
+    """One row per call and per result without one: conv_id, call_id, seq, name, status, n_results, n_missing, level, position, violations, message.
 
     calls: conv_id, call_id, seq, name, arguments (JSON text); results: conv_id, call_id, content;
     rules as in ``FIELD_RULES``.  Of several results the smallest text is linked and the number kept;
-    results without a call are left out.  ``status`` is linked, unanswered, or duplicate for a call
-    whose id came before in its conversation.  A null conversation or id matches its like.
+    ``status`` is linked, unanswered, duplicate for a call whose id came before in its conversation, or
+    orphan for results without a call, which have no place in the order.  A null conversation or id matches its like.
     ``level`` and ``position`` follow the dependencies; calls on a cycle have a null level and
-    come last.  ``message`` is canonical JSON; arguments that do not parse are written as null.
+    come last.  ``message`` is canonical JSON; arguments that do not parse, or repeat a key, are written as null
+    and violate ``json``.
     """
     held = calls.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("g"), "conv_id", F.coalesce("call_id", F.lit("")).alias("id"), "call_id", "seq", "name", "arguments",
@@ -119,7 +120,11 @@ def link_calls(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFr
     held, _ = materialize(held.withColumn("row", F.monotonically_increasing_id()))
     heads = held.groupBy("g", "id").agg(F.min_by("row", F.struct("seq", "row")).alias("head"))
     answers = results.groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("g"), F.coalesce("call_id", F.lit("")).alias("id"))
-    answers = answers.agg(F.min("content").alias("result"), F.count(F.lit(1)).alias("n_results"))
+    answers = answers.agg(
+        F.min("content").alias("result"), F.count(F.lit(1)).alias("n_results"), F.max("conv_id").alias("_conv"), F.max("call_id").alias("_call")
+    )
+    lost = answers.join(heads, ["g", "id"], "left_anti")
+    answers = answers.drop("_conv", "_call")
     wanted = held.select("g", "id", F.explode("refs").alias("dep")).distinct()
     ids = held.select("g", F.col("id").alias("dep"), F.lit(True).alias("known")).distinct()
     referred, _ = materialize(wanted.join(ids, ["g", "dep"], "left"))
@@ -134,15 +139,22 @@ def link_calls(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFr
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
         F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
         F.when(F.col("dependent"), F.col("level")).otherwise(F.lit(0)).alias("level"),
-        F.array_join(violations("arguments", "rules"), ",").alias("violations"),
+        F.when(canonical(F.col("arguments")).isNull(), F.lit("json")).otherwise(F.array_join(violations("arguments", "rules"), ",")).alias("violations"),
         canonical(F.col("arguments")).alias("body"),
     )
     placed = ranked(linked, ["g"], [F.col("level").asc_nulls_last(), F.col("seq"), F.col("row")], "position")
+    alone = lost.select(
+        "_conv", "_call", F.lit(None).cast(held.schema["seq"].dataType).alias("seq"), F.lit(None).cast("string").alias("name"), F.lit("orphan").alias("status"),
+        "n_results", F.lit(0).cast("bigint").alias("n_missing"), F.lit(None).cast("bigint").alias("level"), F.lit(None).cast("bigint").alias("position"),
+        F.lit("").alias("violations"), F.lit(None).cast("string").alias("body"), "result",
+    ).withColumnsRenamed({"_conv": "conv_id", "_call": "call_id"})
+    listed = placed.select(alone.columns).unionByName(alone)
     parts = [
         ("arguments", F.coalesce("body", F.lit("null"))), ("id", quoted(F.col("call_id"))), ("name", quoted(F.col("name"))),
-        ("position", F.col("position").cast("string")), ("result", quoted(F.when(F.col("status") == "linked", F.col("result")))),
+        ("position", F.coalesce(F.col("position").cast("string"), F.lit("null"))),
+        ("result", quoted(F.when(F.col("status").isin("linked", "orphan"), F.col("result")))),
     ]
     message = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), value) for name, value in parts]), F.lit("}"))
-    return placed.select(
+    return listed.select(
         "conv_id", "call_id", "seq", "name", "status", "n_results", "n_missing", "level", "position", "violations", message.alias("message")
     )
