@@ -53,7 +53,7 @@ def dataset(tmp_path):
 
 
 def test_coco_records(spark, dataset):
-    images, holds = fs.load_records(spark, str(dataset), split="valid")
+    images, holds, _ = fs.load_records(spark, str(dataset), split="valid")
     rows = {r.image_id: r for r in images.collect()}
     assert set(rows) == {"a.png", "b.png"}  # an image without a file is left out
     assert rows["a.png"].image_path.endswith("train/images/a.png") and rows["b.png"].condition == "clean"

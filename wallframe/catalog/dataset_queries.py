@@ -69,9 +69,33 @@ def _(spark, sf):
     return images.join(per_image, "filename", "left").fillna(0)
 
 
+@query("src_via_csv_rejected", """SELECT CAST(user_id AS VARCHAR) AS filename, event_id AS row_id, CASE event_id % 6 WHEN 0 THEN 'unequal lists' WHEN 1 THEN 'no points' WHEN 2 THEN 'shape' ELSE 'coordinate' END AS reason
+  FROM events WHERE event_id % 6 < 4""")
+def _(spark, sf):
+    """Polygons with a list too short, without lists, with a gap, and texts that are no JSON; circles and whole polygons pass."""
+    rows = w.table(spark, sf, "events").selectExpr(
+        "event_id AS row_id", "CAST(user_id AS STRING) AS filename",
+        """CASE event_id % 6 WHEN 0 THEN '{"name":"polygon","all_points_x":[1,2,7],"all_points_y":[3,4]}' WHEN 1 THEN '{"name":"polygon"}' WHEN 2 THEN '{"name":"polygon",'
+        WHEN 3 THEN '{"name":"polygon","all_points_x":[1,null,7],"all_points_y":[3,4,5]}' WHEN 4 THEN '{"name":"circle","cx":4}'
+        ELSE '{"name":"polygon","all_points_x":[1.5,2,7],"all_points_y":[3,4,9]}' END AS region_shape_attributes""",
+    )
+    return doc.via_csv_rejects(rows).select("filename", "row_id", "reason")
+
+
+@query("src_coco_rejected", """SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 5 > 0 THEN 1 END AS hold_index, CASE event_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'odd ring' ELSE 'no ring' END AS reason
+  FROM events WHERE event_id % 5 < 3""")
+def _(spark, sf):
+    """Documents cut short, and second annotations with an odd ring or none."""
+    ring = "CASE event_id % 5 WHEN 1 THEN '[[1,2,3]]' WHEN 2 THEN '[]' ELSE '[[4,4,9,4,9,9]]' END"
+    whole = f"""concat('{{"images":[{{"id":1,"file_name":"a.png"}}],"annotations":[{{"image_id":1,"segmentation":[[1,1,5,1,5,5]]}},{{"image_id":1,"segmentation":', {ring}, '}}]}}')"""
+    texts = w.table(spark, sf, "events").selectExpr("CAST(event_id AS STRING) AS path", f"CASE WHEN event_id % 5 = 0 THEN substring({whole}, 1, 60) ELSE {whole} END AS value")
+    return doc.coco_rejects(texts).select("path", F.col("hold_index"), "reason")
+
+
 def via_documents(spark, sf):
     """One project per event with a single image of two regions; every 5th point list is broken."""
-    xs = "CASE WHEN hold_index % 5 = 0 THEN array(l, r) ELSE array(l, r, r) END"
+    # Fractions are truncated.
+    xs = "CASE WHEN hold_index % 5 = 0 THEN array(l + 0.75D, r) ELSE array(l + 0.75D, r, r) END"
     return w.holds(spark, sf).selectExpr(
         "CAST(hold_index AS STRING) AS path",
         "to_json(named_struct('_via_img_metadata', map(concat('k', hold_index), named_struct('filename', concat(hold_index, '.png'), 'regions', array("
@@ -145,11 +169,17 @@ def _(spark, sf):
   CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS BIGINT) AS holds, CAST(NULL AS BIGINT) AS route_id FROM h WHERE hold_index % 3 > 0""")
 def _(spark, sf):
     files = w.holds(spark, sf).filter("hold_index % 3 > 0").select(F.concat(F.lit("/pics/"), "image_id", F.lit("_"), "hold_index", F.lit(".png")).alias("path"))
-    images, holds = fs.records_from(coco_documents(spark, sf), files, "/data", "test")
+    images, holds, _ = fs.records_from(coco_documents(spark, sf), files, "/data", "test")
     per_image = holds.groupBy("image_id").agg(F.count(F.lit(1)).alias("holds"), F.max("route_id").cast("bigint").alias("route_id"))
     return images.join(per_image, "image_id", "left").select("image_id", "condition", F.coalesce("holds", F.lit(0)).alias("holds"), "route_id")
 
 
+@query("src_records_unresolved", f"WITH {HOLDS_SQL} SELECT concat(image_id, '_', hold_index, '.png') AS file_name FROM h WHERE hold_index % 3 = 0")
+def _(spark, sf):
+    files = w.holds(spark, sf).filter("hold_index % 3 > 0").select(F.concat(F.lit("/pics/"), "image_id", F.lit("_"), "hold_index", F.lit(".png")).alias("path"))
+    return fs.records_from(coco_documents(spark, sf), files, "/data", "test")[2].select("file_name")
+
+
 @query("src_replay_hash", """WITH k AS (SELECT sha256(text) AS hash, max(doc_id) AS known FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
   SELECT d.doc_id AS image_id, k.known AS known_id FROM documents d LEFT JOIN k ON k.hash = sha256(d.text)""")
 def _(spark, sf):

@@ -108,11 +108,30 @@ def read_coco(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[
     return parse_coco(read_texts(spark, path, pattern))
 
 
+def _csv_shapes(rows: DataFrame) -> DataFrame:
+    """row_id, filename, shape and the reason why a region gives no hold though it should."""
+    shape = F.from_json("region_shape_attributes", SHAPE)
+    shaped = rows.select("row_id", "filename", shape.alias("shape"), F.try_parse_json("region_shape_attributes").isNull().alias("_broken"))
+    x, y = F.col("shape.all_points_x"), F.col("shape.all_points_y")
+    gap = lambda v: F.exists(v, lambda c: c.isNull())
+    reason = (
+        F.when(F.col("_broken"), "shape")
+        .when(F.col("shape.name").isNull() | (F.col("shape.name") != "polygon"), F.lit(None).cast("string"))
+        .when(x.isNull() | y.isNull(), "no points")
+        .when(F.size(x) != F.size(y), "unequal lists")
+        .when(gap(x) | gap(y), "coordinate")
+    )
+    return shaped.select("row_id", "filename", "shape", reason.alias("reason"))
+
+
 def parse_via_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(images, holds) of region rows: filename, region_shape_attributes (JSON text), row_id (file order)."""
-    shaped = rows.select("row_id", "filename", F.from_json("region_shape_attributes", SHAPE).alias("shape"))
+    """(images, holds) of region rows: filename, region_shape_attributes (JSON text), row_id (file order).
+
+    Images of regions that ``via_csv_rejects`` lists are kept.
+    """
+    shaped = _csv_shapes(rows)
     images = shaped.groupBy("filename").agg(F.min("row_id").alias("first_row"))
-    holds = shaped.filter(F.col("shape.name") == "polygon").select(
+    holds = shaped.filter((F.col("shape.name") == "polygon") & F.col("reason").isNull()).select(
         "filename",
         F.col("row_id").alias("hold_index"),
         points_from(F.col("shape.all_points_x"), F.col("shape.all_points_y")).alias("polygon"),
@@ -121,6 +140,11 @@ def parse_via_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return images, holds
 
 
+def via_csv_rejects(rows: DataFrame) -> DataFrame:
+    """filename, row_id, reason of regions that are unreadable, or polygons without one y for every x."""
+    return _csv_shapes(rows).filter(F.col("reason").isNotNull()).select("filename", "row_id", "reason")
+
+
 def read_via_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     # Ids grow along each file; only their order is used.
@@ -132,7 +156,9 @@ def parse_via_json(documents: DataFrame, files: DataFrame) -> tuple[DataFrame, D
 
     ``skipped`` is one row: images, regions, missing_files, invalid_polygons.
     """
-    points = "array<int>"
+    # Numbers are truncated; anything else in a list makes its polygon invalid.
+    number = lambda v: F.when(F.abs(v.try_cast("double")) < float(1 << 31), v.try_cast("double").cast("int"))
+    points = lambda text: F.transform(F.from_json(text, "array<string>", {"mode": "PERMISSIVE"}), number)
     images = (
         documents.select("path", F.explode(F.from_json("value", VIA)["_via_img_metadata"]).alias("key", "meta"))
         .select("path", "key", F.col("meta.filename").alias("filename"), F.col("meta.regions").alias("regions"))
@@ -144,8 +170,7 @@ def parse_via_json(documents: DataFrame, files: DataFrame) -> tuple[DataFrame, D
     )
     hold = F.col("region.region_attributes")
     shape = F.col("region.shape_attributes")
-    x = F.from_json(shape["all_points_x"], points, {"mode": "PERMISSIVE"})
-    y = F.from_json(shape["all_points_y"], points, {"mode": "PERMISSIVE"})
+    x, y = points(shape["all_points_x"]), points(shape["all_points_y"])
     usable = (
         (shape["name"] == "polygon")
         & (F.size(x) >= 3)

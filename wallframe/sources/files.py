@@ -76,18 +76,19 @@ def resolve_image_paths(names: DataFrame, files: DataFrame, root: str) -> tuple[
     return best, names.join(best, names.columns, "left_anti")
 
 
-def load_records(spark: SparkSession, root: str, *, split: str = "test") -> tuple[DataFrame, DataFrame]:
-    """(images, holds) of a benchmark folder: COCO documents joined with their image files."""
+def load_records(spark: SparkSession, root: str, *, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, holds, unresolved) of a benchmark folder: COCO documents joined with their image files."""
     texts = read_texts(spark, root, "*.json").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     texts = texts.unionByName(read_underscored_texts(spark, root, ".json"))
     chosen = select_split_files(texts, split)
     return records_from(chosen, list_files(spark, root), root, split)
 
 
-def records_from(documents: DataFrame, files: DataFrame, root: str, split: str) -> tuple[DataFrame, DataFrame]:
+def records_from(documents: DataFrame, files: DataFrame, root: str, split: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, holds, unresolved): ``unresolved`` lists path and file_name of images without a file."""
     images, holds = parse_coco(documents)
     names = images.select(F.col("path").alias("annotation_path"), "file_name").distinct()
-    resolved, _ = resolve_image_paths(names, files, root)
+    resolved, lost = resolve_image_paths(names, files, root)
     parts = F.transform(F.split("path", "/"), lambda p: F.lower(p))
     derived = F.arrays_overlap(parts, F.array(*[F.lit(f) for f in DERIVED_FOLDERS]))
     records = (
@@ -103,7 +104,8 @@ def records_from(documents: DataFrame, files: DataFrame, root: str, split: str)
         )
     )
     keyed = holds.join(records.select("path", "coco_id", "image_id", "condition"), ["path", "coco_id"])
-    return records, keyed.withColumn("route_id", route_id_of(F.col("route_label"))).drop("path", "coco_id")
+    unresolved = lost.select(F.col("annotation_path").alias("path"), "file_name")
+    return records, keyed.withColumn("route_id", route_id_of(F.col("route_label"))).drop("path", "coco_id"), unresolved
 
 
 def dataset_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
