@@ -266,6 +266,28 @@ def _(spark, sf):
     return coded.select("hold_index", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
+@query("msk_run_lengths_slanted", f"""WITH {HOLDS_SQL}, {w.DIAMOND_SQL},
+  px AS (SELECT hold_index, x * 128 + y AS pos FROM (SELECT hold_index, y, unnest(range(greatest(x0, 0), least(x1, 127) + 1)) AS x FROM dl WHERE y BETWEEN 0 AND 127)),
+  g AS (SELECT hold_index, pos, pos - row_number() OVER (PARTITION BY hold_index ORDER BY pos) AS island FROM px),
+  r AS (SELECT hold_index, min(pos) AS s, max(pos) AS e FROM g GROUP BY hold_index, island),
+  c AS (SELECT hold_index, s, e, s - coalesce(lag(e) OVER (PARTITION BY hold_index ORDER BY s) + 1, 0) AS gap FROM r)
+  SELECT hold_index, string_agg(gap || ',' || (e - s + 1), ',' ORDER BY s) || CASE WHEN max(e) < 16383 THEN ',' || (16383 - max(e)) ELSE '' END AS counts FROM c GROUP BY 1""")
+def _(spark, sf):
+    coded = m.run_lengths(m.with_runs(w.diamonds(spark, sf), w.images(spark, sf)))
+    return coded.select("hold_index", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
+@query("iou_polygon_slanted", f"""WITH {HOLDS_SQL}, {w.DIAMOND_SQL},
+  s AS (SELECT hold_index, sum(x1 - x0 + 1) AS area FROM dl GROUP BY 1),
+  c AS (SELECT p.hold_index, sum(greatest(0, least(p.x1, q.x1 + p.hold_index % 5) - greatest(p.x0, q.x0 + p.hold_index % 5) + 1)) AS common
+    FROM dl p JOIN dl q ON q.hold_index = p.hold_index AND q.y + p.hold_index % 4 = p.y GROUP BY 1)
+  SELECT hold_index, round(coalesce(common, 0) / CAST(2 * area - coalesce(common, 0) AS DOUBLE), 6) AS iou FROM s LEFT JOIN c USING (hold_index)""")
+def _(spark, sf):
+    shift = lambda p: F.struct((p["x"] + F.col("hold_index") % 5).cast("int").alias("x"), (p["y"] + F.col("hold_index") % 4).cast("int").alias("y"))
+    pairs = w.diamonds(spark, sf).select("hold_index", F.col("polygon").alias("first"), F.transform("polygon", shift).alias("second"))
+    return ov.polygon_iou(pairs).select("hold_index", r6("iou"))
+
+
 @query("msk_patch_coverage", f"""WITH {HOLDS_SQL}, q AS (SELECT image_id, hold_index, l * 10 AS x0, (r + 1) * 10 - 1 AS x1, t * 10 AS y0, (b + 1) * 10 - 1 AS y1 FROM a),
   c AS (SELECT *, unnest(range(CAST(floor(y0 / 16) AS BIGINT), CAST(floor(y1 / 16) AS BIGINT) + 1)) AS py FROM q),
   e AS (SELECT *, unnest(range(CAST(floor(x0 / 16) AS BIGINT), CAST(floor(x1 / 16) AS BIGINT) + 1)) AS px FROM c)

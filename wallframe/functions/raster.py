@@ -104,3 +104,89 @@ def polygon_runs(polygon: Column) -> Column:
     """Filled polygon as disjoint runs; an axis-parallel box is a single run of many rows."""
     # Declared non-deterministic only to keep the optimiser from evaluating it twice.
     return arrow_udf(fill, RUNS).asNondeterministic()(polygon)
+
+
+# Columns or rows of runs expanded at a time.
+EXPANDED = 1 << 20
+# Above any offset of a coordinate within its row.
+LINE_STRIDE = 1 << 33
+
+
+def _run_fields(runs: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(runs per value, their fields) of a list of runs; null counts as none."""
+    sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = runs.flatten()
+    return sizes, {n: pc.struct_field(flat, n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("y0", "y1", "x0", "x1")}
+
+
+def _portions(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Consecutive values whose weights sum to about ``EXPANDED``, or one larger value."""
+    ends, out, start = np.cumsum(weights), [], 0
+    while start < len(weights):
+        base = ends[start] - weights[start]
+        stop = max(start + 1, int(np.searchsorted(ends, base + EXPANDED, side="right")))
+        out.append((start, stop))
+        start = stop
+    return out
+
+
+def _weights(sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), lengths, len(sizes)).astype(np.int64)
+
+
+def column_counts(runs: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    """Column-major run lengths of masks, starting with the number of leading zeros: one sort and one merge."""
+    sizes, whole = _run_fields(runs)
+    wide, high = (np.asarray(side).astype(np.int64) for side in (width, height))
+    lists: list[np.ndarray] = []
+    for start, stop in _portions(_weights(sizes, whole["x1"] - whole["x0"] + 1)):
+        few, r = _run_fields(runs.slice(start, stop - start))
+        owner, columns = np.repeat(np.arange(stop - start), few), r["x1"] - r["x0"] + 1
+        e = np.repeat(np.arange(len(owner)), columns)
+        at = (r["x0"][e] + _ramp(columns)) * high[start:stop][owner[e]]
+        who, _, first, last = _merge(owner[e], np.zeros(len(e), np.int64), at + r["y0"][e], at + r["y1"][e])
+        fresh = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
+        before = np.where(fresh, -1, np.r_[-1, last[:-1]] if len(last) else last)
+        pairs = np.stack([first - before - 1, last - first + 1], axis=1).ravel()
+        ends = np.cumsum(np.bincount(who, minlength=stop - start))
+        total = wide[start:stop] * high[start:stop]
+        for k, end in enumerate(ends):
+            begin = ends[k - 1] if k else 0
+            rest = total[k] - (last[end - 1] + 1 if end > begin else 0)
+            lists.append(np.r_[pairs[2 * begin : 2 * end], [rest] if rest > 0 else []].astype(np.int32))
+    offsets = np.r_[0, np.cumsum([len(v) for v in lists])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+
+
+def _rows_of(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row key of owner and y, x0, x1), one entry per pixel row of each run."""
+    sizes, r = _run_fields(runs)
+    tall = r["y1"] - r["y0"] + 1
+    e = np.repeat(np.arange(len(tall)), tall)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[e]
+    return owner * (1 << 32) + r["y0"][e] + _ramp(tall) + (1 << 31), r["x0"][e], r["x1"][e]
+
+
+def common_area(first: pa.Array, second: pa.Array) -> pa.Array:
+    """Pixels that two masks share, value by value: a search in sorted rows instead of all pairs of runs."""
+    weights = sum(_weights(sizes, r["y1"] - r["y0"] + 1) for sizes, r in map(_run_fields, (first, second)))
+    out = np.zeros(len(first), np.int64)
+    for start, stop in _portions(weights):
+        (row_a, x0, x1), (row_b, u0, u1) = (_rows_of(side.slice(start, stop - start)) for side in (first, second))
+        if not len(row_a) or not len(row_b):
+            continue
+        rows, place = np.unique(np.r_[row_a, row_b], return_inverse=True)
+        low = min(int(x0.min()), int(u0.min()))
+        key_a, key_b = place[: len(row_a)] * LINE_STRIDE - low, place[len(row_a) :] * LINE_STRIDE - low
+        order = np.argsort(key_b + u0, kind="stable")
+        starts, lengths = (key_b + u0)[order], (u1 - u0 + 1)[order]
+        done = np.cumsum(lengths) - lengths
+
+        def covered(q: np.ndarray, starts=starts, lengths=lengths, done=done) -> np.ndarray:
+            """Pixels of the second masks before ``q``, over all rows."""
+            k = np.searchsorted(starts, q, side="right") - 1
+            return np.where(k < 0, 0, done[k] + np.minimum(q - starts[k], lengths[k]))
+
+        shared = covered(key_a + x1 + 1) - covered(key_a + x0)
+        out[start:stop] = np.bincount((row_a >> 32), shared, stop - start).astype(np.int64)
+    return pa.array(out)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import geometry as geo
+from ..functions.raster import column_counts
 from .shapes import TILE
 
 
@@ -74,34 +76,7 @@ def pieces(masks: DataFrame, tile: int = TILE) -> DataFrame:
 
 def run_lengths(masks: DataFrame) -> DataFrame:
     """Column-major run lengths ``counts``, starting with the number of leading zeros."""
-    height, total = F.col("height"), F.col("width") * F.col("height")
-    columns = F.flatten(
-        F.transform(
-            "runs",
-            lambda r: F.transform(
-                F.sequence(r["x0"], r["x1"]),
-                lambda x: F.struct(
-                    (x * height + r["y0"]).cast("int").alias("x0"), (x * height + r["y1"]).cast("int").alias("x1")
-                ),
-            ),
-        )
-    )
-    merged = F.aggregate(F.array_sort(columns), F.array().cast("array<struct<x0:int,x1:int>>"), geo._append)
-
-    def counts(m):
-        alternating = F.flatten(
-            F.transform(
-                m,
-                lambda s, i: F.array(
-                    s["x0"] - F.when(i > 0, F.get(m, i - 1)["x1"] + 1).otherwise(F.lit(0)),
-                    s["x1"] - s["x0"] + 1,
-                ),
-            )
-        )
-        tail = total - F.when(F.size(m) > 0, F.get(m, F.size(m) - 1)["x1"] + 1).otherwise(F.lit(0))
-        return F.concat(alternating, F.when(tail > 0, F.array(tail.cast("int"))).otherwise(F.array().cast("array<int>")))
-
-    return masks.withColumn("counts", geo.let(merged, counts))
+    return masks.withColumn("counts", arrow_udf(column_counts, "array<int>")(F.col("runs"), F.col("width"), F.col("height")))
 
 
 def patch_coverage(masks: DataFrame, size: int = 1280, patch: int = 16) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import geometry as geo
+from ..functions.raster import common_area
 from ..store import until_empty
 from .masks import pieces
 from .passes import drop_weaker, ordered_pass
@@ -92,20 +94,7 @@ def polygon_iou(pairs: DataFrame, first: str = "first", second: str = "second")
     filled = pairs.withColumns(
         {"_a": geo.polygon_runs(F.col(first)), "_b": geo.polygon_runs(F.col(second))}
     )
-    length = lambda r, s, lo, hi: F.greatest(
-        F.lit(0), F.least(r[hi], s[hi]) - F.greatest(r[lo], s[lo]) + 1
-    )
-    common = F.aggregate(
-        "_a",
-        F.lit(0).cast("bigint"),
-        lambda acc, r: acc
-        + F.aggregate(
-            "_b",
-            F.lit(0).cast("bigint"),
-            lambda inner, s: inner + (length(r, s, "y0", "y1") * length(r, s, "x0", "x1")).cast("bigint"),
-        ),
-    )
-    measured = filled.withColumn("_common", common)
+    measured = filled.withColumn("_common", arrow_udf(common_area, "bigint")(F.col("_a"), F.col("_b")))
     union = geo.runs_area(F.col("_a")) + geo.runs_area(F.col("_b")) - F.col("_common")
     return measured.withColumn(
         "iou", F.when(union > 0, F.col("_common") / union).otherwise(F.lit(0.0))
