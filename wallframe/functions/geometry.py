@@ -120,16 +120,6 @@ def boxes_overlap(a: Column, b: Column) -> Column:
     )
 
 
-def _append(acc: Column, piece: Column) -> Column:
-    """Add a run to a sorted list, growing the last one if they touch."""
-    last = F.element_at(acc, -1)
-    joined = F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], piece["x1"]).alias("x1"))
-    return F.when(
-        (F.size(acc) > 0) & (piece["x0"] <= F.try_element_at(acc, F.lit(-1))["x1"] + 1),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)),
-    ).otherwise(F.concat(acc, F.array(piece)))
-
-
 def clip_runs(runs: Column, width: Column, height: Column) -> Column:
     """Cut runs to the image; parts outside vanish."""
     cut = F.transform(
