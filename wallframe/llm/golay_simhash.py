@@ -254,20 +254,51 @@ def word_shingles(raw: bytes, width: int) -> np.ndarray:
 
 
 def _prefix(raw: bytes, width: int, similarity: float, common: np.ndarray) -> tuple:
-    """Number of shingles, their parities, the lowest ones, and the prefix: the first ones, common ones last.
+    """Number of shingles, their parities, a longer sketch, the lowest ones, and the prefix: the first ones, common ones last.
+
+    The sketch holds parities in two to four bits a shingle, so that it tells long texts apart as
+    well as short ones; texts for which ``BITS`` are that many have none.
 
     Sets of a similarity of t share at least t of the larger one, so each leaves out fewer than
     that many in its prefix and the first shared shingle is in both prefixes.
     """
     shingles = word_shingles(raw, width)
-    count = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS)
-    parity = np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+    lanes = max(BITS, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else BITS
+    count = np.bincount((shingles % np.uint64(lanes)).astype(np.int64), minlength=lanes)
+    sketch = np.packbits((count & 1).astype(bool), bitorder="little")
+    parity = np.bitwise_xor.reduce(sketch.reshape(-1, BITS // 8), axis=0).tobytes()
+    sketch = sketch.tobytes() if lanes > BITS else None
     ordered = shingles
     if len(common) and len(shingles):
         late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
         ordered = np.concatenate([shingles[~late], shingles[late]])
     length = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
-    return len(shingles), parity, shingles[:LOWEST].view(np.int64), ordered[:length].view(np.int64)
+    return len(shingles), parity, sketch, shingles[:LOWEST].view(np.int64), ordered[:length].view(np.int64)
+
+
+def _sketches_allow(pairs: pd.DataFrame, similarity: float) -> np.ndarray:
+    """False only where the sketches show that the sets' difference is too large; a longer sketch folds onto a shorter one."""
+    allowed = np.ones(len(pairs), dtype=bool)
+    both = np.nonzero(pairs["sketch_i"].notna().to_numpy() & pairs["sketch_j"].notna().to_numpy())[0]
+    if not len(both):
+        return allowed
+    sides = [pairs[name].to_numpy()[both] for name in ("sketch_i", "sketch_j")]
+    widths = [np.fromiter(map(len, side), dtype=np.int64, count=len(both)) for side in sides]
+    most = pairs["sizes"].to_numpy()[both] * ((1 - similarity) / (1 + similarity)) + 1e-6
+    for wide in {*zip(*(width.tolist() for width in widths), strict=True)}:
+        at = np.nonzero((widths[0] == wide[0]) & (widths[1] == wide[1]))[0]
+        bits = [np.frombuffer(b"".join(side[at]), dtype=np.uint64).reshape(len(at), -1, min(wide) // 8) for side in sides]
+        differing = np.bitwise_count(np.bitwise_xor.reduce(bits[0], axis=1) ^ np.bitwise_xor.reduce(bits[1], axis=1))
+        allowed[both[at]] = differing.sum(axis=1, dtype=np.int64) <= most[at]
+    return allowed
+
+
+def _sketched_rows(similarity: float):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[_sketches_allow(batch, similarity), ["i", "j"]]
+
+    return rows
 
 
 def _may_link(left: slice | np.ndarray, right: slice | np.ndarray, bits: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -349,7 +380,7 @@ def _bucket_rows(similarity: float, every: bool):
 def _similar_pairs(nodes: DataFrame, rows: DataFrame, keys: str, every: bool, width: int, similarity: float) -> DataFrame:
     """i, j: verified links between nodes of different groups that share one of the ``keys``.
 
-    nodes: node, grp, size, bits and the array ``keys``.  Buckets are searched whole.
+    nodes: node, grp, size, bits, sketch and the array ``keys``.  Buckets are searched whole.
     """
     keyed = nodes.select(F.explode(keys).alias("key"), "node", "grp")
     inside = Window.partitionBy("key")
@@ -359,15 +390,21 @@ def _similar_pairs(nodes: DataFrame, rows: DataFrame, keys: str, every: bool, wi
     pairs = members.repartition("key").sortWithinPartitions("key", "grp", "node").mapInPandas(_bucket_rows(similarity, every), "i bigint, j bigint")
     close, _ = materialize(pairs.filter("i != j").distinct())
     discard(met)
-    wanted = close.select(F.col("i").alias("doc_id")).union(close.select("j")).distinct()
+    # The parities of a bucket are too few for long texts, whose sets would be copied once per pair.
+    told = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    told = close.join(told("i"), "i").join(told("j"), "j").withColumn("sizes", F.col("size_i") + F.col("size_j"))
+    near, _ = materialize(told.select("i", "j", "sizes", "sketch_i", "sketch_j").mapInPandas(_sketched_rows(similarity), "i bigint, j bigint"))
+    discard(close)
+    wanted = near.select(F.col("i").alias("doc_id")).union(near.select("j")).distinct()
     shingled = per_text(lambda: lambda raw: word_shingles(raw, width).view(np.int64), "array<bigint>")(F.col("raw"))
     # A merge join, as texts move here: alike at every size.
     sets, _ = materialize(rows.join(wanted.hint("merge"), "doc_id").select("doc_id", shingled.alias("set")))
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_i", "set_j"))
     alike = both >= similarity * (F.size("set_i") + F.size("set_j") - both)
-    edges, _ = materialize(close.join(side("i"), "i").join(side("j"), "j").filter(alike).select("i", "j").distinct())
+    edges, _ = materialize(near.join(side("i"), "i").join(side("j"), "j").filter(alike).select("i", "j").distinct())
     discard(sets)
+    discard(near)
     return edges
 
 
@@ -399,7 +436,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("raw"))
     common = _common_shingles(rows, width)
-    told = per_text(lambda: partial(_prefix, width=width, similarity=similarity, common=common), "size bigint, bits binary, low array<bigint>, prefix array<bigint>")
+    told = per_text(lambda: partial(_prefix, width=width, similarity=similarity, common=common), "size bigint, bits binary, sketch binary, low array<bigint>, prefix array<bigint>")
     told = rows.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), told(F.col("raw")).alias("p")).select("node", "p.*")
     nodes, _ = materialize(told.filter("size > 0"))
     first = _similar_pairs(nodes.withColumn("grp", F.col("node")), rows, "low", False, width, similarity)
