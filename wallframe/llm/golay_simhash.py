@@ -397,8 +397,8 @@ def _similar_pairs(nodes: DataFrame, rows: DataFrame, keys: str, every: bool, wi
     discard(close)
     wanted = near.select(F.col("i").alias("doc_id")).union(near.select("j")).distinct()
     shingled = per_text(lambda: lambda raw: word_shingles(raw, width).view(np.int64), "array<bigint>")(F.col("raw"))
-    # A merge join, as texts move here: alike at every size.
-    sets, _ = materialize(rows.join(wanted.hint("merge"), "doc_id").select("doc_id", shingled.alias("set")))
+    # Texts move only where the ids are too many for Spark's own broadcast threshold.
+    sets, _ = materialize(rows.join(wanted, "doc_id").select("doc_id", shingled.alias("set")))
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_i", "set_j"))
     alike = both >= similarity * (F.size("set_i") + F.size("set_j") - both)
@@ -454,4 +454,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = similar_components(docs, doc_id, text, width=width, similarity=similarity)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.hint("merge"), F.col(doc_id) == gone["gone_id"], "left_anti")
+    return docs.join(gone, F.col(doc_id) == gone["gone_id"], "left_anti")
