@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wallframe.llm import golay
 from wallframe.llm.common import ready
 from wallframe.llm.golay_simhash import (
-    _prefix, _sketches_allow, drop_near_duplicates, fingerprint, fingerprint_column, forest, golay_keys, hex_print, links, narrower_keys, near_components, similar_components,
+    _prefix, _sketches_allow, bucket_pairs, drop_near_duplicates, fingerprint, fingerprint_column, forest, golay_keys, hex_print, links, narrower_keys, near_components, similar_components,
 )
 from wallframe.llm.radix_dedup import drop_duplicates, exact_classes
 
@@ -285,3 +285,16 @@ def test_long_texts_by_their_sketches(spark, docs_of):
     roots = components(len(texts), alike)
     got = {r["doc_id"]: r["component_id"] for r in similar_components(docs_of(list(enumerate(texts)))).collect()}
     assert [got.get(k, k) for k in range(len(texts))] == roots
+
+
+def test_alike_members_look_for_one_partner():
+    """A bucket of alike texts that no earlier key has grouped makes one pair a text, not all pairs."""
+    count = 3000
+    nodes, sizes, bits = np.arange(count), np.full(count, 100), np.zeros((count, 8), dtype=np.uint64)
+    groups = np.where(nodes < 1000, 0, nodes)
+    i, j = bucket_pairs(nodes, groups, sizes, bits, 0.8, every=False)
+    assert len(i) == count - 1000 and set(j) | set(i) >= set(nodes[1000:])
+    assert len({g for pair in zip(groups[i], groups[j], strict=True) for g in pair}) == count - 999
+    few = slice(900, 1100)
+    i, j = bucket_pairs(nodes[few], groups[few], sizes[few], bits[few], 0.8, every=True)
+    assert len(i) == 100 * 100 + 100 * 99 // 2

@@ -314,15 +314,15 @@ def _may_link(left: slice | np.ndarray, right: slice | np.ndarray, bits: np.ndar
     return np.maximum(off, differing) <= most
 
 
-def bucket_pairs(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, every: bool, apart: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket's members that may link across groups: all of them, or of each member the first.
 
-    The members of the largest group are not paired with each other, so a bucket costs its size
+    ``apart``: the members of the largest group look for no partner, so a bucket costs its size
     times the number of members outside of that group.
     """
     left, right = [nodes[:0]], [nodes[:0]]
     names, group = np.unique(groups, return_inverse=True)
-    inside = group == np.bincount(group, minlength=len(names)).argmax() if every else np.zeros(len(nodes), dtype=bool)
+    inside = group == np.bincount(group, minlength=len(names)).argmax() if apart else np.zeros(len(nodes), dtype=bool)
     outside, everyone = np.nonzero(~inside)[0], np.arange(len(nodes))
     step = max(1, (1 << 20) // max(1, len(nodes)))
     for start in range(0, len(outside), step):
@@ -340,7 +340,7 @@ def bucket_pairs(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bits:
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def _bucket_rows(similarity: float, every: bool):
+def _bucket_rows(similarity: float, every: bool, apart: bool):
     """Buckets of a partition that is sorted by key; memory is one batch and one bucket."""
 
     def searched(rows: pd.DataFrame) -> pd.DataFrame:
@@ -354,7 +354,7 @@ def _bucket_rows(similarity: float, every: bool):
             for start in range(low, high, high - low if every else SLICE):
                 part = slice(start, high if every else min(high, start + SLICE))
                 if part.stop - part.start > 1:
-                    found.append(bucket_pairs(nodes[part], groups[part], sizes[part], bits[part], similarity, every))
+                    found.append(bucket_pairs(nodes[part], groups[part], sizes[part], bits[part], similarity, every, apart))
         i, j = (np.concatenate([pair[k] for pair in found]) if found else nodes[:0] for k in range(2))
         return pd.DataFrame({"i": i, "j": j}).drop_duplicates()
 
@@ -377,19 +377,22 @@ def _bucket_rows(similarity: float, every: bool):
     return rows
 
 
-def _similar_pairs(nodes: DataFrame, rows: DataFrame, keys: str, every: bool, width: int, similarity: float) -> DataFrame:
-    """i, j: verified links between nodes of different groups that share one of the ``keys``.
-
-    nodes: node, grp, size, bits, sketch and the array ``keys``.  Buckets are searched whole.
-    """
-    keyed = nodes.select(F.explode(keys).alias("key"), "node", "grp")
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """key, node, grp: the members of buckets that hold more than one group."""
     inside = Window.partitionBy("key")
     mixed = keyed.withColumns({"least": F.min("grp").over(inside), "most": F.max("grp").over(inside)}).filter("least < most")
-    met, _ = materialize(mixed.select("key", "node", "grp"))
+    return materialize(mixed.select("key", "node", "grp"))[0]
+
+
+def _similar_pairs(met: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float, *, every: bool, apart: bool = True) -> DataFrame:
+    """i, j: verified links between members of the buckets ``met`` that are in different groups.
+
+    nodes: node, size, bits, sketch.  ``every``: buckets are searched whole for all pairs; else each
+    member looks for one partner.  ``apart``: members of a bucket's largest group look for none.
+    """
     members = met.join(nodes.select("node", "size", "bits"), "node").select("key", "node", "grp", "size", "bits")
-    pairs = members.repartition("key").sortWithinPartitions("key", "grp", "node").mapInPandas(_bucket_rows(similarity, every), "i bigint, j bigint")
+    pairs = members.repartition("key").sortWithinPartitions("key", "grp", "node").mapInPandas(_bucket_rows(similarity, every, apart), "i bigint, j bigint")
     close, _ = materialize(pairs.filter("i != j").distinct())
-    discard(met)
     # The parities of a bucket are too few for long texts, whose sets would be copied once per pair.
     told = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
     told = close.join(told("i"), "i").join(told("j"), "j").withColumn("sizes", F.col("size_i") + F.col("size_j"))
@@ -416,6 +419,12 @@ def _grouped(edges: DataFrame) -> DataFrame:
     return found.select(F.col("hold_index").alias("node"), F.col("component").alias("root"))
 
 
+def _by_group(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """key, node and grp: the node's component by ``links``."""
+    roots, _ = materialize(_grouped(links))
+    return keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("grp"))
+
+
 def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
     """Shingles of at least ``COMMON`` of some ``SAMPLE`` texts; they only set the order, which decides on cost and not on results."""
     every = max(1, -(-rows.count() // SAMPLE))
@@ -431,7 +440,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     A pair links if the Jaccard similarity of its ``width``-word shingles is ``similarity`` or more,
     computed on whole texts.  Such a pair shares a shingle of its prefixes, and every bucket of a
     prefix shingle is searched whole, so no pair is lost.  The lowest shingles group most copies
-    first; the prefixes only look for links between groups, so a large group is not paired again.
+    first.  In the prefixes' buckets each text outside of the largest group then looks for one
+    partner, so that a copy joins its group by one link; all pairs are formed only between the
+    groups that are left after that, so a large group is not paired again.
     Texts without a word link to none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("raw"))
@@ -439,12 +450,17 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     told = per_text(lambda: partial(_prefix, width=width, similarity=similarity, common=common), "size bigint, bits binary, sketch binary, low array<bigint>, prefix array<bigint>")
     told = rows.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), told(F.col("raw")).alias("p")).select("node", "p.*")
     nodes, _ = materialize(told.filter("size > 0"))
-    first = _similar_pairs(nodes.withColumn("grp", F.col("node")), rows, "low", False, width, similarity)
-    roots, _ = materialize(_grouped(first))
-    merged = nodes.join(roots, "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    rest = _similar_pairs(merged, rows, "prefix", True, width, similarity)
+    met = _mixed(nodes.select(F.explode("low").alias("key"), "node", F.col("node").alias("grp")))
+    links = _similar_pairs(met, nodes, rows, width, similarity, every=False, apart=False)
+    discard(met)
+    met = _mixed(_by_group(nodes.select(F.explode("prefix").alias("key"), "node"), links))
+    links = links.unionByName(_similar_pairs(met, nodes, rows, width, similarity, every=False))
+    left = _mixed(_by_group(met.select("key", "node"), links))
+    discard(met)
+    links = links.unionByName(_similar_pairs(left, nodes, rows, width, similarity, every=True))
+    discard(left)
     discard(nodes)
-    return _grouped(first.unionByName(rest)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    return _grouped(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
