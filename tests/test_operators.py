@@ -16,6 +16,7 @@ from wallframe.operators.leader import leader
 from wallframe.operators.masks import with_runs
 from wallframe.operators.matching import match_greedy
 from wallframe.operators.overlap import nms, span_iou
+from wallframe.operators.pair_sample import balanced_pairs
 from wallframe.plans.detection import average_precision
 
 
@@ -86,15 +87,40 @@ def test_blended_join_and_head_blocks_agree(clouds):
     assert len(big) < 9 * 8 / 2 + 17 * 16 / 2 + 40 * 39 / 2
 
 
-def test_balanced_pairs(clouds):
+def test_balanced_pairs(spark, clouds):
     data, df = clouds
-    one = sorted(tuple(r) for r in pr.balanced_pairs(df, 5, 3).collect())
-    assert one == sorted(tuple(r) for r in pr.balanced_pairs(df, 5, 3, block=7).collect())
+    one = sorted(tuple(r) for r in balanced_pairs(df, 5, 3).collect())
+    assert one == sorted(tuple(r) for r in balanced_pairs(df.repartition(5), 5, 3).collect())
+    assert one != sorted(tuple(r) for r in balanced_pairs(df, 5, 4).collect())
     for image in data:
         labels = [r[3] for r in one if r[0] == image]
         assert labels.count(0) == labels.count(1) == 5
 
 
+def test_balanced_pairs_take_every_pair_once(spark):
+    """With a cap above the smaller class all its pairs are drawn; holds without a route are like no other."""
+    routes = {"p": [1, 1, 2, 2, 2, 7, None, None], "q": [3] * 9 + [4], "one": [5], "same": [6, 6, 6], "other": [1, 2, None], None: [1, 1, 2]}
+    rows = [(image, 10 * k, route) for image, all_routes in routes.items() for k, route in enumerate(all_routes)]
+    df = spark.createDataFrame(rows, "image_id string, hold_index bigint, route_id bigint")
+    pairs = {(a[0], a[1], b[1]): int(a[2] is not None and a[2] == b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]}
+    for cap in (1, 3, 1000):
+        got = [tuple(r) for r in balanced_pairs(df, cap, 1).collect()]
+        assert len(got) == len(set(got)) and {g[0] for g in got} == {"p", "q"}
+        assert all(pairs[g[:3]] == g[3] for g in got)
+        for image in ("p", "q"):
+            sizes = [sum(1 for k, v in pairs.items() if k[0] == image and v == label) for label in (0, 1)]
+            assert [sum(1 for g in got if g[0] == image and g[3] == label) for label in (0, 1)] == [min(cap, *sizes)] * 2
+
+
+def test_balanced_pairs_reach_all_pairs(spark):
+    """Each pair of a class is drawn about as often as any other, over many seeds."""
+    df = spark.range(12).selectExpr("0 AS image_id", "id AS hold_index", "id % 3 AS route_id")
+    images = spark.range(300).select(F.col("id").alias("image_id")).crossJoin(df.drop("image_id"))
+    times = {(r["i"], r["j"]): r["n"] for r in balanced_pairs(images, 6, 9).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(times) == 66 and all(60 < n < 145 for (i, j), n in times.items() if i % 3 == j % 3)
+    assert all(15 < n < 70 for (i, j), n in times.items() if i % 3 != j % 3)
+
+
 def test_linkages(clouds):
     data, df = clouds
     near = pr.similarity_join(df, 0.3)

@@ -15,6 +15,7 @@ from ..operators import model as mdl
 from ..operators import pairs as pr
 from ..operators.hierarchy import hdbscan, reachability_tree
 from ..operators.leader import leader
+from ..operators.pair_sample import balanced_pairs
 from ..operators.shapes import with_centroid
 from ..operators.validate import with_confidence
 from ..plans import matrix as mx
@@ -171,13 +172,18 @@ def _(spark, sf):
     return scored.select("image_id", "i", "j", r6("probability"))
 
 
-@query("pair_balanced", f"""WITH {VECS_SQL}, o AS (SELECT image_id, i, j, CASE WHEN ti = tj THEN 1 ELSE 0 END AS label,
-  (((i * 48271 + 5) % 2147483647) * ((j * 69621 + 11) % 2147483647)) % 2147483647 AS h FROM d),
-  n AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY h, i, j) AS n FROM o),
-  c AS (SELECT image_id, least(40, sum(label), sum(1 - label)) AS quota FROM o GROUP BY 1)
-  SELECT image_id, i, j, label FROM n JOIN c USING (image_id) WHERE n <= quota""")
+@query("pair_balanced", f"""WITH {VECS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY truth NULLS FIRST, hold_index) AS p FROM vecs),
+  o AS (SELECT x.image_id, least(x.hold_index, y.hold_index) AS i, greatest(x.hold_index, y.hold_index) AS j, CASE WHEN x.truth = y.truth THEN 1 ELSE 0 END AS label, x.p AS a, y.p AS b
+    FROM p x JOIN p y ON x.image_id = y.image_id AND x.p < y.p),
+  n AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY b, a) - 1 AS t FROM o),
+  c AS (SELECT image_id, label, count(*) AS pairs FROM o GROUP BY 1, 2),
+  q AS (SELECT image_id, least(40, min(pairs)) AS quota FROM c GROUP BY 1 HAVING count(*) = 2),
+  k AS (SELECT image_id, label, pairs // quota AS part, pairs % quota AS longer, unnest(range(quota)) AS k FROM c JOIN q USING (image_id)),
+  r AS (SELECT image_id, label, k * part + least(k, longer)
+    + CAST('0x' || substr(md5(concat_ws(':', 5, image_id, label, k)), 1, 15) AS BIGINT) % (part + CASE WHEN k < longer THEN 1 ELSE 0 END) AS t FROM k)
+  SELECT image_id, i, j, label FROM n JOIN r USING (image_id, label, t)""")
 def _(spark, sf):
-    return pr.balanced_pairs(w.vectors(spark, sf), 40, 5)
+    return balanced_pairs(w.vectors(spark, sf), 40, 5)
 
 
 # ---- groupings -------------------------------------------------------------------------------
@@ -513,7 +519,7 @@ def _(spark, sf):
 @query("ml_fit")
 def _(spark, sf):
     features = w.vectors(spark, sf)
-    chosen, _ = materialize(pr.balanced_pairs(features, 200, 42))
+    chosen, _ = materialize(balanced_pairs(features, 200, 42))
     side = lambda mark, name: features.select(
         "image_id", F.col("hold_index").alias(name), F.col("embedding").alias(f"embedding_{mark}"), F.col("lab").alias(f"lab_{mark}")
     )
@@ -528,7 +534,7 @@ def _(spark, sf):
   SELECT CASE WHEN image_id > 0 THEN 'train' ELSE 'val' END AS part, count(*) AS images, CAST(sum(2 * quota) AS BIGINT) AS pairs FROM c WHERE quota > 0 GROUP BY 1""")
 def _(spark, sf):
     """Images and balanced pairs that the fit of the pair model sees."""
-    chosen = pr.balanced_pairs(w.vectors(spark, sf), 200, 42)
+    chosen = balanced_pairs(w.vectors(spark, sf), 200, 42)
     part = F.when(F.col("image_id") > 0, "train").otherwise("val").alias("part")
     return chosen.groupBy(part).agg(F.count_distinct("image_id").alias("images"), F.count(F.lit(1)).alias("pairs"))
 

@@ -376,94 +376,3 @@ def score_pairs(
         .groupBy(key, "_lo", "_hi")
         .applyInArrow(kernel, T.StructType(fields))
     )
-
-
-# Modulus of the pair order hash: the Mersenne prime 2^31 - 1.
-HASH_PRIME = 2147483647
-
-
-def pair_order(i, j, seed: int):
-    """Pseudo-random order of pairs; the same integer arithmetic for arrays, columns and SQL."""
-    return (((i * 48271 + seed) % HASH_PRIME) * ((j * 69621 + 11) % HASH_PRIME)) % HASH_PRIME
-
-
-def _smallest(order: np.ndarray, i: np.ndarray, j: np.ndarray, cap: int) -> np.ndarray:
-    return np.lexsort((j, i, order))[:cap]
-
-
-def balanced_pairs(
-    features: DataFrame,
-    cap: int,
-    seed: int,
-    *,
-    label: str = "route_id",
-    block: int = BLOCK,
-    key: str = "image_id",
-    index: str = "hold_index",
-) -> DataFrame:
-    """Per image the same number of same-route and cross-route pairs, at most ``cap`` each.
-
-    The first min(cap, positives, negatives) pairs of each class in hash order are taken.  Each
-    block pair reports its first ``cap`` per class, which is all the final ranking can use.
-    Images lacking a class give no rows.
-    """
-    types = {f.name: f.dataType for f in features.schema.fields}
-    schema = T.StructType(
-        [
-            T.StructField(key, types[key]),
-            T.StructField("i", types[index]),
-            T.StructField("j", types[index]),
-            T.StructField("label", T.IntegerType()),
-            T.StructField("pair_hash", T.LongType()),
-            T.StructField("class_size", T.LongType()),
-        ]
-    )
-
-    def kernel(table: pa.Table) -> pa.Table:
-        left, right, same = block_sides(table)
-        ids, others = left[index].to_numpy(), right[index].to_numpy()
-        truth, other_truth = left[label].to_numpy(), right[label].to_numpy()
-        kept: dict[int, list] = {0: [], 1: []}
-        sizes = {0: 0, 1: 0}
-        for part, owned in strips(left, right, same, index) if len(others) else ():
-            match = truth[part, None] == other_truth[None, :]
-            for cls in (0, 1):
-                r, c = np.nonzero(owned & (match if cls else ~match))
-                sizes[cls] += len(r)
-                a, b = ids[part][r], others[c]
-                low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-                order = pair_order(low, high, seed)
-                pick = _smallest(order, low, high, cap)
-                kept[cls].append(np.stack([low[pick], high[pick], order[pick]]))
-        out = {name: [] for name in schema.names}
-        for cls, parts in kept.items():
-            low, high, order = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
-            pick = _smallest(order, low, high, cap)
-            out["i"].append(low[pick])
-            out["j"].append(high[pick])
-            out["pair_hash"].append(order[pick])
-            out["label"].append(np.full(len(pick), cls, np.int32))
-            # The class size rides on one row per block pair, so that it can be summed.
-            out["class_size"].append(np.where(np.arange(len(pick)) == 0, sizes[cls], 0))
-        merged = {name: np.concatenate(values) for name, values in out.items() if name != key}
-        image = pa.array([table[key][0].as_py()] * len(merged["i"]), table.schema.field(key).type)
-        return pa.table([image, *[pa.array(merged[n]) for n in schema.names[1:]]], names=schema.names)
-
-    candidates = (
-        blocked(features.select(key, index, label), block, key, index)
-        .groupBy(key, "_lo", "_hi")
-        .applyInArrow(kernel, schema)
-    )
-    order = [F.col("pair_hash"), F.col("i"), F.col("j")]
-    quota = candidates.groupBy(key).agg(
-        F.least(
-            F.lit(cap).cast("bigint"),
-            F.sum(F.when(F.col("label") == 1, F.col("class_size")).otherwise(0)),
-            F.sum(F.when(F.col("label") == 0, F.col("class_size")).otherwise(0)),
-        ).alias("quota")
-    )
-    # The literal rank bound lets Spark cut every class to ``cap`` rows before the shuffle.
-    best = candidates.withColumn("n", F.row_number().over(Window.partitionBy(key, "label").orderBy(*order))).filter(
-        F.col("n") <= cap
-    )
-    return best.join(quota, key).filter(F.col("n") <= F.col("quota")).select(key, "i", "j", "label")
