@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wallframe.functions.headers import image_size
 from wallframe.operators.color_features import mean_color, median_rgb
 from wallframe.operators.masks import with_runs
 from wallframe.operators.scanlines import color_counts
@@ -81,10 +82,34 @@ def test_dataset_manifest(spark, dataset):
     rows = {r.stem: r for r in records.collect()}
     assert (rows["a"].width, rows["a"].height, rows["a"].objects, rows["b"].split) == (16, 12, 3, "valid")
     assert len(rows["a"].images_sha256) == 64 and rows["a"].labels_bytes > 0
-    assert {(r.split, r.images, r.objects) for r in totals.collect()} == {("train", 1, 3), ("valid", 1, 1)}
+    assert {tuple(r) for r in totals.select("split", "class_id", "images", "objects").collect()} == {
+        ("train", "0", 1, 2), ("train", "1", 1, 1), ("valid", "0", 1, 1), ("train", None, 1, 3), ("valid", None, 1, 1),
+        (None, "0", 2, 3), (None, "1", 1, 1), (None, None, 2, 4),
+    }
     assert [r.images_path.rsplit("/", 1)[1] for r in unlabelled.collect()] == ["c.png"]
 
 
+def test_image_headers(spark):
+    """Sizes from headers alone; a JPEG's frame comes after segments of any length."""
+    pad = b"\0" * 40
+    frame = b"\xff\xc2\0\x11\x08" + (300).to_bytes(2, "big") + (4000).to_bytes(2, "big") + pad
+    table = b"\xff\xc4\0\x04\xff\xc0"
+    known = {
+        b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (70000).to_bytes(4, "big") + (5).to_bytes(4, "big") + pad: (70000, 5),
+        b"GIF89a" + (640).to_bytes(2, "little") + (480).to_bytes(2, "little") + pad: (640, 480),
+        b"BM" + b"\0" * 16 + (33).to_bytes(4, "little") + (-21).to_bytes(4, "little", signed=True) + pad: (33, 21),
+        b"\xff\xd8\xff\xe1\xff\xff" + b"\xff" * 65533 + table + b"\xff" + frame: (4000, 300),
+        b"\xff\xd8\xff\xe0\0\x10": None,
+        b"\x89PNG\r\n\x1a\n": None,
+        b"": None,
+        b"RIFF" + pad: None,
+        None: None,
+    }
+    df = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in enumerate(known)], "k int, content binary")
+    found = {r.k: r.s and tuple(r.s) for r in df.select("k", image_size(F.col("content")).alias("s")).collect()}
+    assert [found[k] for k in range(len(known))] == list(known.values())
+
+
 def test_via_csv_file(spark, tmp_path):
     path = tmp_path / "via.csv"
     shape = json.dumps({"name": "polygon", "all_points_x": [0, 4.5, 4], "all_points_y": [0, 0, 3]}).replace('"', '""')

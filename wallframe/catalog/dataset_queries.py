@@ -180,6 +180,40 @@ def _(spark, sf):
     return fs.records_from(coco_documents(spark, sf), files, "/data", "test")[2].select("file_name")
 
 
+MANIFEST_SQL = """i AS (SELECT source AS split, doc_id AS stem, unhex(concat('89504E470D0A1A0A0000000D49484452', printf('%08X', doc_id + 1), printf('%08X', n_chars))) || encode(text) AS content FROM documents),
+l AS (SELECT source AS split, doc_id AS stem, doc_id % 4 AS zeros, doc_id % 3 AS ones, concat(repeat(concat('0 0.5 0.5 0.1 0.1', chr(10)), doc_id % 4), chr(10), repeat(concat('1 0.2 0.2 0.1 0.1', chr(10)), doc_id % 3)) AS content
+  FROM documents WHERE doc_id % 7 > 0)"""
+
+
+def manifest_files(spark, sf):
+    """An image file per document, a PNG header before its text, and label files for six of seven."""
+    docs = w.table(spark, sf, "documents")
+    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.format_string("%08X%08X", F.col("doc_id") + 1, "n_chars")))
+    named = lambda folder, ending: F.concat(F.lit("/set/"), "source", F.lit(f"/{folder}/"), "doc_id", F.lit(ending)).alias("path")
+    images = docs.select(named("images", ".png"), F.concat(header, F.encode("text", "UTF-8")).alias("content"))
+    lines = F.expr("concat(repeat('0 0.5 0.5 0.1 0.1\\n', int(doc_id % 4)), '\\n', repeat('1 0.2 0.2 0.1 0.1\\n', int(doc_id % 3)))")
+    labels = docs.filter("doc_id % 7 > 0").select(named("labels", ".txt"), F.encode(lines, "UTF-8").alias("content"))
+    return images.unionByName(labels).withColumn("length", F.length("content").cast("bigint"))
+
+
+@query("src_manifest", f"""WITH {MANIFEST_SQL} SELECT split, CAST(stem AS VARCHAR) AS stem, stem + 1 AS width, n_chars AS height, octet_length(i.content) AS images_bytes, octet_length(encode(l.content)) AS labels_bytes,
+  sha256(i.content) AS images_sha256, sha256(l.content) AS labels_sha256, zeros + ones AS objects FROM i JOIN l USING (split, stem) JOIN documents ON doc_id = stem""")
+def _(spark, sf):
+    records, _, _ = fs.manifest_from(manifest_files(spark, sf))
+    return records.drop("images_path", "labels_path").withColumn("objects", F.col("objects").cast("bigint"))
+
+
+@query("src_manifest_totals", f"""WITH {MANIFEST_SQL}, c AS (SELECT split, zeros + ones AS objects, NULL AS class_id FROM l UNION ALL SELECT split, zeros, '0' FROM l WHERE zeros > 0 UNION ALL SELECT split, ones, '1' FROM l WHERE ones > 0)
+  SELECT split, class_id, count(*) AS images, CAST(sum(objects) AS BIGINT) AS objects FROM c GROUP BY 1, 2 UNION ALL SELECT NULL, class_id, count(*), CAST(sum(objects) AS BIGINT) FROM c GROUP BY class_id""")
+def _(spark, sf):
+    return fs.manifest_from(manifest_files(spark, sf))[1]
+
+
+@query("src_manifest_unlabelled", "SELECT source AS split, concat('/set/', source, '/images/', doc_id, '.png') AS images_path FROM documents WHERE doc_id % 7 = 0")
+def _(spark, sf):
+    return fs.manifest_from(manifest_files(spark, sf))[2]
+
+
 @query("src_replay_hash", """WITH k AS (SELECT sha256(text) AS hash, max(doc_id) AS known FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
   SELECT d.doc_id AS image_id, k.known AS known_id FROM documents d LEFT JOIN k ON k.hash = sha256(d.text)""")
 def _(spark, sf):

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.headers import image_size
 from ..operators.validate import route_id_of
+from ..store import materialize
 from .documents import parse_coco, read_texts, read_underscored_texts
 
 ANNOTATION_ENDINGS = ("_annotations.coco.json", "_restructured.json")
@@ -109,39 +111,57 @@ def records_from(documents: DataFrame, files: DataFrame, root: str, split: str)
 
 
 def dataset_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, totals, images without a label) of ``<split>/images`` and ``<split>/labels`` folders."""
-    def part(folder: str, pattern: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-        pieces = F.split("path", "/")
-        return (
-            files.filter(F.element_at(pieces, -2) == folder)
-            .select(
-                F.element_at(pieces, -3).alias("split"),
-                F.regexp_replace(F.element_at(pieces, -1), r"\.[^.]*$", "").alias("stem"),
-                F.col("path").alias(f"{folder}_path"),
-                F.col("length").alias(f"{folder}_bytes"),
-                F.sha2("content", 256).alias(f"{folder}_sha256"),
-                *([F.col("content").cast("string").alias("text")] if folder == "labels" else []),
-            )
-        )
+    """(records, totals, images without a label) of ``<split>/images`` and ``<split>/labels`` folders below ``root``."""
+    return manifest_from(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+
 
-    images = part("images", "*")
-    labels = part("labels", "*.txt")
-    sizes = (
-        spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
-        .select(F.col("image.origin").alias("images_path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+def manifest_from(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, totals, images without a label) of a table of files: path, length, content.
+
+    Every content is read once, into a stored table of digests, header sizes and counts of label
+    lines by class (a line's first field); only that table is joined.  Images of a kind that
+    ``image_size`` does not know have null sizes.  Totals count images and objects by split and
+    class, by split, by class and as a whole; null stands for all.
+    """
+    pieces = F.split("path", "/")
+    is_label = F.element_at(pieces, -2) == "labels"
+    lines = F.filter(F.split(F.when(is_label, F.col("content").cast("string")), "\n"), lambda v: F.trim(v) != "")
+    classes = F.transform(lines, lambda v: F.get(F.split(F.trim(v), r"\s+"), F.lit(0)))
+    counted = F.transform(
+        F.array_distinct("classes"),
+        lambda c: F.struct(c.alias("class_id"), F.size(F.filter("classes", lambda v: v == c)).cast("bigint").alias("objects")),
     )
-    lines = F.filter(F.split("text", "\n"), lambda v: F.trim(v) != "")
-    records = (
-        images.join(labels, ["split", "stem"])
-        .withColumn("objects", F.size(lines))
-        .drop("text")
-        .withColumn("_key", F.regexp_replace("images_path", "^file:/+", "/"))
-        .join(sizes.select(F.regexp_replace("images_path", "^file:/+", "/").alias("_key"), "width", "height"), "_key", "left")
-        .drop("_key")
+    named = files.select(
+        F.element_at(pieces, -3).alias("split"),
+        F.element_at(pieces, -2).alias("folder"),
+        F.element_at(pieces, -1).alias("name"),
+        F.col("path"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+        image_size(F.when(~is_label, F.col("content"))).alias("size"),
+        classes.alias("classes"),
+    ).filter((F.col("folder") == "images") | ((F.col("folder") == "labels") & F.col("name").endswith(".txt")))
+    read, _ = materialize(
+        named.select(
+            "split", "folder", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), "path", "bytes", "sha256",
+            "size.width", "size.height", F.size("classes").alias("objects"), counted.alias("by_class"),
+        )
+    )
+    side = lambda folder, *more: read.filter(F.col("folder") == folder).select(
+        "split", "stem", *[F.col(c).alias(f"{folder}_{c}") for c in ("path", "bytes", "sha256")], *more
+    )
+    images, labels = side("images", "width", "height"), side("labels", "objects", "by_class")
+    labelled = images.join(labels, ["split", "stem"])
+    rows = labelled.select("split", F.posexplode_outer("by_class").alias("at", "c")).select("split", "at", "c.class_id", "c.objects")
+    # An image counts once for each of its classes, and once where classes are summed up.
+    seen = F.when(F.grouping("class_id") == 0, F.count("class_id")).otherwise(F.count_if(F.coalesce("at", F.lit(0)) == 0))
+    totals = (
+        rows.groupingSets([["split", "class_id"], ["split"], ["class_id"], []], "split", "class_id")
+        .agg(seen.alias("images"), F.coalesce(F.sum("objects"), F.lit(0)).alias("objects"), F.grouping("class_id").alias("_all"))
+        .filter("_all = 1 OR class_id IS NOT NULL")
+        .drop("_all")
     )
-    totals = records.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.sum("objects").alias("objects"))
-    return records, totals, images.join(labels, ["split", "stem"], "left_anti").select("split", "images_path")
+    return labelled.drop("by_class"), totals, images.join(labels, ["split", "stem"], "left_anti").select("split", "images_path")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
