@@ -87,6 +87,17 @@ def test_blended_join_and_head_blocks_agree(clouds):
     assert len(big) < 9 * 8 / 2 + 17 * 16 / 2 + 40 * 39 / 2
 
 
+def test_filters_pass_the_fill(spark, tmp_path):
+    """A filter on the image reaches the scan below the fill; one on the runs does not fill polygons twice."""
+    ring = [(0, 0), (6, 2), (3, 5)]
+    holds = spark.createDataFrame([(k % 4, k, ring) for k in range(8)], "image_id bigint, hold_index bigint, polygon array<struct<x:int,y:int>>")
+    holds.write.parquet(str(tmp_path / "holds"))
+    masks = with_runs(spark.read.parquet(str(tmp_path / "holds"))).filter("image_id = 2 AND size(runs) > 1 AND area > 3")
+    plan = masks._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(image_id,2)" in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(r.hold_index for r in masks.collect()) == [2, 6]
+
+
 def test_balanced_pairs(spark, clouds):
     data, df = clouds
     one = sorted(tuple(r) for r in balanced_pairs(df, 5, 3).collect())

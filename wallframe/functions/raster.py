@@ -10,7 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 RUNS = "array<struct<y0:int,y1:int,x0:int,x1:int>>"
@@ -102,8 +103,18 @@ def fill(polygons: pa.Array) -> pa.Array:
 
 def polygon_runs(polygon: Column) -> Column:
     """Filled polygon as disjoint runs; an axis-parallel box is a single run of many rows."""
-    # Declared non-deterministic only to keep the optimiser from evaluating it twice.
-    return arrow_udf(fill, RUNS).asNondeterministic()(polygon)
+    return arrow_udf(fill, RUNS)(polygon)
+
+
+def with_filled(rows: DataFrame, **polygons: Column) -> DataFrame:
+    """Add the runs of polygons by name, each filled once per row.
+
+    The runs come out of a generator of one row.  Filters on other columns pass it and reach the
+    scan; filters on the runs stay above it, where they do not fill the polygons again.
+    """
+    names = list(polygons)
+    filled = F.struct(*[polygon_runs(polygons[name]).alias(name) for name in names])
+    return rows.select("*", F.inline(F.array(filled)).alias(*names))
 
 
 # Columns or rows of runs expanded at a time.

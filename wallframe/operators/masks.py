@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import geometry as geo
-from ..functions.raster import column_counts
+from ..functions.raster import column_counts, with_filled
 from .shapes import TILE
 
 
@@ -17,14 +17,14 @@ def with_runs(holds: DataFrame, images: DataFrame | None = None, *, use_mask: bo
     With ``images`` the runs are clipped to the image.  With ``use_mask`` a stored ``mask_runs``
     wins over the polygon if ``mask_width`` x ``mask_height`` is the image size.
     """
-    runs = geo.polygon_runs(F.col("polygon"))
+    runs = F.col("_filled")
     if images is not None:
         holds = holds.join(images.select("image_id", "width", "height"), "image_id")
         runs = geo.clip_runs(runs, F.col("width"), F.col("height"))
         if use_mask:
             fits = (F.col("mask_width") == F.col("width")) & (F.col("mask_height") == F.col("height"))
             runs = F.when(F.col("mask_runs").isNotNull() & fits, F.col("mask_runs")).otherwise(runs)
-    filled = holds.withColumn("runs", runs)
+    filled = with_filled(holds, _filled=F.col("polygon")).withColumn("runs", runs).drop("_filled")
     return filled.withColumn("area", geo.runs_area(F.col("runs")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import geometry as geo
-from ..functions.raster import common_area
+from ..functions.raster import common_area, with_filled
 from ..store import until_empty
 from .masks import pieces
 from .passes import drop_weaker, ordered_pass
@@ -91,9 +91,7 @@ def span_iou(
 
 def polygon_iou(pairs: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
     """IoU of two polygons of one row on an unbounded canvas, without any shuffle."""
-    filled = pairs.withColumns(
-        {"_a": geo.polygon_runs(F.col(first)), "_b": geo.polygon_runs(F.col(second))}
-    )
+    filled = with_filled(pairs, _a=F.col(first), _b=F.col(second))
     measured = filled.withColumn("_common", arrow_udf(common_area, "bigint")(F.col("_a"), F.col("_b")))
     union = geo.runs_area(F.col("_a")) + geo.runs_area(F.col("_b")) - F.col("_common")
     return measured.withColumn(
