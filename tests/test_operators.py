@@ -274,6 +274,17 @@ def test_matching_and_average_precision(spark):
     )
     for r in ap.collect():
         assert abs(r.ap - brute.average_precision(cases, len(anns), r.threshold)) < 1e-9
+    # The same cases in another order: equal confidences follow it.
+    ap = average_precision(
+        spark.createDataFrame([(*p, (p[2] * 5 + 3) % 12) for p in preds], "implementation_id string, condition string, image_id int, pred_idx int, confidence double, case_index int"),
+        spark.createDataFrame(anns, "condition string, image_id int, ann_idx int"),
+        table,
+        (0.5, 0.75),
+    )
+    moved = [case for _, case in sorted(((k * 5 + 3) % 12, case) for k, case in enumerate(cases))]
+    found = {r.threshold: r.ap for r in ap.collect()}
+    assert all(abs(v - brute.average_precision(moved, len(anns), t)) < 1e-9 for t, v in found.items())
+    assert any(abs(v - brute.average_precision(cases, len(anns), t)) > 1e-9 for t, v in found.items())
 
 
 def test_nms(spark):

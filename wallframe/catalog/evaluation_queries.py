@@ -92,10 +92,10 @@ def matches(spark, sf):
     return match_greedy(iou_table(spark, sf, 0.5), 0.5, ["implementation_id", "image_id"])
 
 
-def ap_table(spark, sf):
+def ap_table(spark, sf, predictions=None):
     cond = conditions(spark, sf)
     return d.average_precision(
-        labelled_predictions(spark, sf).join(cond, "image_id"),
+        (labelled_predictions(spark, sf) if predictions is None else predictions).join(cond, "image_id"),
         truth_rows(spark, sf).join(cond, "image_id"),
         iou_table(spark, sf, 0.5).join(cond, "image_id"),
     )
@@ -131,6 +131,17 @@ def _(spark, sf):
     return ap_table(spark, sf).select("implementation_id", "condition", "threshold", r6("ap"))
 
 
+# Without confidences all detections tie and the order of the cases decides.
+TIED_SQL = AP_SQL.replace("ORDER BY conf DESC, p.image_id,", "ORDER BY p.image_id DESC,").replace("ORDER BY conf DESC, pred_idx,", "ORDER BY pred_idx,")
+
+
+@query("evl_ap_case_order", f"WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {TIED_SQL} SELECT implementation_id, condition, threshold, round(ap, 6) AS ap FROM ap")
+def _(spark, sf):
+    """Fallback confidences, and cases in falling order of their images."""
+    tied = labelled_predictions(spark, sf).withColumns({"confidence": F.lit(1.0), "case_index": -F.col("image_id")})
+    return ap_table(spark, sf, tied).select("implementation_id", "condition", "threshold", r6("ap"))
+
+
 @query("evl_map", f"""WITH RECURSIVE {HOLDS_SQL}, {IOU_SQL}, {AP_SQL} SELECT implementation_id, condition, round(avg(ap), 6) AS map_all,
   round(max(CASE WHEN threshold = 0.5 THEN ap END), 6) AS ap50, round(max(CASE WHEN threshold = 0.75 THEN ap END), 6) AS ap75 FROM ap GROUP BY 1, 2""")
 def _(spark, sf):

@@ -62,8 +62,12 @@ def detection_metrics(
 
 
 def detection_ranks(predictions: DataFrame, group: Sequence[str] = TARGET) -> DataFrame:
-    """Pooled rank of every detection by (confidence desc, image_id, pred_idx): ``rank``."""
-    order = [F.col("confidence").desc(), F.col("image_id"), F.col("pred_idx")]
+    """Pooled rank of every detection by (confidence desc, case, pred_idx): ``rank``.
+
+    Cases stand in order of ``case_index``, if there is such a column, and then of image_id.
+    """
+    case = [F.col("case_index")] if "case_index" in predictions.columns else []
+    order = [F.col("confidence").desc(), *case, F.col("image_id"), F.col("pred_idx")]
     return ranked(predictions, group, order, "rank")
 
 
@@ -80,7 +84,8 @@ def precision_recall(
     """
     group = list(group)
     keyed = predictions.select(*group, "image_id", "pred_idx", "confidence")
-    ranks = detection_ranks(keyed, group)
+    case = [c for c in ("case_index",) if c in predictions.columns]
+    ranks = detection_ranks(predictions.select(*keyed.columns, *case), group)
     hits = assign_by_confidence(
         iou.select(*group, "image_id", "pred_idx", "ann_idx", "iou").join(
             keyed, [*group, "image_id", "pred_idx"]
@@ -108,7 +113,8 @@ def average_precision(
 
     ``expected`` lists the groups to report, by default those that have predictions.
 
-    predictions: group, image_id, pred_idx, confidence.  annotations: condition, image_id, ann_idx.
+    predictions: group, image_id, pred_idx, confidence and, where equal confidences follow the given
+    order of the cases, case_index.  annotations: condition, image_id, ann_idx.
     iou: group, image_id, pred_idx, ann_idx, iou.  Images without truths do not take part.
     """
     group = list(group)
@@ -212,7 +218,7 @@ def evaluate_detections(
     ``rejected`` (implementation_id, image_id, reason) makes cases errors; neither their predictions nor their
     truths count for that detector.
 
-    images: image_id, condition, split, source_id, parent_image_id.  predictions: implementation_id,
+    images: image_id, condition, split, source_id, parent_image_id and, if given, case_index.  predictions: implementation_id,
     image_id, pred_idx, confidence, confidence_source.  annotations: image_id, ann_idx, volumes
     removed.  iou: implementation_id, image_id, pred_idx, ann_idx, iou.
     """
@@ -224,8 +230,9 @@ def evaluate_detections(
         broken = rejected.select(*case).distinct()
         predictions, iou = predictions.join(broken, case, "left_anti"), iou.join(broken, case, "left_anti")
         truths = truths.withColumn("implementation_id", each(detectors)).join(broken, case, "left_anti")
+    case = [c for c in ("case_index",) if c in images.columns]
     ap = average_precision(
-        predictions.join(labelled, "image_id"),
+        predictions.drop(*case).join(images.select("image_id", reported_condition(F.col("condition")).alias("condition"), *case), "image_id"),
         truths,
         iou.join(labelled, "image_id"),
         thresholds,
